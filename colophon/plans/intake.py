@@ -239,11 +239,10 @@ def export_items(t: Tables):
     return source_items.export_rows(items).select("source", "source_key", "product_code", "title", "tags", "status")
 
 
-@query("A7_candidate_csv", """select product_code, cast(price as varchar) price, concat('["', maker, '","', series, '"]') names, '' note from works where price = floor(price) and id % 2 = 0""", "works")
+@query("A7_candidate_csv", """select product_code, cast(duration as varchar) duration, concat('["', maker, '","', series, '"]') names, '' note from works""", "works")
 def candidate_csv(t: Tables):
-    rows = t.works("id", "product_code", "price", "maker", "series").filter("price = floor(price) and id % 2 = 0")
-    rows = rows.withColumn("names", F.array("maker", "series")).withColumn("note", F.lit(None).cast("string"))
-    return exports.candidate_csv_rows(rows, ["product_code", "price", "names", "note"])
+    rows = t.works("product_code", "duration", "maker", "series").withColumn("names", F.array("maker", "series")).withColumn("note", F.lit(None).cast("string"))
+    return exports.candidate_csv_rows(rows, ["product_code", "duration", "names", "note"])
 
 
 @query("A10_catalog_snapshot")
