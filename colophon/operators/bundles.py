@@ -13,6 +13,7 @@ from colophon.operators.greedy import first_come
 from colophon.operators.merging import changed_fields
 from colophon.operators.posts import PostSource
 from colophon.operators.ranking import top_rows
+from colophon.session import reuse
 
 # fixed values: closed sets of the bundle contract
 PARSER_CONFIDENCE = ("HIGH", "MEDIUM", "LOW")
@@ -77,7 +78,7 @@ def import_bundle(posts: DataFrame, source: PostSource) -> DataFrame:
     differently are rejected.
     """
     rows = normalize_bundle_posts(posts, source)
-    hashed = rows.withColumn("_hash", metadata_hash("external_post_id", "external_creator_id", "display_name", *POST_VALUES))
+    hashed = reuse(rows.withColumn("_hash", metadata_hash("external_post_id", "external_creator_id", "display_name", *POST_VALUES)))
     valid = hashed.filter((F.size("reasons") == 0) & F.col("eligible"))
     names = valid.groupBy("external_creator_id").agg(F.min_by("display_name", "index").alias("_name"))
     agreeing = valid.join(names, "external_creator_id").filter("display_name = _name")
@@ -100,7 +101,7 @@ def import_bundle(posts: DataFrame, source: PostSource) -> DataFrame:
 
 def bundle_targets(imported: DataFrame) -> dict[str, DataFrame]:
     """Creator and post rows to resolve, from the accepted posts."""
-    ok = imported.filter("outcome = 'accepted'")
+    ok = reuse(imported.filter("outcome = 'accepted'"))
     creators = ok.groupBy("external_creator_id").agg(
         F.min_by("profile_slug", "index").alias("profile_slug"), F.min_by("display_name", "index").alias("display_name"),
         F.min_by("creator_url", "index").alias("official_url"), F.max("collected_at").alias("fetched_at"), F.count("*").alias("post_count"),
@@ -109,7 +110,7 @@ def bundle_targets(imported: DataFrame) -> dict[str, DataFrame]:
         "external_post_id", "external_creator_id", "title", "official_url", F.col("media_type").alias("content_type"), F.col("media_type").alias("media_indicator"), "price",
         F.lit("JPY").alias("currency"), F.when(F.col("affiliate_url").isNotNull(), "active").otherwise("missing").alias("link_status"), "affiliate_url", F.col("collected_at").alias("fetched_at"),
     )
-    return {"creators": creators, "posts": posts}
+    return {"creators": reuse(creators), "posts": posts}
 
 
 def import_report(imported: DataFrame) -> DataFrame:
@@ -194,7 +195,7 @@ def resolve_posts(targets: DataFrame, existing: DataFrame, creators: DataFrame)
 
 
 def resolve_identities(targets: dict[str, DataFrame], creators: DataFrame, posts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    c = resolve_creators(targets["creators"], creators)
+    c = reuse(resolve_creators(targets["creators"], creators))
     return c, resolve_posts(targets["posts"], posts, c)
 
 
@@ -214,7 +215,8 @@ def apply_resolution(targets: dict[str, DataFrame], resolved: tuple[DataFrame, D
 def second_run_changes(targets: dict[str, DataFrame], creators: DataFrame, posts: DataFrame) -> DataFrame:
     """Idempotency check: what a second run would still insert or update (zero rows is right)."""
     first = resolve_identities(targets, creators, posts)
-    c2, p2 = resolve_identities(targets, *apply_resolution(targets, first, creators, posts))
+    next_creators, next_posts = apply_resolution(targets, (first[0], reuse(first[1])), creators, posts)
+    c2, p2 = resolve_identities(targets, reuse(next_creators), reuse(next_posts))
     a = c2.filter("planned_action in ('INSERT','UPDATE')").select(F.col("external_creator_id").alias("identity"), "status")
     return a.unionByName(p2.filter("status in ('NEW','EXISTING_UPDATE_NEEDED')").select(F.col("external_post_id").alias("identity"), "status"))
 
@@ -383,8 +385,9 @@ def staging_plan(records: DataFrame, existing: DataFrame, data_source_id=None) -
         (F.col("_url_id") != F.col("external_id"), "CONFLICT", "OFFICIAL_URL_ID_CONFLICT"),
         (F.col("_in").isNull(), "NEW", "TARGET_ABSENT"), (foreign, "CONFLICT", "DATA_SOURCE_CONFLICT"), (exact, "UNCHANGED", "EXACT_FROZEN_MATCH"),
     )
-    state, reason = F, F
-    for condition, s, r in rules:
+    (condition, s, r), *others = rules
+    state, reason = F.when(condition, s), F.when(condition, r)
+    for condition, s, r in others:
         state, reason = state.when(condition, s), reason.when(condition, r)
     return j.select("external_id", state.otherwise("EXISTING_CHANGED").alias("state"), reason.otherwise("EXISTING_ROW_DIFFERS").alias("reason"))
 
