@@ -29,11 +29,13 @@ def merge_candidates(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = inputs.join(owner, "code_key", "left")
     group = F.coalesce(F.concat(F.lit("id:"), F.coalesce("external_product_id", "_owner")), F.concat(F.lit("code:"), "code_key"), F.concat(F.lit("row:"), F.col("position").cast("string")))
     rows = reuse(rows.withColumn("_g", group))
-    firsts = rows.groupBy("_g").agg(F.min_by("code_key", F.when(F.col("code_key").isNotNull(), F.col("position"))).alias("_code"))
+    coded = F.when(F.col("code_key").isNotNull(), F.col("position"))
+    firsts = rows.groupBy("_g").agg(F.min_by(F.struct("code_key", "_owner"), coded).alias("_f"))
+    firsts = firsts.select("_g", F.col("_f.code_key").alias("_code"), F.col("_f._owner").alias("_code_owner"))
     by_sort = rows.groupBy("_g", "sort").agg(F.min_by("payload_hash", "position").alias("_hash"), F.min_by(F.struct("raw", F.col("position").alias("raw_source_position"), "payload_hash"), "position").alias("_prov"))
     j = rows.join(firsts, "_g").join(by_sort.drop("_prov"), ["_g", "sort"])
     issue = (
-        F.when(F.col("external_product_id").isNotNull() & (F.col("external_product_id") != F.col("_owner")), "PROVENANCE_CONFLICT_EXTERNAL_ID")
+        F.when(F.col("external_product_id") != F.col("_code_owner"), "PROVENANCE_CONFLICT_EXTERNAL_ID")
         .when(F.col("code_key").isNotNull() & (F.col("code_key") != F.col("_code")), "PROVENANCE_CONFLICT_NORMALIZED_CODE")
         .when(F.col("payload_hash") != F.col("_hash"), F.concat(F.lit("PROVENANCE_CONFLICT_"), F.upper("sort")))
     )

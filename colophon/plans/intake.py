@@ -285,14 +285,14 @@ def media_jobs(t: Tables):
     return intake.media_jobs(items)
 
 
-_AGE = f"greatest(0, date '{AS_OF_DAY}' - (release_date + interval 8000 day)::date)"
+_AGE = f"greatest(0, date '{AS_OF_DAY}' - (release_date + interval 10200 day)::date)"
 
 
 @query("B18_release_age", f"""select id, age, case when age is null then 'UNKNOWN' when age<=7 then '0-7d' when age<=30 then '8-30d' when age<=90 then '31-90d' when age<=180 then '91-180d' else '180+d' end bucket,
   case when age is null then -1000 when age<=7 then 1000-2*age when age<=30 then 850-age when age<=90 then 650-age when age<=180 then 400-age else -age end freshness
   from (select id, cast({_AGE} as int) age from works)""", "works")
 def release_age(t: Tables):
-    shifted = F.date_format(F.date_add("release_date", 8000), "yyyy-MM-dd")
+    shifted = F.date_format(F.date_add("release_date", 10200), "yyyy-MM-dd")
     rows = t.works("id", "release_date").select("id", dates.release_age_days(shifted, AS_OF_DAY).alias("age"))
     return rows.select("id", "age", dates.age_bucket("age").alias("bucket"), dates.freshness_score("age").alias("freshness"))
 
@@ -304,7 +304,7 @@ select id, case when avg<=5 then least(cnt,100) + floor(avg*10+0.5) else 0 end::
   + case when pos is null then 0 else greatest(0,600-pos) end + case when avg<=5 then least(cnt,100) + floor(avg*10+0.5) else 0 end)::double score from r""", "works")
 def priority(t: Tables):
     i = F.col("id")
-    shifted = F.date_format(F.date_add("release_date", 8000), "yyyy-MM-dd")
+    shifted = F.date_format(F.date_add("release_date", 10200), "yyyy-MM-dd")
     rows = t.works("id", "release_date", "popularity").select(
         "id", dates.release_age_days(shifted, AS_OF_DAY).alias("age"), dates.review_signal("popularity", (i % 70) / 10).alias("review"),
         F.when(i % 2 == 0, i % 900).alias("pos"))
