@@ -21,7 +21,7 @@ def order_by(order: Order) -> list[Column]:
     return [F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_last() for c, d in order]
 
 
-def _precedes(left: dict[str, Column], right: dict[str, Column], order: Order) -> Column:
+def precedes(left: dict[str, Column], right: dict[str, Column], order: Order) -> Column:
     """True when the left key sorts strictly before the right key."""
     steps = []
     same = F.lit(True)
@@ -51,7 +51,7 @@ def numbered(df: DataFrame, keys: list[str], order: Order, name: str = "rank", b
         .scalar()
     )
     row = {c: F.col(c) for c in names}
-    bucket = F.size(F.filter("_edges", lambda e: _precedes({c: e[c] for c in names}, row, full)))
+    bucket = F.size(F.filter("_edges", lambda e: precedes({c: e[c] for c in names}, row, full)))
     cut = df.withColumn("_edges", edges).withColumn("_bucket", bucket).drop("_edges")
     counts = cut.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     earlier = (
@@ -76,7 +76,7 @@ def top_within(df: DataFrame, keys: list[str], order: Order, k: int, name: str =
 
 def latest_per_key(df: DataFrame, keys: list[str], order: Order) -> DataFrame:
     """The first row per key in the given order (``DISTINCT ON``)."""
-    return top_within(df, keys, order, 1, "_rank").drop("_rank")
+    return top_within(df, keys, order, 1, "__place").drop("__place")
 
 
 def top_rows(df: DataFrame, order: Order, limit: int, offset: int = 0, ceiling: int | None = None) -> DataFrame:
