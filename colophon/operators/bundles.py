@@ -380,7 +380,7 @@ def staging_plan(records: DataFrame, existing: DataFrame, data_source_id=None) -
     )
     foreign = F.lit(data_source_id is not None) & ~F.col("row.data_source_id").eqNullSafe(F.lit(data_source_id))
     rules = (
-        (~F.col("classification").eqNullSafe(F.lit("SAFE_PUBLIC_METADATA")), "CONFLICT", "NOT_PUBLIC_SAFE_METADATA"),
+        (~F.col("classification").eqNullSafe(F.lit("PUBLIC_SAFE_METADATA")), "CONFLICT", "NOT_PUBLIC_SAFE_METADATA"),
         ((F.col("_in") > 1) | (F.col("_un") > 1), "CONFLICT", "MULTIPLE_EXISTING_IDENTITY_ROWS"),
         (F.col("_url_id") != F.col("external_id"), "CONFLICT", "OFFICIAL_URL_ID_CONFLICT"),
         (F.col("_in").isNull(), "NEW", "TARGET_ABSENT"), (foreign, "CONFLICT", "DATA_SOURCE_CONFLICT"), (exact, "UNCHANGED", "EXACT_FROZEN_MATCH"),

@@ -308,7 +308,7 @@ def staging_plan(t: Tables):
     i = F.col("post_id")
     rows = t.posts().select(
         i, F.lit("post").alias("entity_type"), F.col("external_post_id").alias("external_id"), F.concat(F.lit("https://creators.example/posts/"), "external_post_id").alias("official_url"), F.col("creator_id").cast("string").alias("creator_external_id"),
-        F.sha2("title", 256).alias("metadata_hash"), F.when(i % 8 == 0, "PAID").otherwise("SAFE_PUBLIC_METADATA").alias("classification"))
+        F.sha2("title", 256).alias("metadata_hash"), F.when(i % 8 == 0, "PAID").otherwise("PUBLIC_SAFE_METADATA").alias("classification"))
     known = rows.filter("post_id % 3 <> 0 or post_id % 5 = 0 or post_id % 9 = 0").withColumns({
         "external_id": F.when((i % 9 == 0) & (i % 5 != 0), F.concat(F.lit("z"), "external_id")).otherwise(F.col("external_id")), "metadata_hash": F.when(i % 7 == 0, "0").otherwise(F.col("metadata_hash")),
         "data_source_id": F.lit(1), "visibility": F.lit("public"), "review_status": F.lit("public_metadata_staged")})
