@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from colophon.functions.codes import _col
 from colophon.operators.ranking import latest_per_key
@@ -115,13 +115,18 @@ def page_access(status, location, html) -> Column:
     )
 
 
-def _field(entry: Column, name: str) -> Column:
-    return F.get_json_object(entry, f"$['{name}']")
+ENTRY_FIELDS = ("@type", "@id", "url", "name", "headline", "description", "author", "datePublished", "isAccessibleForFree", "offers", "itemListElement", "item", "position")
+ENTRY_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in ENTRY_FIELDS])
+
+
+def parse_entry(entry: Column) -> Column:
+    """Known fields of a JSON-LD entry as texts (nested values keep their JSON), read in one parse."""
+    return F.from_json(entry, ENTRY_SCHEMA)
 
 
 def _has_type(entry: Column, types: tuple[str, ...]) -> Column:
-    text = F.lower(F.coalesce(_field(entry, "@type"), F.lit("")))
-    return F.exists(F.split(F.regexp_replace(text, "[\\[\\]\"\\s]", ""), ","), lambda t: t.isin(*types))
+    text = F.lower(F.coalesce(entry["@type"], F.lit("")))
+    return text.rlike("(^|[\\[\",\\s])(" + "|".join(types) + ")([\\]\",\\s]|$)")
 
 
 def path_of(url) -> Column:
@@ -149,28 +154,34 @@ def page_classify(pages: DataFrame, host: str, known_creators: DataFrame | None
     m = page_metadata(pages, host)
     self_url = site_url(F.col("url"), F.col("url"), F.lit(host))
     base = m.withColumns({"source_url": self_url, "_a": page_access("status", "location", "html")}).withColumns({"slug": creator_slug("source_url"), "post": post_id("source_url")})
-    # creator evidence
-    person, profile = (lambda e: _has_type(e, ("person",))), (lambda e: _has_type(e, ("profilepage",)))
-    claim = lambda e, name: site_url(_field(e, name), F.col("source_url"), F.lit(host)) == F.col("source_url")
-    own = lambda e: F.coalesce(F.coalesce(claim(e, "url"), claim(e, "@id")), F.lit(False))
-    any_claim = lambda e: F.coalesce(claim(e, "url"), F.lit(False)) | F.coalesce(claim(e, "@id"), F.lit(False))
-    og = lambda key: F.coalesce(site_url(meta_value(key), F.col("source_url"), F.lit(host)) == F.col("source_url"), F.lit(False))
-    consistent = F.exists("json_ld", lambda e: (person(e) | profile(e)) & any_claim(e)) | og("og:url") | F.coalesce(F.col("canonical") == F.col("source_url"), F.lit(False))
+    # every JSON-LD entry once: its fields, its kind and whether it names this page
+    own = lambda v: F.coalesce(site_url(v, F.col("source_url"), F.lit(host)) == F.col("source_url"), F.lit(False))
+    base = base.withColumn("_parsed", F.transform("json_ld", parse_entry))
+    described = F.transform("_parsed", lambda e: F.struct(
+        e.alias("f"), _has_type(e, ("person",)).alias("person"), _has_type(e, ("profilepage",)).alias("profile"), _has_type(e, POST_TYPES).alias("article"),
+        own(e["url"]).alias("url_own"), own(e["@id"]).alias("id_own"),
+        F.coalesce(F.get_json_object(e["offers"], "$.price"), F.get_json_object(e["offers"], "$[0].price")).alias("price"),
+    ))
+    base = base.withColumn("_e", described)
+    self_named = lambda e: e["url_own"] | (e["f"]["url"].isNull() & e["id_own"])
+    consistent = F.exists("_e", lambda e: (e["person"] | e["profile"]) & (e["url_own"] | e["id_own"])) | own(meta_value("og:url")) | F.coalesce(F.col("canonical") == F.col("source_url"), F.lit(False))
     ids = F.regexp_extract_all("html", F.lit("(?i)\\bdata-creator-id\\s*=\\s*[\"']?([^\"'\\s>]+)"), F.lit(1))
     evidence = F.array_sort(F.array_compact(F.array(
-        F.when(F.exists("json_ld", lambda e: person(e) & own(e)), "JSON_LD_PERSON_SELF"), F.when(F.exists("json_ld", lambda e: profile(e) & own(e)), "JSON_LD_PROFILE_SELF"),
+        F.when(F.exists("_e", lambda e: e["person"] & self_named(e)), "JSON_LD_PERSON_SELF"), F.when(F.exists("_e", lambda e: e["profile"] & self_named(e)), "JSON_LD_PROFILE_SELF"),
         F.when(F.array_contains(ids, F.col("slug")), "EXPLICIT_CREATOR_ID_SELF"), F.when(F.exists("links", lambda u: post_id(u).isNotNull()), "CREATOR_POST_RELATION"),
         F.when(F.exists("discovery", lambda d: d.startswith("RANKING_CREATOR_ITEM_")), "RANKING_CREATOR_ITEM_LINK"),
     )))
-    structured = F.coalesce(F.try_element_at(F.filter("json_ld", person), F.lit(1)), F.try_element_at(F.filter("json_ld", profile), F.lit(1)))
-    article = F.coalesce(
-        F.try_element_at(F.filter("json_ld", lambda e: _has_type(e, POST_TYPES)), F.lit(1)),
-        F.try_element_at(F.filter("json_ld", lambda e: F.coalesce(_field(e, "name"), _field(e, "headline"), _field(e, "description")).isNotNull()), F.lit(1)),
-    )
+    first = lambda test: F.try_element_at(F.filter("_e", test), F.lit(1))["f"]
+    structured = F.coalesce(first(lambda e: e["person"]), first(lambda e: e["profile"]))
+    worded = lambda e: F.coalesce(e["f"]["name"], e["f"]["headline"], e["f"]["description"]).isNotNull()
+    article = F.coalesce(first(lambda e: e["article"]), first(worded))
     base = base.withColumns({"_entry": F.when(F.col("post").isNotNull(), article).otherwise(structured), "evidence": evidence, "consistent": consistent})
-    name = clean_text(F.coalesce(F.when(F.col("post").isNotNull(), _field(F.col("_entry"), "headline")), _field(F.col("_entry"), "name"), meta_value("og:title"), F.col("title")), 300)
-    author = creator_slug(site_url(F.coalesce(F.get_json_object("_entry", "$.author.url"), F.get_json_object("_entry", "$.author['@id']"), F.get_json_object("_entry", "$.author[0].url"), _field(F.col("_entry"), "author")), F.col("url"), F.lit(host)))
-    published = F.coalesce(_field(F.col("_entry"), "datePublished"), meta_value("article:published_time"))
+    entry = F.col("_entry")
+    name = clean_text(F.coalesce(F.when(F.col("post").isNotNull(), entry["headline"]), entry["name"], meta_value("og:title"), F.col("title")), 300)
+    writer = entry["author"]
+    writer = F.when(writer.startswith("{"), F.coalesce(F.get_json_object(writer, "$.url"), F.get_json_object(writer, "$['@id']"))).when(writer.startswith("["), F.get_json_object(writer, "$[0].url")).otherwise(writer)
+    author = creator_slug(site_url(writer, F.col("url"), F.lit(host)))
+    published = F.coalesce(entry["datePublished"], meta_value("article:published_time"))
     base = base.withColumns({"name": name, "_author": author, "published_at": F.when(published.rlike(TIMESTAMP_PATTERN), published)})
     if known_creators is not None:
         # the author named in the metadata, else the first linked creator that is known
@@ -182,8 +193,8 @@ def page_classify(pages: DataFrame, host: str, known_creators: DataFrame | None
     else:
         base = base.withColumns({"creator_external_id": F.col("_author"), "_known": F.lit(False)})
     hit = lambda patterns: F.col("html").rlike("(?i)" + "|".join(patterns))
-    free = F.exists("json_ld", lambda e: F.coalesce(_field(e, "isAccessibleForFree") == "false", F.lit(False)))
-    price = F.try_element_at(F.filter(F.transform("json_ld", lambda e: F.coalesce(F.get_json_object(e, "$.offers.price"), F.get_json_object(e, "$.offers[0].price"))), lambda x: x.isNotNull()), F.lit(1)).try_cast("double")
+    free = F.exists("_e", lambda e: F.coalesce(e["f"]["isAccessibleForFree"] == "false", F.lit(False)))
+    price = F.try_element_at(F.filter(F.transform("_e", lambda e: e["price"]), lambda x: x.isNotNull()), F.lit(1)).try_cast("double")
     shown = F.when(free | F.coalesce(price > 0, F.lit(False)) | hit(PAID_MARKERS), "paid").when(hit(LIMITED_MARKERS), "limited").otherwise("public")
     open_page, is_post = F.col("_a.access") == "PUBLIC_ACCESSIBLE", F.col("post").isNotNull()
     is_creator = ~is_post & F.col("slug").isNotNull()
@@ -231,12 +242,13 @@ def discover_creators(pages: DataFrame, host: str, rendered: DataFrame | None =
     Sources: JSON-LD list items, anchors, and ``rendered(page_id, rank, href, text)`` units.
     """
     m = page_metadata(pages, host).select("page_id", "url", "json_ld", "anchors")
-    lists = m.select("page_id", "url", F.explode(F.filter("json_ld", lambda e: _has_type(e, ("itemlist",)))).alias("_e"))
-    items = lists.select("page_id", "url", F.posexplode(F.from_json(_field(F.col("_e"), "itemListElement"), "array<string>")).alias("_i", "_x"))
-    item = F.coalesce(_field(F.col("_x"), "item"), F.col("_x"))
+    lists = m.select("page_id", "url", F.explode(F.transform("json_ld", parse_entry)).alias("_e")).filter(_has_type(F.col("_e"), ("itemlist",)))
+    items = lists.select("page_id", "url", F.posexplode(F.from_json(F.col("_e")["itemListElement"], "array<string>")).alias("_i", "_raw")).withColumn("_x", parse_entry(F.col("_raw")))
+    items = items.withColumn("_item", F.when(F.col("_x.item").isNotNull(), parse_entry(F.col("_x.item"))).otherwise(F.col("_x")))
+    item = F.col("_item")
     from_lists = items.filter(_has_type(item, ("person", "profilepage"))).select(
-        "page_id", site_url(F.coalesce(_field(item, "url"), _field(item, "@id")), F.col("url"), F.lit(host)).alias("found"), F.lit(0).alias("_source"), F.col("_i").alias("_place"), F.lit("json_ld_item_list").alias("method"),
-        F.coalesce(_field(F.col("_x"), "position").try_cast("int"), F.col("_i") + 1).alias("ranking_position"), clean_text(_field(item, "name"), 160).alias("text"), F.array(F.lit("RANKING_CREATOR_ITEM_JSON_LD")).alias("evidence"))
+        "page_id", site_url(F.coalesce(item["url"], item["@id"]), F.col("url"), F.lit(host)).alias("found"), F.lit(0).alias("_source"), F.col("_i").alias("_place"), F.lit("json_ld_item_list").alias("method"),
+        F.coalesce(F.col("_x.position").try_cast("int"), F.col("_i") + 1).alias("ranking_position"), clean_text(item["name"], 160).alias("text"), F.array(F.lit("RANKING_CREATOR_ITEM_JSON_LD")).alias("evidence"))
     from_anchors = m.select("page_id", F.posexplode("anchors").alias("_i", "_x")).select(
         "page_id", F.col("_x.url").alias("found"), F.lit(1).alias("_source"), F.col("_i").alias("_place"), F.lit("ranking_anchor").alias("method"), F.lit(None).cast("int").alias("ranking_position"), F.col("_x.text").alias("text"), anchor_evidence(F.col("_x")).alias("evidence"))
     parts = [from_lists, from_anchors]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from colophon import constants as K
 from colophon.operators.greedy import first_come
@@ -61,14 +61,35 @@ def lane_targets(size: int) -> dict[str, int]:
     return out
 
 
+def _order_key() -> Column:
+    """``CANDIDATE_ORDER`` as one ascending struct: falling dates by mirrored digits, nulls last."""
+    mirrored = F.translate("release_date", "0123456789", "9876543210")
+    parts = [(-F.col("priority_score")), mirrored, F.col("code_key"), F.col("external_product_id")]
+    fields = [x.alias(f"k{i}{j}") for i, c in enumerate(parts) for j, x in enumerate((c.isNull(), c))]
+    return F.struct(*fields, "position")
+
+
 def _pick(pool: DataFrame, taken: DataFrame | None, limit: int) -> DataFrame:
-    """First ``limit`` candidates in order that repeat neither an id nor a code."""
+    """First ``limit`` candidates in order that repeat neither an id nor a code.
+
+    The choice depends only on rows before it, so the head of the order is usually enough;
+    when repeats eat up the head, the whole pool is scanned instead.
+    """
+    if limit <= 0:
+        return pool.filter("false")
     if taken is not None:
         for key in ("external_product_id", "code_key"):
             pool = pool.join(taken.filter(F.col(key).isNotNull()).select(key), key, "left_anti")
-    placed = numbered(reuse(pool), [], CANDIDATE_ORDER, "_place")
-    free = first_come(placed, ["external_product_id", "code_key"], "_place")
-    return reuse(free.orderBy("_place").limit(limit).drop("_place"))
+    keyed = pool.withColumn("_place", _order_key())
+    size = 3 * limit
+    head = reuse(keyed.orderBy("_place").limit(size))
+    for rows in (head, None):
+        rows = reuse(keyed) if rows is None else rows
+        free = first_come(rows, ["external_product_id", "code_key"], "_place")
+        picked = reuse(free.orderBy("_place").limit(limit).drop("_place"))
+        if rows is not head or picked.count() == limit or head.count() < size:
+            break
+    return picked
 
 
 def select_lanes(ranked: DataFrame, latest: DataFrame, backfill: DataFrame, size: int) -> DataFrame:
@@ -133,15 +154,16 @@ def older_in_top(df: DataFrame, order: Order, top: int = 50, days: int = 180) ->
 
 
 def run_stats(entries: DataFrame, states: tuple[str, ...]) -> DataFrame:
-    """State counts, latency figures and idle gaps of a run in one row.
+    """State counts, latency figures and idle gaps per run.
 
-    ``entries(state, started_ms, finished_ms)``; a gap is the pause before the next start.
-    Runs are short lists worked one at a time, so ``run_id`` groups stay small.
+    ``entries(run_id, state, started_ms, finished_ms)``; a gap is the pause before the next
+    start.  Entries are numbered and joined to their predecessor, so one long run is spread
+    over the cluster like many short ones.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("run_id").orderBy("started_ms")
-    rows = entries.withColumn("latency", F.col("finished_ms") - F.col("started_ms")).withColumn("gap", F.col("started_ms") - F.lag("finished_ms").over(w))
+    placed = numbered(entries, ["run_id"], [("started_ms", "asc"), ("finished_ms", "asc")], "_place")
+    before = placed.select("run_id", (F.col("_place") + 1).alias("_place"), F.col("finished_ms").alias("_before"))
+    rows = placed.join(before, ["run_id", "_place"], "left")
+    rows = rows.withColumns({"latency": F.col("finished_ms") - F.col("started_ms"), "gap": F.col("started_ms") - F.col("_before")})
     disc = lambda c, p: F.coalesce(F.expr(f"percentile_disc({p}) within group (order by {c})").cast("double"), F.lit(0.0))
     return rows.groupBy("run_id").agg(
         F.count("*").alias("total"), *[F.count_if(F.col("state") == s).alias(s.lower()) for s in states],

@@ -89,14 +89,12 @@ def recently_viewed(views: DataFrame, n: int = 20) -> DataFrame:
 
 
 def work_cast(works: DataFrame, work_performers: DataFrame, performers: DataFrame) -> DataFrame:
-    """Works with their performers as one list in billing order."""
-    links = work_performers.join(performers, "performer_id")
-    cast = links.groupBy(F.col("work_id").alias("id")).agg(
-        F.array_sort(F.collect_list(F.struct("position", "name"))).alias("_cast")
-    )
-    return works.join(cast, "id", "left").withColumn(
-        "performers", F.coalesce(F.transform("_cast", lambda x: x["name"]), F.array().cast("array<string>"))
-    ).drop("_cast")
+    """Works with their performers, one row per billing place; works without cast keep one row.
+
+    Rows rather than lists, so a work with a very long cast is never gathered in one place.
+    """
+    links = work_performers.join(performers, "performer_id").select(F.col("work_id").alias("id"), "position", F.col("name").alias("performer"))
+    return works.join(links, "id", "left")
 
 
 def interleave(primary: DataFrame, secondary: DataFrame, limit: int, start: int = 0) -> DataFrame:
@@ -107,9 +105,7 @@ def interleave(primary: DataFrame, secondary: DataFrame, limit: int, start: int
     """
     limit = max(0, limit)
     i = F.col("position") + start
-    a = primary.filter(F.col("position") < limit).withColumn("slot", F.floor(i / 3) * 4 + i % 3) if start < 3 else (
-        primary.filter(F.col("position") < limit).withColumn("slot", F.floor(F.col("position") / 3) * 4 + F.col("position") % 3 + 4)
-    )
+    a = primary.filter(F.col("position") < limit).withColumn("slot", F.floor(i / 3) * 4 + i % 3)
     b = secondary.filter(F.col("position") < limit).withColumn("slot", F.col("position") * 4 + 3)
     out = a.withColumn("side", F.lit("primary")).unionByName(b.withColumn("side", F.lit("secondary")), allowMissingColumns=True)
     return out.orderBy("slot", "side").limit(limit)

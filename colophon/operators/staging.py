@@ -23,8 +23,9 @@ def match_works_for_import(items: DataFrame, works: DataFrame) -> DataFrame:
     ``items(external_product_id, code_key)``, ``works(id, external_product_id, product_code)``.
     Two semi joins; one OR condition would compare every pair.
     """
-    ids = items.filter("external_product_id <> ''").select("external_product_id").distinct()
-    codes = items.filter("code_key is not null").select(F.lower("code_key").alias("_key")).distinct()
+    keys = reuse(items.select("external_product_id", "code_key").distinct())
+    ids = keys.filter("external_product_id <> ''").select("external_product_id").distinct()
+    codes = keys.filter("code_key is not null").select(F.lower("code_key").alias("_key")).distinct()
     by_id = works.join(ids, "external_product_id", "left_semi").select("id")
     by_code = works.withColumn("_key", code_key_lower("product_code")).join(codes, "_key", "left_semi").select("id")
     return works.join(by_id.unionByName(by_code).distinct(), "id", "left_semi")
@@ -238,7 +239,7 @@ def reason_counts(df: DataFrame, column: str) -> DataFrame:
 def class_counts(df: DataFrame, column: str, classes: tuple[str, ...]) -> DataFrame:
     """Rows per class, with zero for classes that do not occur."""
     counts = df.groupBy(F.col(column).alias("class")).agg(F.count("*").alias("n"))
-    every = df.sparkSession.createDataFrame([(c,) for c in classes], "class string")
+    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"))
     return every.join(counts, "class", "left").fillna(0, ["n"])
 
 

@@ -8,6 +8,7 @@ from colophon.operators import intake, merging
 from colophon.plans import sqltext as S
 from colophon.plans.bindings import AS_OF, AS_OF_DAY, Tables
 from colophon.plans.registry import query
+from colophon.session import shared_folder
 from colophon.sources import catalog_csv, exports, source_items
 
 # -- catalog CSV rows, derived from the works with faults by key ------------------------------
@@ -424,3 +425,23 @@ def error_log(t: Tables):
     new = rows.filter("api_offset % 2 = 0").withColumn("attempt_count", F.lit(1).cast("bigint"))
     done = rows.filter(F.col("external_product_id").endswith("7")).select("job_id", "external_product_id", F.lit("done").alias("resolved_at"))
     return merging.api_error_log(old, new, done).select("api_offset", "stage", "error_type", "external_product_id", "attempt_count", "resolved_at")
+
+
+# -- files written from the tables and read back ---------------------------------------------------
+@query("A1_read_catalog_csv", """select row_number() over (order by id) + 1 as row, product_code, title, maker, cast(duration as varchar) duration, concat('line one', chr(10), 'say "', series, '"') description from works""", "works")
+def read_csv(t: Tables):
+    folder = shared_folder(t.spark, "csv")
+    w = t.works("id", "product_code", "title", "maker", "series", "duration").orderBy("id")
+    named = w.select(F.col("product_code").alias("\ufeff品番"), F.col("title").alias("タイトル"), F.col("maker").alias(" メーカー "), F.col("duration").alias("Duration"), F.concat(F.lit('line one\nsay "'), "series", F.lit('"')).alias("説明"))
+    named.write.option("header", True).option("escape", '"').csv(f"{folder}/rows")
+    return catalog_csv.read_catalog_csv(t.spark, f"{folder}/rows").select("row", "product_code", "title", "maker", "duration", "description")
+
+
+@query("A5_frozen_jsonl", "select id as position, product_code, maker, case when id%3=0 then null else series end series, concat(genre,'|',maker) reasons from works", "works")
+def frozen_jsonl(t: Tables):
+    folder = shared_folder(t.spark, "frozen")
+    rows = t.works("id", "product_code", "maker", "series", "genre").select(
+        F.col("id").alias("position"), "product_code", "maker", F.when(F.col("id") % 3 != 0, F.col("series")).alias("series"), F.array("genre", "maker").alias("reasons"))
+    exports.write_frozen_jsonl(rows, f"{folder}/records")
+    back = exports.read_frozen_jsonl(t.spark, f"{folder}/records", rows.schema)
+    return back.withColumn("reasons", F.array_join("reasons", "|"))

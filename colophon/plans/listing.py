@@ -198,13 +198,10 @@ def work_detail(t: Tables):
 
 
 # -- joins and windows of the listing layer --------------------------------------------------------
-@query("D4_work_cast", """
-select id, product_code, coalesce(names,'') performers from works left join (
-  select work_id, string_agg(s_name, '|' order by position) names from work_performers join supplier on s_suppkey=performer_id group by 1)
-  on work_id = id""", "works work_performers")
+@query("D4_work_cast", """select id, product_code, cast(position as bigint) as position, s_name performer from works left join work_performers on work_id = id
+  left join supplier on s_suppkey = performer_id""", "works work_performers")
 def work_cast(t: Tables):
-    rows = related.work_cast(t.works("id", "product_code"), t.work_performers(), t.performers())
-    return rows.select("id", "product_code", F.array_join("performers", "|").alias("performers"))
+    return related.work_cast(t.works("id", "product_code"), t.work_performers(), t.performers())
 
 
 @query("G3_keyset_page", "select id, product_code from works where id > 500 order by id limit 100", "works")
