@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from colophon.functions.codes import _col
 from colophon.operators.ranking import latest_per_key
+from colophon.session import reuse
 
 # fixed values: routes that are no creator page, and the markers of each kind of wall
 RESERVED_ROUTES = (
@@ -34,9 +35,17 @@ def clean_text(c, limit: int) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of a tag text, in any quoting."""
-    pattern = f"(?i)(?:^|[\\s\"'<])(?:{name})\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s>\"']+))"
-    return F.coalesce(*[F.nullif(F.regexp_extract(tag, pattern, g), F.lit("")) for g in (1, 2, 3)])
+    """Value of an attribute of a tag text, in any quoting; empty when absent."""
+    pattern = f"(?i)(?:^|[\\s\"'<])(?:{name})\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+)"
+    return F.regexp_replace(F.regexp_extract(tag, pattern, 1), "^[\"']|[\"']$", "")
+
+
+def first_filled(*values: Column) -> Column:
+    """First value that is not empty, else empty."""
+    out = values[-1]
+    for v in reversed(values[:-1]):
+        out = F.when(v != "", v).otherwise(out)
+    return out
 
 
 def site_url(href: Column, page_url: Column, host: Column) -> Column:
@@ -68,30 +77,41 @@ def page_metadata(pages: DataFrame, host: str | None = None) -> DataFrame:
     as_list = lambda b: F.from_json(F.when(F.trim(b).startswith("["), F.trim(b)).otherwise(F.concat(F.lit("["), F.trim(b), F.lit("]"))), "array<string>")
     none = F.array().cast("array<string>")
     tops = F.flatten(F.transform(blocks, lambda b: F.coalesce(as_list(b), none)))
-    graphs = F.flatten(F.transform(tops, lambda e: F.coalesce(F.from_json(F.get_json_object(e, "$['@graph']"), "array<string>"), none)))
     metas = F.transform(
         F.regexp_extract_all(html, F.lit("(?i)<meta\\b[^>]*>"), F.lit(0)),
-        lambda m: F.struct(F.lower(F.coalesce(attribute(m, "property"), attribute(m, "name"))).alias("key"), clean_text(attribute(m, "content"), 2000).alias("value")),
+        lambda m: F.struct(F.lower(attribute(m, "property")).alias("property"), F.lower(attribute(m, "name")).alias("name"), attribute(m, "content").alias("content")),
     )
     links = F.filter(F.regexp_extract_all(html, F.lit("(?i)<link\\b[^>]*>"), F.lit(0)), lambda m: F.lower(attribute(m, "rel")) == "canonical")
     tags = F.regexp_extract_all(html, F.lit("(?is)<a\\b([^>]*)>(.*?)</a\\s*>"), F.lit(1))
     texts = F.regexp_extract_all(html, F.lit("(?is)<a\\b([^>]*)>(.*?)</a\\s*>"), F.lit(2))
-    anchors = F.zip_with(
+    # attributes first, then what is made of them: inside a lambda nothing is shared otherwise
+    found = F.zip_with(
         tags, texts,
         lambda a, x: F.struct(
-            site_url(attribute(a, "href"), F.col("url"), F.col("_host")).alias("url"), clean_text(F.regexp_replace(x, "<[^>]+>", " "), 160).alias("text"), clean_text(attribute(a, "rel"), 100).alias("rel"),
-            clean_text(attribute(a, "data-creator-id"), 100).alias("creator_id"), clean_text(F.coalesce(attribute(a, "data-entity-type"), attribute(a, "data-type"), attribute(a, "data-kind")), 100).alias("entity_type"),
-            clean_text(attribute(a, "data-testid"), 100).alias("testid"), clean_text(attribute(a, "class"), 200).alias("class_name"),
+            F.trim(attribute(a, "href")).alias("href"), F.regexp_replace(x, "<[^>]+>", " ").alias("text"), attribute(a, "rel").alias("rel"), attribute(a, "data-creator-id").alias("creator_id"),
+            attribute(a, "data-entity-type|data-type|data-kind").alias("entity_type"), attribute(a, "data-testid").alias("testid"), attribute(a, "class").alias("class_name"),
         ),
     )
-    out = pages.withColumn("_host", own).withColumns(
+    staged = pages.withColumn("_host", own).withColumns(
         {
             "title": clean_text(F.nullif(F.regexp_extract(html, "(?is)<title\\b[^>]*>(.*?)</title\\s*>", 1), F.lit("")), 300),
-            "json_ld": F.concat(tops, graphs), "meta": F.filter(metas, lambda m: m["key"].isNotNull() & m["value"].isNotNull()),
-            "canonical": site_url(attribute(F.try_element_at(links, F.lit(1)), "href"), F.col("url"), F.col("_host")), "anchors": F.filter(anchors, lambda a: a["url"].isNotNull()),
+            "_tops": tops, "_metas": metas, "_links": links, "_found": F.filter(found, lambda a: a["href"] != ""),
+        }
+    )
+    graphs = F.flatten(F.transform("_tops", lambda e: F.coalesce(F.from_json(F.get_json_object(e, "$['@graph']"), "array<string>"), none)))
+    keyed = F.transform("_metas", lambda m: F.struct(first_filled(m["property"], m["name"]).alias("key"), clean_text(m["content"], 2000).alias("value")))
+    anchors = F.transform("_found", lambda a: F.struct(
+        site_url(a["href"], F.col("url"), F.col("_host")).alias("url"), clean_text(a["text"], 160).alias("text"),
+        *[clean_text(a[c], n).alias(c) for c, n in (("rel", 100), ("creator_id", 100), ("entity_type", 100), ("testid", 100), ("class_name", 200))],
+    ))
+    staged = staged.withColumns({"json_ld": F.concat("_tops", graphs), "meta": keyed, "anchors": anchors, "_href": attribute(F.try_element_at("_links", F.lit(1)), "href")})
+    out = staged.withColumns(
+        {
+            "meta": F.filter("meta", lambda m: (m["key"] != "") & m["value"].isNotNull()), "anchors": F.filter("anchors", lambda a: a["url"].isNotNull()),
+            "canonical": F.when(F.col("_href") != "", site_url(F.col("_href"), F.col("url"), F.col("_host"))),
         }
     )
-    return out.withColumn("links", F.array_distinct(F.transform("anchors", lambda a: a["url"]))).drop("_host")
+    return out.withColumn("links", F.array_distinct(F.transform("anchors", lambda a: a["url"]))).drop("_host", "_tops", "_metas", "_links", "_found", "_href")
 
 
 def meta_value(key: str) -> Column:
@@ -183,6 +203,15 @@ def page_classify(pages: DataFrame, host: str, known_creators: DataFrame | None
     author = creator_slug(site_url(writer, F.col("url"), F.lit(host)))
     published = F.coalesce(entry["datePublished"], meta_value("article:published_time"))
     base = base.withColumns({"name": name, "_author": author, "published_at": F.when(published.rlike(TIMESTAMP_PATTERN), published)})
+    # what the text has to say is settled here; the raw page goes no further
+    hit = lambda patterns: F.col("html").rlike("(?i)" + "|".join(patterns))
+    free = F.exists("_e", lambda e: F.coalesce(e["f"]["isAccessibleForFree"] == "false", F.lit(False)))
+    price = F.try_element_at(F.filter(F.transform("_e", lambda e: e["price"]), lambda x: x.isNotNull()), F.lit(1)).try_cast("double")
+    shown = F.when(free | F.coalesce(price > 0, F.lit(False)) | hit(PAID_MARKERS), "paid").when(hit(LIMITED_MARKERS), "limited").otherwise("public")
+    base = reuse(base.select(
+        "page_id", "url", "source_url", "_a", "slug", "post", "links", "evidence", "consistent", "name", "_author", "published_at", shown.alias("_shown"),
+        F.col("_entry").isNotNull().alias("_structured"), F.sha2("html", 256).alias("source_page_hash"),
+    ))
     if known_creators is not None:
         # the author named in the metadata, else the first linked creator that is known
         known = known_creators.select(F.col("slug").alias("_k")).distinct()
@@ -192,22 +221,17 @@ def page_classify(pages: DataFrame, host: str, known_creators: DataFrame | None
         base = base.join(known.withColumn("_known", F.lit(True)), base.creator_external_id == F.col("_k"), "left").drop("_k")
     else:
         base = base.withColumns({"creator_external_id": F.col("_author"), "_known": F.lit(False)})
-    hit = lambda patterns: F.col("html").rlike("(?i)" + "|".join(patterns))
-    free = F.exists("_e", lambda e: F.coalesce(e["f"]["isAccessibleForFree"] == "false", F.lit(False)))
-    price = F.try_element_at(F.filter(F.transform("_e", lambda e: e["price"]), lambda x: x.isNotNull()), F.lit(1)).try_cast("double")
-    shown = F.when(free | F.coalesce(price > 0, F.lit(False)) | hit(PAID_MARKERS), "paid").when(hit(LIMITED_MARKERS), "limited").otherwise("public")
     open_page, is_post = F.col("_a.access") == "PUBLIC_ACCESSIBLE", F.col("post").isNotNull()
     is_creator = ~is_post & F.col("slug").isNotNull()
     creator_ok = F.col("name").isNotNull() & F.col("consistent") & (F.size("evidence") > 0)
     known_ok = F.coalesce(F.col("_known"), F.lit(False))
     post_ok = F.col("name").isNotNull() & known_ok
     blocked = F.when(F.col("_a.access") == "AUTH_REQUIRED", "AUTH_REQUIRED").otherwise("SOURCE_ACCESS_BLOCKED")
-    base = base.withColumn("_shown", shown)
     label = (
         F.when(~open_page, blocked).when(is_post & (F.col("_shown") != "public"), "PAID_PROTECTED").when(is_post, F.when(post_ok, "PUBLIC_SAFE_METADATA").otherwise("PUBLIC_NEEDS_REVIEW"))
         .when(is_creator, F.when(creator_ok, "PUBLIC_SAFE_METADATA").otherwise("PUBLIC_NEEDS_REVIEW")).when(F.col("source_url").contains("/posts/"), "UNSUPPORTED").otherwise("INVALID")
     )
-    kind = F.when(F.col("json_ld").isNotNull() & F.col("_entry").isNotNull(), "JSON_LD").otherwise("OPEN_GRAPH")
+    kind = F.when(F.col("_structured"), "JSON_LD").otherwise("OPEN_GRAPH")
     safe = F.col("classification") == "PUBLIC_SAFE_METADATA"
     reason = (
         F.when(~open_page, F.array(F.col("_a.reason"))).when(is_post & (F.col("_shown") == "paid"), F.array(F.lit("PAID_METADATA_EXCLUDED"))).when(is_post & (F.col("_shown") == "limited"), F.array(F.lit("LIMITED_METADATA_EXCLUDED")))
@@ -222,7 +246,7 @@ def page_classify(pages: DataFrame, host: str, known_creators: DataFrame | None
     return out.select(
         "page_id", F.when(is_post, "post").otherwise("creator").alias("entity_type"), F.coalesce("post", "slug").alias("external_id"), F.when(is_post, F.col("creator_external_id")).alias("creator_external_id"),
         "source_url", F.col("source_url").alias("official_url"), "name", F.when(is_post, F.col("published_at")).alias("published_at"), F.col("_a.access").alias("access"), visibility.alias("visibility"),
-        "classification", F.array_sort(reason).alias("reason_codes"), F.when(is_creator, F.col("evidence")).alias("entity_evidence"), F.sha2("html", 256).alias("source_page_hash"),
+        "classification", F.array_sort(reason).alias("reason_codes"), F.when(is_creator, F.col("evidence")).alias("entity_evidence"), "source_page_hash",
     )
 
 
