@@ -176,7 +176,7 @@ def page_classify(pages: DataFrame, host: str, known_creators: DataFrame | None
     base = m.withColumns({"source_url": self_url, "_a": page_access("status", "location", "html")}).withColumns({"slug": creator_slug("source_url"), "post": post_id("source_url")})
     # every JSON-LD entry once: its fields, its kind and whether it names this page
     own = lambda v: F.coalesce(site_url(v, F.col("source_url"), F.lit(host)) == F.col("source_url"), F.lit(False))
-    base = base.withColumn("_parsed", F.transform("json_ld", parse_entry))
+    base = base.withColumns({"_parsed": F.transform("json_ld", parse_entry), "_og_url": meta_value("og:url")})
     described = F.transform("_parsed", lambda e: F.struct(
         e.alias("f"), _has_type(e, ("person",)).alias("person"), _has_type(e, ("profilepage",)).alias("profile"), _has_type(e, POST_TYPES).alias("article"),
         own(e["url"]).alias("url_own"), own(e["@id"]).alias("id_own"),
@@ -184,7 +184,7 @@ def page_classify(pages: DataFrame, host: str, known_creators: DataFrame | None
     ))
     base = base.withColumn("_e", described)
     self_named = lambda e: e["url_own"] | (e["f"]["url"].isNull() & e["id_own"])
-    consistent = F.exists("_e", lambda e: (e["person"] | e["profile"]) & (e["url_own"] | e["id_own"])) | own(meta_value("og:url")) | F.coalesce(F.col("canonical") == F.col("source_url"), F.lit(False))
+    consistent = F.exists("_e", lambda e: (e["person"] | e["profile"]) & (e["url_own"] | e["id_own"])) | own(F.col("_og_url")) | F.coalesce(F.col("canonical") == F.col("source_url"), F.lit(False))
     ids = F.regexp_extract_all("html", F.lit("(?i)\\bdata-creator-id\\s*=\\s*[\"']?([^\"'\\s>]+)"), F.lit(1))
     evidence = F.array_sort(F.array_compact(F.array(
         F.when(F.exists("_e", lambda e: e["person"] & self_named(e)), "JSON_LD_PERSON_SELF"), F.when(F.exists("_e", lambda e: e["profile"] & self_named(e)), "JSON_LD_PROFILE_SELF"),
@@ -200,9 +200,11 @@ def page_classify(pages: DataFrame, host: str, known_creators: DataFrame | None
     name = clean_text(F.coalesce(F.when(F.col("post").isNotNull(), entry["headline"]), entry["name"], meta_value("og:title"), F.col("title")), 300)
     writer = entry["author"]
     writer = F.when(writer.startswith("{"), F.coalesce(F.get_json_object(writer, "$.url"), F.get_json_object(writer, "$['@id']"))).when(writer.startswith("["), F.get_json_object(writer, "$[0].url")).otherwise(writer)
-    author = creator_slug(site_url(writer, F.col("url"), F.lit(host)))
     published = F.coalesce(entry["datePublished"], meta_value("article:published_time"))
-    base = base.withColumns({"name": name, "_author": author, "published_at": F.when(published.rlike(TIMESTAMP_PATTERN), published)})
+    # one column per step keeps the expressions small
+    base = base.withColumns({"name": name, "_writer": writer, "_published": published})
+    base = base.withColumn("_writer_url", site_url(F.col("_writer"), F.col("url"), F.lit(host)))
+    base = base.withColumns({"_author": creator_slug("_writer_url"), "published_at": F.when(F.col("_published").rlike(TIMESTAMP_PATTERN), F.col("_published"))})
     # what the text has to say is settled here; the raw page goes no further
     hit = lambda patterns: F.col("html").rlike("(?i)" + "|".join(patterns))
     free = F.exists("_e", lambda e: F.coalesce(e["f"]["isAccessibleForFree"] == "false", F.lit(False)))
