@@ -246,11 +246,25 @@ def candidate_csv(t: Tables):
     return exports.candidate_csv_rows(rows, ["product_code", "duration", "names", "note"])
 
 
-@query("A10_catalog_snapshot")
+_SNAPSHOT = {
+    "works": ("works", "genre id maker product_code series title"), "work_tags": ("work_tags", "tag work_id"),
+    "creators": ("creators", "creator_id data_source_id display_name external_creator_id official_url profile_slug review_state visibility"),
+    "posts": ("posts", "affiliate_url content_type creator_id currency data_source_id external_post_id link_status media_indicator official_url post_id price review_state title visibility"),
+    "performers": ("supplier", "name performer_id"),
+}
+
+
+def _digest_sql(table: str, view: str, columns: str) -> str:
+    source = {"name": "s_name", "performer_id": "s_suppkey"} if view == "supplier" else {}
+    struct = ", ".join(f"'{c}': {source.get(c, c)}" for c in columns.split())
+    half = lambda at: f"cast(sum(cast('0x' || substr(h,{at},15) as bigint)) as varchar)"
+    return f"select '{table}' \"table\", count(*) as rows, {half(1)} || ':' || {half(16)} digest from (select sha256(cast(to_json({{{struct}}}) as varchar)) h from {view})"
+
+
+@query("A10_catalog_snapshot", " union all ".join(_digest_sql(k, *v) for k, v in _SNAPSHOT.items()), "works work_tags creators posts")
 def catalog_snapshot(t: Tables):
-    return exports.catalog_snapshot({
-        "works": t.works("id", "product_code", "title", "maker", "series", "genre"), "work_tags": t.work_tags(),
-        "creators": t.creators(), "posts": t.posts(), "performers": t.performers()})
+    frames = {"works": t.works("id", "product_code", "title", "maker", "series", "genre"), "work_tags": t.work_tags(), "creators": t.creators(), "posts": t.posts(), "performers": t.performers()}
+    return exports.catalog_snapshot({k: frames[k] for k in _SNAPSHOT})
 
 
 _CODES = r"regexp_extract_all(text, '\b([A-Za-z]{2,12})[\s_-]?([0-9]{2,8})\b', GROUP)"
