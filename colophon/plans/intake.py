@@ -416,7 +416,7 @@ def valid_event(t: Tables):
     return intake.valid_events(rows).select("event_id", "work_id", "session_id", "source")
 
 
-@query("S7_resume_since", "select (select max(event_id) from events where event_id > 2000) newest, count(*) fetched from events where event_id > 2000")
+@query("S7_resume_since", "select coalesce(cast(max(event_id) as bigint), 2000) newest, count(*) fetched from events where event_id > 2000")
 def resume_since(t: Tables):
     return intake.resume_since(t.raw("events").select("event_id"), "event_id", 2000)[1]
 

@@ -175,17 +175,17 @@ def _targets(t: Tables):
 def _stored_creators(t: Tables):
     i = F.col("creator_id")
     slug = F.concat(F.lit("maker_"), i.cast("string"))
-    known = t.creators().filter("creator_id < 40").select(
+    known = t.creators().select(
         i, F.when(i % 5 == 0, F.concat(F.lit("ext:"), i.cast("string"))).otherwise(F.concat(F.lit("profile_slug:"), slug)).alias("external_creator_id"), F.when(i % 7 == 0, F.concat(slug, F.lit("x"))).otherwise(slug).alias("profile_slug"),
         F.when(i % 3 == 0, F.concat(F.lit("Name "), slug)).otherwise("old name").alias("display_name"), F.concat(F.lit("https://creators.example/"), slug).alias("official_url"))
-    twins = known.filter("creator_id % 11 = 0").withColumn("creator_id", F.col("creator_id") + 1000000)
+    twins = known.filter("creator_id % 11 = 0").withColumn("creator_id", F.col("creator_id") + 1000000000)
     return known.unionByName(twins)
 
 
 _STORED = """
 sc as (select creator_id id, case when creator_id%5=0 then 'ext:' || cast(creator_id as varchar) else 'profile_slug:maker_' || cast(creator_id as varchar) end ext, 'maker_' || cast(creator_id as varchar) || case when creator_id%7=0 then 'x' else '' end slug,
-  case when creator_id%3=0 then 'Name maker_' || cast(creator_id as varchar) else 'old name' end nm, 'https://creators.example/maker_' || cast(creator_id as varchar) url from creators where creator_id < 40),
-sc2 as (select * from sc union all select id+1000000, ext, slug, nm, url from sc where id%11=0),
+  case when creator_id%3=0 then 'Name maker_' || cast(creator_id as varchar) else 'old name' end nm, 'https://creators.example/maker_' || cast(creator_id as varchar) url from creators),
+sc2 as (select * from sc union all select id+1000000000, ext, slug, nm, url from sc where id%11=0),
 tc as (select slug, 'profile_slug:' || slug ext, ref nm, 'https://creators.example/' || slug url from o where outcome='accepted' group by all),
 mc as (select tc.ext, min(s.id) lo, max(s.id) hi, arg_min(s.slug,s.id) slug, arg_min(s.nm,s.id) nm, arg_min(s.ext,s.id) sext from tc join sc2 s on s.ext=tc.ext or s.slug=tc.slug or s.url=tc.url group by 1),
 rc as (select tc.ext, lo, case when lo is null then 'NEW' when lo<>hi then 'AMBIGUOUS' when mc.slug<>tc.slug then 'CONFLICT' else 'EXISTING_EXACT' end status, case when lo is not null and lo=hi and mc.slug=tc.slug and mc.nm<>tc.nm then 'display_name' else '' end changed from tc left join mc on mc.ext=tc.ext)"""
