@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,11 +46,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def reuse(df: DataFrame) -> DataFrame:
-    """For a result read several times in one job.
+    """For a result read several times in one job, or carried from round to round.
 
-    With ``spark.checkpoint.dir`` set it is written there once, so a lost executor costs
-    nothing; without it (local runs) it is cached and can be recomputed from its lineage.
+    It is written to the session's checkpoint folder once: the lineage ends there, and a lost
+    executor costs nothing.  Local runs without the setting get a folder of their own; on a
+    cluster the missing setting is an error.
     """
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
+    return df.checkpoint()
