@@ -1,9 +1,8 @@
-"""Numbering, top-k and latest-per-key.
+"""Numbering, running totals, top-k and latest-per-key.
 
-A window over a whole table, or over one large group, is a single task.  ``numbered`` cuts
-such a window into ranges: a bottom-k hash sample of the order keys gives the range edges,
-each range is numbered on its own, and a running count of the earlier ranges is added.  The
-numbers are exact; the sample decides only how evenly the work is spread.
+A window over a whole table, or over one large group, is a single task.  Here the rows are dealt
+into ranges of the order and written once, each range is numbered on its own, and the number (or
+the sum) of the earlier ranges is added from a table with one row per range.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from colophon.session import rank_buckets
+from colophon.session import partitions_of, reuse
 
 Order = list[tuple[str, str]]  # (column, "asc" | "desc"); nulls always come last
 
@@ -34,33 +33,25 @@ def precedes(left: dict[str, Column], right: dict[str, Column], order: Order) ->
     return reduce(lambda x, y: x | y, steps)
 
 
+def _ranged(df: DataFrame, order: Order, buckets: int | None) -> DataFrame:
+    """The rows, written once, with the number of their range of ``order`` in ``_bucket``."""
+    buckets = buckets or partitions_of(df.sparkSession)
+    dealt = df.repartitionByRange(buckets, *order_by(order)).withColumn("_bucket", F.spark_partition_id())
+    return reuse(dealt, "ranged")
+
+
 def numbered(df: DataFrame, keys: list[str], order: Order, name: str = "rank", buckets: int | None = None) -> DataFrame:
     """Exact ``row_number`` within ``keys`` (or over all rows) without one task per group.
 
     ``order`` must end in a column that is unique within a group.
     """
-    buckets = buckets or rank_buckets(df.sparkSession)
     full: Order = [(k, "asc") for k in keys] + [o for o in order if o[0] not in keys]
-    names = [c for c, _ in full]
-    edge = F.struct(*names)
-    edges = (
-        df.select(*names)
-        .orderBy(F.xxhash64(*names), *names)
-        .limit(buckets - 1)
-        .agg(F.collect_list(edge).alias("edges"))
-        .scalar()
-    )
-    row = {c: F.col(c) for c in names}
-    bucket = F.size(F.filter("_edges", lambda e: precedes({c: e[c] for c in names}, row, full)))
-    cut = df.withColumn("_edges", edges).withColumn("_bucket", bucket).drop("_edges")
+    cut = _ranged(df, full, buckets)
     counts = cut.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    earlier = (
-        Window.partitionBy(*keys) if keys else Window.partitionBy()
-    ).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # at most one row per range and key: a small table
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range and key in it
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order_by(order)))
-    ranked = cut.withColumn("_local", local)
+    ranked = cut.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order_by(order))))
     on = [ranked["_bucket"] == offsets["_bucket"]] + [ranked[k].eqNullSafe(offsets[k]) for k in keys]
     keep = [ranked[c] for c in df.columns]
     return ranked.join(offsets, on, "left").select(
@@ -68,6 +59,26 @@ def numbered(df: DataFrame, keys: list[str], order: Order, name: str = "rank", b
     )
 
 
+def running_totals(df: DataFrame, order: Order, values: dict[str, str], buckets: int | None = None) -> DataFrame:
+    """For each new column of ``values``, the sum of the named column over all earlier rows in ``order``.
+
+    The values must be non-negative integers without nulls.  Rows that are equal in ``order`` follow
+    one another in any order, so end it in columns that tell rows apart as far as it matters.
+    """
+    cut = _ranged(df, order, buckets)
+    totals = cut.groupBy("_bucket").agg(*[F.sum(v).alias(f"_{n}") for n, v in values.items()])
+    earlier = Window.partitionBy().orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range, at most as many as shuffle partitions: the one task and the broadcast stay small
+    offsets = F.broadcast(
+        totals.select("_bucket", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in values])
+    )
+    local = Window.partitionBy("_bucket").orderBy(*order_by(order)).rowsBetween(Window.unboundedPreceding, -1)
+    summed = cut.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias(n) for n, v in values.items()])
+    return summed.join(offsets, "_bucket").select(
+        *df.columns, *[(F.col(n) + F.col(f"_{n}")).cast("bigint").alias(n) for n in values]
+    )
+
+
 def top_within(df: DataFrame, keys: list[str], order: Order, k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows per group.  Spark trims each task to ``k`` rows before the shuffle."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by(order)))

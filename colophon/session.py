@@ -1,9 +1,9 @@
-"""Session construction and the few settings the jobs rely on."""
+"""Session construction, the shared work folder and results that are read several times."""
 
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,34 +25,35 @@ def build_session(app: str = "colophon", cores: str | int = "*", partitions: int
     )
 
 
-def rank_buckets(spark: SparkSession) -> int:
-    """How many ranges a distributed numbering is cut into: one per shuffle partition, at most 512."""
-    return max(2, min(512, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def partitions_of(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+def work_folder(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``; it goes when the driver's JVM ends.
 
-    A machine-local folder is only made in local mode with the setting absent; on a
-    cluster a missing setting is an error, because executors could not see the folder.
+    Without the setting the folder lies in the warehouse, which driver and executors share too.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
-        return tempfile.mkdtemp(prefix=f"{name}-")
-    unique = spark.sparkContext.applicationId + "-" + next(tempfile._get_candidate_names())
-    return f"{root.rstrip('/')}/{name}-{unique}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{root.rstrip('/')}/colophon-{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one table or one stream, visible to all executors."""
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def reuse(df: DataFrame) -> DataFrame:
+def reuse(df: DataFrame, name: str = "result") -> DataFrame:
     """For a result read several times in one job, or carried from round to round.
 
-    It is written to the session's checkpoint folder once: the lineage ends there, and a lost
-    executor costs nothing.  Local runs without the setting get a folder of their own; on a
-    cluster the missing setting is an error.
+    It is written to the shared work folder once as Parquet, so the lineage ends there, a lost
+    executor costs nothing, and each reader takes only the columns it needs.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
-    return df.checkpoint()
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
