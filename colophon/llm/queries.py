@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from colophon.llm import fingerprints, langid, rules
+from colophon.llm import fingerprints, langid, mixing, rules, simhash
 from colophon.llm.common import table
 
 
@@ -16,5 +16,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op4_quality_rules": rules.op4_quality_rules,
+    "op5_source_mixing": mixing.op5_source_mixing,
+    "op8_simhash": simhash.op8_simhash,
 }
 ORACLES = {"op4_quality_rules": rules.OP4_SQL}
