@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import public_tokenizers
-
-from colophon.llm import fingerprints, langid, mixing, rules, simhash
+from colophon.llm import fingerprints, langid, licenses, mixing, packing, rules, simhash, tokenfiles, urls
 from colophon.llm.common import table
 
 
@@ -15,8 +13,12 @@ def op1_language_id(spark, sf_dir):
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_url_filter": urls.op3_url_filter,
     "op4_quality_rules": rules.op4_quality_rules,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_packing": packing.op6_packing,
+    "op7_token_files": tokenfiles.op7_token_files,
     "op8_simhash": simhash.op8_simhash,
+    "op9_license_scan": licenses.op9_license_scan,
 }
 ORACLES = {"op4_quality_rules": rules.OP4_SQL}
