@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colophon.llm import fingerprints, langid, licenses, mixing, packing, rules, simhash, tokenfiles, urls
+from colophon.llm import fingerprints, langid, licenses, mixing, packing, rules, simhash, tokenfiles, urls, warc
 from colophon.llm.common import table
 
 
@@ -20,5 +20,6 @@ QUERIES = {
     "op7_token_files": tokenfiles.op7_token_files,
     "op8_simhash": simhash.op8_simhash,
     "op9_license_scan": licenses.op9_license_scan,
+    "op10_arc_to_warc": warc.op10_arc_to_warc,
 }
 ORACLES = {"op4_quality_rules": rules.OP4_SQL}
