@@ -213,7 +213,6 @@ def fill_affiliate_url(works: DataFrame, template: str | None, affiliate_id: str
     made = F.replace(F.replace(F.lit(template), F.lit("{product_code}"), F.col("product_code")), F.lit("{affiliate_id}"), F.lit(affiliate_id))
     if batch is None:
         return works.withColumn("affiliate_url", F.coalesce("affiliate_url", made))
-    size = max(1, min(batch, 50_000))
-    chosen = works.filter("affiliate_url is null").select("id").orderBy("id").limit(size).withColumn("_fill", F.lit(True))
+    chosen = works.filter("affiliate_url is null").select("id").orderBy("id").limit(batch).withColumn("_fill", F.lit(True))
     out = works.join(chosen, "id", "left")
     return out.withColumn("affiliate_url", F.when(F.col("_fill"), made).otherwise(F.col("affiliate_url"))).drop("_fill")

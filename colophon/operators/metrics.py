@@ -160,7 +160,7 @@ def search_counts(logs: DataFrame, works: DataFrame) -> DataFrame:
 
 
 def popular_works(logs: DataFrame, works: DataFrame, limit: int = 20) -> DataFrame:
-    return top_rows(search_counts(logs, works), [("search_count", "desc"), ("product_code", "asc")], limit, ceiling=100)
+    return top_rows(search_counts(logs, works), [("search_count", "desc"), ("product_code", "asc")], limit)
 
 
 def popular_works_period(
@@ -169,7 +169,7 @@ def popular_works_period(
     cutoff = period_cutoff(as_of, days)
     if cutoff is not None:
         logs = logs.filter(F.col("ts").cast("timestamp_ntz") >= cutoff)
-    return top_rows(search_counts(logs, works), [("search_count", "desc"), ("product_code", "asc")], limit, offset, 100)
+    return top_rows(search_counts(logs, works), [("search_count", "desc"), ("product_code", "asc")], limit, offset)
 
 
 def performer_ranking(logs: DataFrame, works: DataFrame, limit: int = 8) -> DataFrame:

@@ -75,7 +75,7 @@ def search_posts(approved: DataFrame, query: str, after: str | None = None, limi
 
 
 def list_posts(approved: DataFrame, after: str | None = None, limit: int = 100) -> DataFrame:
-    return keyset_page(approved, "external_post_id", after.lower() if after else None, max(1, min(limit, 1000)))
+    return keyset_page(approved, "external_post_id", after.lower() if after else None, limit)
 
 
 def link_decision(status, url, source: PostSource) -> Column:

@@ -90,13 +90,12 @@ def latest_per_key(df: DataFrame, keys: list[str], order: Order) -> DataFrame:
     return top_within(df, keys, order, 1, "__place").drop("__place")
 
 
-def top_rows(df: DataFrame, order: Order, limit: int, offset: int = 0, ceiling: int | None = None) -> DataFrame:
-    """Page of an ordered list: limit in 1..ceiling, offset from 0."""
-    size = max(1, min(limit, ceiling) if ceiling else limit)
+def top_rows(df: DataFrame, order: Order, limit: int, offset: int = 0) -> DataFrame:
+    """Page of an ordered list: as many rows as the caller asks for, offset from 0."""
     out = df.orderBy(*order_by(order))
     if offset > 0:
         out = out.offset(offset)
-    return out.limit(size)
+    return out.limit(limit)
 
 
 def keyset_page(df: DataFrame, key: str, after, limit: int) -> DataFrame:

@@ -29,7 +29,7 @@ def performers_sharing(works: DataFrame, performer: str, column: str, limit: int
         F.count("*").alias("work_count"), F.sum(F.coalesce("popularity", F.lit(0))).alias("popularity")
     )
     order = [("popularity", "desc"), ("work_count", "desc"), ("performer", "asc")]
-    return top_rows(grouped, order, limit, ceiling=K.PEER_LIMIT_MAX)
+    return top_rows(grouped, order, limit)
 
 
 def recommend(works: DataFrame, context: dict | None = None, limit: int = 12) -> DataFrame:

@@ -121,9 +121,9 @@ def release_stale(items: DataFrame, as_of: str, minutes: int = 15) -> DataFrame:
 
 
 def queue_head(items: DataFrame, n: int = 20) -> DataFrame:
-    """Next candidates to extract, lowest id first, at most 50."""
+    """Next candidates to extract, lowest id first."""
     rows = items.filter("status = 'pending' and extraction_status in ('pending','failed')")
-    return top_rows(rows, [("id", "asc")], n, ceiling=K.QUEUE_LIMIT_MAX)
+    return top_rows(rows, [("id", "asc")], n)
 
 
 def apply_review(items: DataFrame, actions: DataFrame, works: DataFrame, settings: QualitySettings) -> dict[str, DataFrame]:

@@ -84,7 +84,7 @@ def search_works(
     exact = F.when(code_key_lower("product_code") == code, 0).otherwise(1) if code else F.lit(1)
     ordered = found.withColumn("_exact", exact).withColumn("similarity", F.round(similarity, 6))
     order: Order = [("_exact", "asc"), *SORTS.get(sort, SORTS["popular"]), ("similarity", "desc"), ("id", "asc")]
-    return top_rows(ordered, order, limit, offset, K.SEARCH_LIMIT_MAX).select(*works.columns, "similarity")
+    return top_rows(ordered, order, limit, offset).select(*works.columns, "similarity")
 
 
 def search_works_filtered(
@@ -100,7 +100,7 @@ def search_works_filtered(
         if clean_query(text):
             out = out.filter(F.col(column).ilike(f"%{clean_query(text)}%"))
     order = [*LISTING_SORTS.get(sort, LISTING_SORTS["popular"]), ("id", "asc")]
-    return top_rows(out, order, limit, offset, K.SEARCH_LIMIT_MAX)
+    return top_rows(out, order, limit, offset)
 
 
 def search_works_fallback(works: DataFrame, query: str, sort: str = "popular", limit: int = 24, offset: int = 0) -> DataFrame:
@@ -115,7 +115,7 @@ def search_works_fallback(works: DataFrame, query: str, sort: str = "popular", l
     hyphen = f"{match[1]}-{match[2]}" if match else q
     hit = contains_pattern(["product_code", "title", "performer", "maker", "series"], q) | contains_pattern(["product_code"], hyphen)
     order = [*LISTING_SORTS.get(sort, LISTING_SORTS["popular"]), ("id", "asc")]
-    return top_rows(works.filter("is_published").filter(hit), order, limit, offset, K.SEARCH_LIMIT_MAX)
+    return top_rows(works.filter("is_published").filter(hit), order, limit, offset)
 
 
 def work_by_code(works: DataFrame, codes: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def catalog_works(
     if maker:
         out = out.filter(F.col("maker") == maker)
     order = [*CATALOG_SORTS.get(sort, CATALOG_SORTS["popular"]), ("id", "asc")]
-    return top_rows(out, order, limit, offset, K.CATALOG_LIMIT_MAX)
+    return top_rows(out, order, limit, offset)
 
 
 def _performer_filter(works: DataFrame, performer: str, query: str) -> DataFrame:
@@ -157,7 +157,7 @@ def performer_works(
         "popular": [("popularity", "desc")], "release": [("release_date", "desc")], "maker": [("maker", "asc")],
     }
     order = [*first.get(sort, []), ("created_at", "desc"), ("id", "asc")]
-    return top_rows(_performer_filter(works, performer, query), order, limit, offset, K.SEARCH_LIMIT_MAX)
+    return top_rows(_performer_filter(works, performer, query), order, limit, offset)
 
 
 def count_performer_works(works: DataFrame, performer: str, query: str = "") -> DataFrame:
@@ -167,7 +167,7 @@ def count_performer_works(works: DataFrame, performer: str, query: str = "") ->
 def works_where(works: DataFrame, column: str, value: str, limit: int = 100) -> DataFrame:
     """Published works of one maker, series or genre, most popular first."""
     out = works.filter(F.col("is_published") & (F.col(column) == value))
-    return top_rows(out, [("popularity", "desc"), ("id", "asc")], limit, ceiling=100)
+    return top_rows(out, [("popularity", "desc"), ("id", "asc")], limit)
 
 
 def tag_works(works: DataFrame, work_tags: DataFrame, tag: str, limit: int = 24, offset: int = 0) -> DataFrame:
@@ -208,7 +208,7 @@ def facet_counts(works: DataFrame, column: str, limit: int = 100, offset: int =
     grouped = named.groupBy(F.col(column).alias("name")).agg(
         F.count("*").alias("work_count"), F.sum(F.coalesce("popularity", F.lit(0))).alias("popularity")
     )
-    return top_rows(grouped, [("work_count", "desc"), ("name", "asc")], limit, offset, K.FACET_LIMIT_MAX)
+    return top_rows(grouped, [("work_count", "desc"), ("name", "asc")], limit, offset)
 
 
 def to_work_detail(works: DataFrame, image_hosts: tuple[str, ...]) -> DataFrame:

@@ -106,7 +106,7 @@ def queue(t: Tables):
 
 
 @query("G12_queue_head", """with s as (select id, status, case when extraction_status='processing' and minutes_old>15 then 'failed' else extraction_status end es from source_items)
-  select id from s where status='pending' and es in ('pending','failed') order by id limit 50""", "source_items")
+  select id from s where status='pending' and es in ('pending','failed') order by id limit 200""", "source_items")
 def queue_head(t: Tables):
     at = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz") - F.make_dt_interval(mins=F.col("minutes_old").cast("int"))
     rows = review.release_stale(t.source_items().withColumn("updated_at", at), "2024-01-31 00:00:00")

@@ -35,7 +35,7 @@ def search_posts(t: Tables):
     return posts.search_posts(_approved(t), "  URGENT,", "00000000-0000-4000-8000-000000000500").select("external_post_id", "title")
 
 
-@query("C12_list_posts", f"with {_APPROVED} select external_post_id, title from approved order by 1 limit 1000", "posts creators")
+@query("C12_list_posts", f"with {_APPROVED} select external_post_id, title from approved order by 1 limit 5000", "posts creators")
 def list_posts(t: Tables):
     return posts.list_posts(_approved(t), None, 5000).select("external_post_id", "title")
 
