@@ -12,16 +12,20 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 
 #: pieces and words a worker keeps; it starts anew beyond that
-PIECES, WORDS = 300_000, 600_000
+PIECES, WORDS = 700_000, 200_000
 #: texts with this are encoded whole
 UNSURE = re.compile(r"[\s\u180e\u200b\ufeff] ")
 #: characters whose class all regular expression engines agree on
 SURE = re.compile(r"[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
+LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+#: little-endian bytes of few ids
+PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 # Fixed value: the byte-level split pattern, for those characters.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+| ?[0-9]+| ?[^\sA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|\s+(?!\S)|\s+")
 
@@ -43,10 +47,14 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS:
             self.clear()
-        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        self[word] = out = np.array([t.id for t in found], "<u4").tobytes()
+        self[word] = out = self.ids(word)
         return out
 
+    def ids(self, word: str) -> bytes:
+        shown = "\u0120" + word[1:] if word.isascii() and word[0] == " " else word.encode().decode("latin-1").translate(self.letters)
+        found = self.model.tokenize(shown)
+        return PACK[len(found)](*[t.id for t in found]) if len(found) < len(PACK) else np.array([t.id for t in found], "<u4").tobytes()
+
 
 class _Pieces(dict):
     """Ids of pieces, each with the space before it."""
@@ -59,7 +67,11 @@ class _Pieces(dict):
         if len(self) >= PIECES:
             self.clear()
         text = " " + piece
-        out = b"".join(map(self.words.__getitem__, SPLIT.findall(text))) if SURE.fullmatch(piece) else self.whole([text])[0]
+        if LETTERS.fullmatch(piece):
+            # one word, kept as a piece only
+            out = self.words.ids(text)
+        else:
+            out = b"".join(map(self.words.__getitem__, SPLIT.findall(text))) if SURE.fullmatch(piece) else self.whole([text])[0]
         self[piece] = out
         return out
 
