@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from colophon.functions.codes import blank_to_null, canonical_code
 from colophon.functions.urls import allowed_pattern, matches
 from colophon.operators.merging import changed_fields, dimension_key, merge_into
-from colophon.operators.ranking import latest_per_key
 from colophon.operators.staging import safety_reasons
 
 
@@ -64,6 +63,11 @@ def promote(staged: DataFrame, works: DataFrame, hosts: tuple[str, ...], source_
     ``staged``: normalised products with ``id, review_status, preview_status, linked_work_id,
     data_source_id, fetched_at``.  Only non-null fields patch a known work; a new work starts
     unpublished.  Products that fail a check go to ``errors`` and write nothing.
+
+    Several products may be of one work.  They count in order of ``id``: each field of the work is
+    the last value that is there, its performers and genres the last list that is not empty, and the
+    change log holds the change by all of them.  Each product has its own link and status, and each
+    external id of a source one offer, that of its last product.
     """
     pending = staged.filter("review_status = 'pending'").withColumn("_reasons", safety_reasons(hosts))
     blocked = F.col("preview_status").isin("duplicate", "needs_review")
@@ -71,48 +75,53 @@ def promote(staged: DataFrame, works: DataFrame, hosts: tuple[str, ...], source_
     judged = pending.withColumn("message", message)
     errors = judged.filter("message is not null").select("id", "message")
     ready = judged.filter("message is null").drop("message", "_reasons")
-    # two products for one work: the later one in id order is applied last and wins
-    stored = works.select(F.col("id").alias("work_id"), F.col("product_code").alias("_code"), F.struct(*[c for c in works.columns if c != "id"]).alias("before"))
-    by_link = ready.join(stored.select("work_id"), F.col("linked_work_id") == F.col("work_id"), "left")
-    by_code = by_link.withColumnRenamed("work_id", "_linked").join(stored.select("work_id", "_code"), F.col("product_code") == F.col("_code"), "left")
-    target = F.coalesce("_linked", "work_id")
-    placed = by_code.withColumn("_target", target).drop("_linked", "work_id", "_code")
-    placed = placed.withColumn("_slot", F.coalesce(F.col("_target").cast("string"), F.concat(F.lit("new:"), "product_code")))
-    placed = latest_per_key(placed, ["_slot"], [("id", "desc")])
-    j = placed.join(stored.drop("_code"), F.col("_target") == F.col("work_id"), "left")
-    patch = {
+    work_type = dict(works.dtypes)["id"]
+    new_id = dimension_key(F.lit("work"), F.col("product_code")) if work_type == "string" else F.abs(F.xxhash64("product_code"))
+    by_link = ready.join(works.select(F.col("id").alias("_linked")), F.col("linked_work_id") == F.col("_linked"), "left")
+    codes = works.select(F.col("id").alias("_coded"), F.col("product_code").alias("_code"))
+    placed = by_link.join(codes, F.col("product_code") == F.col("_code"), "left").withColumn("work_id", F.coalesce("_linked", "_coded", new_id))
+
+    have = set(works.columns)
+    given = {c: F.col(c) for c in PATCHED if c in have} | {
         "performer": F.try_element_at("performers", F.lit(1)), "genre": F.try_element_at("genres", F.lit(1)),
         "sample_images": F.when(F.size("sample_images") > 0, F.col("sample_images")),
     }
-    have = set(works.columns)
-    known = F.col("work_id").isNotNull()
-    fields = {c: F.coalesce(patch.get(c, F.col(c)), F.col(f"before.{c}")) for c in PATCHED if c in have}
-    fields["source_name"], fields["source_checked_at"] = F.lit(source_name), F.col("fetched_at")
+    given = {c: v for c, v in given.items() if c in have}
+    last = lambda v: F.max_by(v, F.when(v.isNotNull(), F.col("id")))
+    listed = lambda c: F.when(F.size(c) > 0, F.col(c))
+    patches = placed.groupBy("work_id").agg(
+        F.max_by("product_code", "id").alias("product_code"), F.max_by("fetched_at", "id").alias("_checked"),
+        last(listed("performers")).alias("_performers"), last(listed("genres")).alias("_genres"), *[last(v).alias(f"_new_{c}") for c, v in given.items()],
+    )
+    stored = works.select(F.col("id").alias("work_id"), F.struct(*[c for c in works.columns if c != "id"]).alias("before"))
+    j = patches.join(stored, "work_id", "left")
+    fields = {c: F.coalesce(f"_new_{c}", f"before.{c}") for c in given}
+    fields["source_name"], fields["source_checked_at"] = F.lit(source_name), F.col("_checked")
     zero = F.lit(0).cast("bigint")
     for c, default in (("popularity", zero), ("favorite_count", zero), ("is_published", F.lit(False))):
-        fields[c] = F.coalesce(F.col(f"before.{c}"), default)
+        fields[c] = F.coalesce(F.col(f"before.{c}"), default) if c in have else default
     fields = {c: v for c, v in fields.items() if c in have}
     rest = [c for c in works.columns if c not in fields and c not in ("id", "product_code")]
-    new_id = dimension_key(F.lit("work"), F.col("product_code")) if dict(works.dtypes)["id"] == "string" else F.abs(F.xxhash64("product_code"))
     written = j.select(
-        F.col("id").alias("staged_id"), F.coalesce("work_id", new_id).alias("id"), "product_code", "before",
-        *[v.alias(c) for c, v in fields.items()], *[F.col(f"before.{c}").alias(c) for c in rest],
-        "performers", "genres", "data_source_id", F.col("external_product_id").alias("_ext"), F.col("price").alias("_price") if "price" in j.columns else F.lit(None).alias("_price"),
-        F.col("official_url").alias("_official"), F.col("affiliate_url").alias("_affiliate"), F.col("fetched_at").alias("_at"), known.alias("_known"),
+        F.col("work_id").alias("id"), "product_code", "before", *[v.alias(c) for c, v in fields.items()], *[F.col(f"before.{c}").alias(c) for c in rest], "_performers", "_genres",
+    )
+    logged = list(fields)
+    log = written.filter("before is not null").withColumn("after", F.struct(*logged)).withColumn("changed_fields", changed_fields(logged))
+    offer = F.struct(
+        "work_id", F.col("id").alias("staged_id"), "official_url", "affiliate_url", (F.col("price") if "price" in placed.columns else F.lit(None)).alias("price"),
+        F.lit("JPY").alias("currency"), F.lit("available").alias("availability"), F.col("fetched_at").alias("last_checked_at"),
     )
-    catalog = merge_into(works, written.select(*works.columns), ["id"])
-    logged = [c for c in fields]
-    log = written.filter("_known").withColumn("after", F.struct(*logged)).withColumn("changed_fields", changed_fields(logged))
+    offers = placed.groupBy("data_source_id", "external_product_id").agg(F.max_by(offer, "id").alias("_offer")).select("data_source_id", "external_product_id", "_offer.*")
+    done = placed.select("id", F.lit("promoted").alias("review_status"), F.col("work_id").alias("promoted_work_id"), F.lit(None).cast("string").alias("error_message"))
+    failed = errors.select("id", F.lit("error").alias("review_status"), F.lit(None).cast(work_type).alias("promoted_work_id"), F.col("message").alias("error_message"))
     return {
-        "works": catalog,
-        "performers": written.select(F.col("id").alias("work_id"), F.posexplode(F.array_distinct("performers")).alias("position", "name")),
-        "genres": written.select(F.col("id").alias("work_id"), F.explode(F.array_distinct("genres")).alias("name")),
-        "offers": written.select(F.col("id").alias("work_id"), "data_source_id", "staged_id", F.col("_ext").alias("external_product_id"), F.col("_official").alias("official_url"),
-                                 F.col("_affiliate").alias("affiliate_url"), F.col("_price").alias("price"), F.lit("JPY").alias("currency"), F.lit("available").alias("availability"), F.col("_at").alias("last_checked_at")),
-        "source_links": written.select(F.col("id").alias("work_id"), "staged_id", F.lit(1.0).alias("confidence")),
+        "works": merge_into(works, written.select(*works.columns), ["id"]),
+        "performers": written.select(F.col("id").alias("work_id"), F.posexplode(F.array_distinct("_performers")).alias("position", "name")),
+        "genres": written.select(F.col("id").alias("work_id"), F.explode(F.array_distinct("_genres")).alias("name")),
+        "offers": offers,
+        "source_links": placed.select("work_id", F.col("id").alias("staged_id"), F.lit(1.0).alias("confidence")),
         "change_log": log.filter(F.size("changed_fields") > 0).select(F.col("id").alias("work_id"), "changed_fields", F.to_json("before").alias("before_data"), F.to_json("after").alias("after_data"), F.lit("feed").alias("change_source")),
-        "staged_updates": written.select(F.col("staged_id").alias("id"), F.lit("promoted").alias("review_status"), F.col("id").alias("promoted_work_id"), F.lit(None).cast("string").alias("error_message"))
-        .unionByName(errors.select("id", F.lit("error").alias("review_status"), F.lit(None).cast(dict(works.dtypes)["id"]).alias("promoted_work_id"), F.substring("message", 1, 2000).alias("error_message"))),
+        "staged_updates": done.unionByName(failed),
         "errors": errors,
     }
 

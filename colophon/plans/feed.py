@@ -262,6 +262,26 @@ def _stored_products(t: Tables):
         F.lit("pending").alias("review_status"), "preview_status", F.col("duplicate_work_id").alias("linked_work_id"), F.lit(1).alias("data_source_id"), F.lit("2024-01-31").alias("fetched_at"))
 
 
+def _pending_products(t: Tables):
+    """Staged products, and for some of them a second product of the same work."""
+    p = _stored_products(t).withColumn("_again", F.explode(F.when(F.col("id") % 8 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    changed = {
+        "id": F.col("id") + F.lit(10**10), "external_product_id": F.concat(F.lit("again-"), "external_product_id"), "title": F.concat("title", F.lit(" again")),
+        "maker": F.lit(None).cast("string"), "price": F.col("price") + 1,
+    }
+    return p.select(*[F.when(F.col("_again"), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else c for c in p.columns if c != "_again"])
+
+
+def _promoted(t: Tables, name: str):
+    return publication.promote(_pending_products(t), _catalog(t), HOSTS, "feed")[name]
+
+
+def _known_id(t: Tables, rows, column: str):
+    """Rows with the id of a work that was there before, else null."""
+    known = _catalog(t).select(F.col("id").alias(column), F.col("id").alias("known_work_id"))
+    return rows.join(known, column, "left")
+
+
 def _catalog(t: Tables):
     i = F.col("id")
     w = t.works("id", "product_code", "title", "performer", "maker", "series", "genre", "popularity", "favorite_count", "is_published")
@@ -270,29 +290,50 @@ def _catalog(t: Tables):
     return known.withColumn("title", F.when(i % 2 == 0, F.col("title")).otherwise("old")).select("*", *[F.lit(None).cast("string").alias(c) for c in extra])
 
 
-_READY = "ready as (select *, coalesce(matched, cid) target from staged where preview_status in ('new','update','unchanged'))"
+_READY = """ready as (select *, coalesce(matched, cid) target from staged where preview_status in ('new','update','unchanged')),
+products as (select position as id, ext, price, affiliate_url, target from ready
+  union all select position + 10000000000, concat('again-', ext), price + 1, affiliate_url, target from ready where position % 8 = 0)"""
 
 
-@query("I4_promote_works", f"""with {_STAGED}, {_READY} select code product_code, title, maker, ext external_product_id, target is null is_new from ready
+@query("I4_promote_works", f"""with {_STAGED}, {_READY} select code product_code, case when position%8=0 then title || ' again' else title end title, maker,
+  case when position%8=0 then concat('again-', ext) else ext end external_product_id, target is null is_new from ready
   union all select product_code, case when id%2=0 then title else 'old' end, maker, null, false from works where (id%3=0 or (id%3=1 and id%5=0)) and id not in (select target from ready where target is not null)""", "works")
 def promote_works(t: Tables):
-    known = _catalog(t)
-    out = publication.promote(_stored_products(t), known, HOSTS, "feed")["works"]
-    flag = known.select("id", F.lit(False).alias("is_new"))
-    return out.join(flag, "id", "left").select("product_code", "title", "maker", "external_product_id", F.coalesce("is_new", F.lit(True)).alias("is_new"))
+    flag = _catalog(t).select("id", F.lit(False).alias("is_new"))
+    return _promoted(t, "works").join(flag, "id", "left").select("product_code", "title", "maker", "external_product_id", F.coalesce("is_new", F.lit(True)).alias("is_new"))
 
 
-@query("I4_promote_errors", f"with {_STAGED} select position as id, case when preview_status='needs_review' then 'review required' end message from staged where preview_status='needs_review'", "works")
+@query("I4_promote_errors", f"""with {_STAGED} select position as id, 'review required' message from staged where preview_status='needs_review'
+  union all select position + 10000000000, 'review required' from staged where preview_status='needs_review' and position%8=0""", "works")
 def promote_errors(t: Tables):
-    return publication.promote(_stored_products(t), _catalog(t), HOSTS, "feed")["errors"]
+    return _promoted(t, "errors")
 
 
-@query("I4_promote_change_log", f"""with {_STAGED}, {_READY} select w.product_code, case when (case when w.id%2=0 then w.title else 'old' end) is distinct from r.title then 'title|' else '' end ||
+@query("I4_promote_change_log", f"""with {_STAGED}, {_READY} select w.product_code, case when (case when w.id%2=0 then w.title else 'old' end) is distinct from (case when position%8=0 then r.title || ' again' else r.title end) then 'title|' else '' end ||
   'official_url|affiliate_url|external_product_id|source_name|source_checked_at' changed_fields from ready r join works w on w.id = r.target""", "works")
 def promote_log(t: Tables):
-    known = _catalog(t)
-    log = publication.promote(_stored_products(t), known, HOSTS, "feed")["change_log"]
-    return log.join(known.select(F.col("id").alias("work_id"), "product_code"), "work_id").select("product_code", F.array_join("changed_fields", "|").alias("changed_fields"))
+    codes = _catalog(t).select(F.col("id").alias("work_id"), "product_code")
+    return _promoted(t, "change_log").join(codes, "work_id").select("product_code", F.array_join("changed_fields", "|").alias("changed_fields"))
+
+
+@query("I4_promote_offers", f"with {_STAGED}, {_READY} select id staged_id, ext external_product_id, price::double price, affiliate_url, target known_work_id from products", "works")
+def promote_offers(t: Tables):
+    return _known_id(t, _promoted(t, "offers"), "work_id").select("staged_id", "external_product_id", "price", "affiliate_url", "known_work_id")
+
+
+@query("I4_promote_source_links", f"""with {_STAGED}, {_READY} select p.id staged_id, p.target known_work_id, case when r.position%8=0 then 2 else 1 end work_products
+  from products p join ready r on r.position = p.id % 10000000000""", "works")
+def promote_links(t: Tables):
+    links = _promoted(t, "source_links")
+    counts = links.groupBy("work_id").agg(F.count("*").cast("int").alias("work_products"))
+    return _known_id(t, links.join(counts, "work_id"), "work_id").select("staged_id", "known_work_id", "work_products")
+
+
+@query("I4_promote_staged_updates", f"""with {_STAGED}, {_READY} select id, 'promoted' review_status, target known_work_id, null::varchar error_message from products
+  union all select position, 'error', null, 'review required' from staged where preview_status='needs_review'
+  union all select position + 10000000000, 'error', null, 'review required' from staged where preview_status='needs_review' and position%8=0""", "works")
+def promote_updates(t: Tables):
+    return _known_id(t, _promoted(t, "staged_updates"), "promoted_work_id").select("id", "review_status", "known_work_id", "error_message")
 
 
 def _candidates(t: Tables):
