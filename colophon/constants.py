@@ -18,13 +18,8 @@ RECOMMEND_WEIGHTS = {
 }
 
 # --- page size limits ---------------------------------------------------------------------
-SEARCH_LIMIT_MAX = 100
-FACET_LIMIT_MAX = 200
-CATALOG_LIMIT_MAX = 1000
-PEER_LIMIT_MAX = 30
 SITEMAP_PAGE_SIZE = 1000
 ADMIN_PAGE_SIZE = 30
-QUEUE_LIMIT_MAX = 50
 TEMPLATE_BATCH_MAX = 50_000
 
 # --- name keys: characters removed besides ASCII white space --------------------------------
@@ -74,7 +69,6 @@ CSV_CLEARABLE = (
     "card_image_url", "image_url", "video_url", "affiliate_url", "description", "popularity",
     "favorite_count", "tags",
 )
-CSV_LIST_MAX = 100
 MAX_SAFE_INTEGER = 9007199254740991
 CSV_MESSAGES = {
     "code": "品番は必須です。",
@@ -107,9 +101,6 @@ POST_LABELS = {
     "maker": ("メーカー", "レーベル"),
     "series": ("シリーズ",),
 }
-FIELD_LABEL_MAX = 80
-HASHTAG_MAX = 30
-MEDIA_URL_MAX = 20
 
 # --- code aliases and rejections ------------------------------------------------------------
 CODE_ALIASES = {"H_1784FT000062": "H_1784FTO00062", "H_1784FT000064": "H_1784FTO00064"}

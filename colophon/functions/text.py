@@ -36,9 +36,9 @@ def trigram_similarity(a, b) -> Column:
     return trigram_overlap(trigrams(a), trigrams(b))
 
 
-def clean_query(text: str, limit: int = 100) -> str:
-    """User query on the driver: list separators and wildcards become blanks, then trim and cap."""
-    return re.sub(r"[,%()]", " ", text or "").strip()[:limit]
+def clean_query(text: str) -> str:
+    """User query on the driver: list separators and wildcards become blanks, then trim."""
+    return re.sub(r"[,%()]", " ", text or "").strip()
 
 
 def number_or_null(c) -> Column:
@@ -48,18 +48,18 @@ def number_or_null(c) -> Column:
 
 
 def redact(c, secrets: tuple[str, ...] = ()) -> Column:
-    """Mask keys, tokens and the given secrets in a message; at most 2000 characters."""
+    """Mask keys, tokens and the given secrets in a message."""
     out = F.regexp_replace(_col(c), "(?i)((?:api_id|affiliate_id|token|key|secret)=)[^&\\s]+", "$1[REDACTED]")
     out = F.regexp_replace(out, "(?i)(bearer\\s+)[a-z0-9._~+/=-]+", "$1[REDACTED]")
     for secret in secrets:
         if len(secret) >= 6:
             out = F.replace(out, F.lit(secret), F.lit("[REDACTED]"))
-    return F.substring(out, 1, 2000)
+    return out
 
 
 def labelled(c, labels: tuple[str, ...]) -> Column:
-    """Value after ``label:`` up to a comma or line end, trimmed, at most 80 characters."""
-    pattern = "(?i)(?:%s)[：:]\\s*([^\\n、,]{1,%d})" % ("|".join(labels), K.FIELD_LABEL_MAX)
+    """Value after ``label:`` up to a comma or line end, trimmed."""
+    pattern = "(?i)(?:%s)[：:]\\s*([^\\n、,]+)" % "|".join(labels)
     return F.nullif(F.trim(F.regexp_extract(_col(c), pattern, 1)), F.lit(""))
 
 
@@ -75,8 +75,7 @@ def codes_in(c) -> Column:
 
 
 def hashtags(c) -> Column:
-    tags = F.regexp_extract_all(_col(c), F.lit("#([^\\s#]{1,50})"), F.lit(1))
-    return F.slice(tags, 1, K.HASHTAG_MAX)
+    return F.regexp_extract_all(_col(c), F.lit("#([^\\s#]+)"), F.lit(1))
 
 
 def json_keys(c) -> Column:

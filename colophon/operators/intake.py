@@ -38,13 +38,13 @@ def fallback_extraction(items: DataFrame) -> DataFrame:
 
 
 def media_jobs(items: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """One job per (item, media url): http(s), distinct, the first 20 of an item.
+    """One job per (item, media url): http(s) and distinct.
 
     ``items(id, thumbnail_url, video_url, media_urls)``.
     """
     none = F.array().cast("array<string>")
     urls = F.concat(F.array("thumbnail_url", "video_url"), F.coalesce("media_urls", none))
-    kept = F.slice(F.array_distinct(F.filter(urls, lambda u: F.coalesce(u.rlike("^https?://"), F.lit(False)))), 1, K.MEDIA_URL_MAX)
+    kept = F.array_distinct(F.filter(urls, lambda u: F.coalesce(u.rlike("^https?://"), F.lit(False))))
     jobs = items.select(F.col("id").alias("item_id"), F.explode(kept).alias("media_url")).distinct()
     kind = F.when(F.col("media_url").rlike("(?i)[.](mp4|webm|mov)([?]|$)"), "video").otherwise("image")
     jobs = jobs.withColumn("media_type", kind)
@@ -94,7 +94,7 @@ def reply_rows(requests: DataFrame, works: DataFrame, existing: DataFrame, site:
     A request key already answered, stored or earlier in the batch, is a repeat.
     """
     code = F.upper(F.trim("code"))
-    key = F.when(F.col("post_id").isNotNull(), F.concat(F.lit("post:"), F.substring("post_id", 1, 100))).otherwise(
+    key = F.when(F.col("post_id").isNotNull(), F.concat(F.lit("post:"), "post_id")).otherwise(
         F.concat(F.lit("manual:"), F.sha2(F.concat_ws(":", code, F.coalesce("request_id", F.lit(""))), 256))
     )
     keyed = requests.filter(F.trim("code") != "").withColumn("request_key", key).withColumn("code_key", code_key_upper("code"))
@@ -111,7 +111,7 @@ def reply_rows(requests: DataFrame, works: DataFrame, existing: DataFrame, site:
 
 
 def valid_events(events: DataFrame) -> DataFrame:
-    """Events with well-formed ids that are no self-clicks; long texts cut, bad sessions nulled.
+    """Events with well-formed ids that are no self-clicks; bad sessions nulled.
 
     Missing columns (``related_work_id``, ``product_code`` ...) are fine.
     """
@@ -120,9 +120,6 @@ def valid_events(events: DataFrame) -> DataFrame:
         out = out.filter(F.col("work_id").rlike(K.LOOSE_ID_PATTERN))
     if "related_work_id" in out.columns:
         out = out.filter(F.col("related_work_id").rlike(K.LOOSE_ID_PATTERN) & (F.col("related_work_id") != F.col("work_id")))
-    for column, size in (("source", 50), ("referrer", 1000), ("user_agent", 500)):
-        if column in out.columns:
-            out = out.withColumn(column, F.substring(column, 1, size))
     if "product_code" in out.columns:
         out = out.withColumn("product_code", F.upper("product_code"))
     if "session_id" in out.columns:

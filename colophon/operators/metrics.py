@@ -172,9 +172,9 @@ def popular_works_period(
     return top_rows(search_counts(logs, works), [("search_count", "desc"), ("product_code", "asc")], limit, offset)
 
 
-def performer_ranking(logs: DataFrame, works: DataFrame, limit: int = 8) -> DataFrame:
-    """Searches of the 100 most searched works, summed per performer; each work counts at least once."""
-    top = popular_works(logs, works, 100)
+def performer_ranking(logs: DataFrame, works: DataFrame, limit: int = 8, top_works: int | None = None) -> DataFrame:
+    """Searches of all works, or of the ``top_works`` most searched, summed per performer; each work counts at least once."""
+    top = search_counts(logs, works) if top_works is None else popular_works(logs, works, top_works)
     named = works.filter("is_published and performer is not null").select(F.upper("product_code").alias("product_code"), "performer")
     sums = top.join(named, "product_code").groupBy("performer").agg(F.sum(F.greatest("search_count", F.lit(1))).alias("searches"))
     return top_rows(sums, [("searches", "desc"), ("performer", "asc")], limit)

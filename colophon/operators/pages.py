@@ -26,12 +26,12 @@ SLUG = "^[a-zA-Z0-9_-]{2,100}$"
 POST_PATH = "(?i)^/posts/([0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12})$"
 
 
-def clean_text(c, limit: int) -> Column:
-    """Entities decoded, white space collapsed, trimmed and cut; blank becomes null."""
+def clean_text(c) -> Column:
+    """Entities decoded, white space collapsed, trimmed; blank becomes null."""
     out = _col(c)
     for entity, text in (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">")):
         out = F.replace(out, F.lit(entity), F.lit(text))
-    return F.nullif(F.substring(F.trim(F.regexp_replace(out, "\\s+", " ")), 1, limit), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(out, "\\s+", " ")), F.lit(""))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -94,15 +94,15 @@ def page_metadata(pages: DataFrame, host: str | None = None) -> DataFrame:
     )
     staged = pages.withColumn("_host", own).withColumns(
         {
-            "title": clean_text(F.nullif(F.regexp_extract(html, "(?is)<title\\b[^>]*>(.*?)</title\\s*>", 1), F.lit("")), 300),
+            "title": clean_text(F.nullif(F.regexp_extract(html, "(?is)<title\\b[^>]*>(.*?)</title\\s*>", 1), F.lit(""))),
             "_tops": tops, "_metas": metas, "_links": links, "_found": F.filter(found, lambda a: a["href"] != ""),
         }
     )
     graphs = F.flatten(F.transform("_tops", lambda e: F.coalesce(F.from_json(F.get_json_object(e, "$['@graph']"), "array<string>"), none)))
-    keyed = F.transform("_metas", lambda m: F.struct(first_filled(m["property"], m["name"]).alias("key"), clean_text(m["content"], 2000).alias("value")))
+    keyed = F.transform("_metas", lambda m: F.struct(first_filled(m["property"], m["name"]).alias("key"), clean_text(m["content"]).alias("value")))
     anchors = F.transform("_found", lambda a: F.struct(
-        site_url(a["href"], F.col("url"), F.col("_host")).alias("url"), clean_text(a["text"], 160).alias("text"),
-        *[clean_text(a[c], n).alias(c) for c, n in (("rel", 100), ("creator_id", 100), ("entity_type", 100), ("testid", 100), ("class_name", 200))],
+        site_url(a["href"], F.col("url"), F.col("_host")).alias("url"), clean_text(a["text"]).alias("text"),
+        *[clean_text(a[c]).alias(c) for c in ("rel", "creator_id", "entity_type", "testid", "class_name")],
     ))
     staged = staged.withColumns({"json_ld": F.concat("_tops", graphs), "meta": keyed, "anchors": anchors, "_href": attribute(F.try_element_at("_links", F.lit(1)), "href")})
     out = staged.withColumns(
@@ -197,7 +197,7 @@ def page_classify(pages: DataFrame, host: str, known_creators: DataFrame | None
     article = F.coalesce(first(lambda e: e["article"]), first(worded))
     base = base.withColumns({"_entry": F.when(F.col("post").isNotNull(), article).otherwise(structured), "evidence": evidence, "consistent": consistent})
     entry = F.col("_entry")
-    name = clean_text(F.coalesce(F.when(F.col("post").isNotNull(), entry["headline"]), entry["name"], meta_value("og:title"), F.col("title")), 300)
+    name = clean_text(F.coalesce(F.when(F.col("post").isNotNull(), entry["headline"]), entry["name"], meta_value("og:title"), F.col("title")))
     writer = entry["author"]
     writer = F.when(writer.startswith("{"), F.coalesce(F.get_json_object(writer, "$.url"), F.get_json_object(writer, "$['@id']"))).when(writer.startswith("["), F.get_json_object(writer, "$[0].url")).otherwise(writer)
     published = F.coalesce(entry["datePublished"], meta_value("article:published_time"))
@@ -274,13 +274,13 @@ def discover_creators(pages: DataFrame, host: str, rendered: DataFrame | None =
     item = F.col("_item")
     from_lists = items.filter(_has_type(item, ("person", "profilepage"))).select(
         "page_id", site_url(F.coalesce(item["url"], item["@id"]), F.col("url"), F.lit(host)).alias("found"), F.lit(0).alias("_source"), F.col("_i").alias("_place"), F.lit("json_ld_item_list").alias("method"),
-        F.coalesce(F.col("_x.position").try_cast("int"), F.col("_i") + 1).alias("ranking_position"), clean_text(item["name"], 160).alias("text"), F.array(F.lit("RANKING_CREATOR_ITEM_JSON_LD")).alias("evidence"))
+        F.coalesce(F.col("_x.position").try_cast("int"), F.col("_i") + 1).alias("ranking_position"), clean_text(item["name"]).alias("text"), F.array(F.lit("RANKING_CREATOR_ITEM_JSON_LD")).alias("evidence"))
     from_anchors = m.select("page_id", F.posexplode("anchors").alias("_i", "_x")).select(
         "page_id", F.col("_x.url").alias("found"), F.lit(1).alias("_source"), F.col("_i").alias("_place"), F.lit("ranking_anchor").alias("method"), F.lit(None).cast("int").alias("ranking_position"), F.col("_x.text").alias("text"), anchor_evidence(F.col("_x")).alias("evidence"))
     parts = [from_lists, from_anchors]
     if rendered is not None:
         r = rendered.join(m.select("page_id", "url"), "page_id").filter(F.col("rank").between(1, 999))
-        r = r.withColumn("found", site_url(F.col("href"), F.col("url"), F.lit(host))).withColumn("text", clean_text("text", 160)).filter(creator_slug("found").isNotNull() & F.col("text").isNotNull())
+        r = r.withColumn("found", site_url(F.col("href"), F.col("url"), F.lit(host))).withColumn("text", clean_text("text")).filter(creator_slug("found").isNotNull() & F.col("text").isNotNull())
         one = r.groupBy("page_id", "rank").agg(F.min("found").alias("found"), F.max("found").alias("_hi"), F.max("text").alias("text")).filter("found = _hi")
         parts.append(one.select("page_id", "found", F.lit(2).alias("_source"), F.col("rank").alias("_place"), F.lit("rendered_ranking_unit").alias("method"), F.col("rank").cast("int").alias("ranking_position"), "text", F.array(F.lit("RANKING_CREATOR_ITEM_RENDERED_STRUCTURAL_UNIT")).alias("evidence")))
     rows = reduce(DataFrame.unionByName, parts).filter(path_of("found").rlike("^/[^/]+$"))

@@ -67,7 +67,7 @@ def search_posts(approved: DataFrame, query: str, after: str | None = None, limi
     """Title or creator pattern search with keyset paging on the post id; blank finds nothing."""
     import re
 
-    q = re.sub(r"\s+", " ", clean_query(query, 10**6)).strip()[:200]
+    q = re.sub(r"\s+", " ", clean_query(query)).strip()
     if not q:
         return approved.filter(F.lit(False))
     hits = approved.filter(F.col("title").ilike(f"%{q}%") | F.col("creator_name").ilike(f"%{q}%"))

@@ -33,9 +33,8 @@ def performers_sharing(works: DataFrame, performer: str, column: str, limit: int
 
 
 def recommend(works: DataFrame, context: dict | None = None, limit: int = 12) -> DataFrame:
-    """The most popular works, rescored for a visitor's context."""
+    """Published works by popularity and a visitor's context, best first."""
     context = context or {}
-    pool = top_rows(works.filter("is_published"), [("popularity", "desc"), ("favorite_count", "desc"), ("id", "asc")], limit)
     w = K.RECOMMEND_WEIGHTS
     score = F.coalesce("popularity", F.lit(0)) * w["popularity"] + F.coalesce("favorite_count", F.lit(0)) * w["favorite_count"]
     for field in ("performer", "maker", "series"):
@@ -43,7 +42,7 @@ def recommend(works: DataFrame, context: dict | None = None, limit: int = 12) ->
             score = score + F.when(F.col(field) == context[field], w[field]).otherwise(0)
     if context.get("genres"):
         score = score + F.when(F.coalesce("genre", F.lit("")).isin(*context["genres"]), w["genre"]).otherwise(0)
-    return top_rows(pool.withColumn("score", score.cast("double")), [("score", "desc"), ("id", "asc")], limit)
+    return top_rows(works.filter("is_published").withColumn("score", score.cast("double")), [("score", "desc"), ("id", "asc")], limit)
 
 
 def related_works(works: DataFrame, work_performers: DataFrame, limit: int = 8) -> DataFrame:

@@ -107,7 +107,7 @@ def search_works_fallback(works: DataFrame, query: str, sort: str = "popular", l
     """Plain pattern search, with a compact code also tried in hyphenated form."""
     import re
 
-    q = clean_query(query, 10**6)
+    q = clean_query(query)
     if not q:
         return works.filter(F.lit(False))
     compact = re.sub(r"[^a-zA-Z0-9]", "", q)
@@ -171,13 +171,10 @@ def works_where(works: DataFrame, column: str, value: str, limit: int = 100) ->
 
 
 def tag_works(works: DataFrame, work_tags: DataFrame, tag: str, limit: int = 24, offset: int = 0) -> DataFrame:
-    """A page of a tag's links (by work id), then the published works among them.
-
-    The page is cut before unpublished works drop out, so a page may be short.
-    """
-    links = top_rows(work_tags.filter(F.col("tag") == tag).select("work_id").distinct(), [("work_id", "asc")], limit, offset)
-    out = works.filter("is_published").join(links, works.id == links.work_id, "left_semi")
-    return out.orderBy(*order_by([("popularity", "desc"), ("id", "asc")]))
+    """A page of a tag's published works by id, shown by popularity."""
+    links = work_tags.filter(F.col("tag") == tag).select("work_id")
+    tagged = works.filter("is_published").join(links, works.id == links.work_id, "left_semi")
+    return top_rows(tagged, [("id", "asc")], limit, offset).orderBy(*order_by([("popularity", "desc"), ("id", "asc")]))
 
 
 def popular_tags(works: DataFrame, work_tags: DataFrame, limit: int = 30) -> DataFrame:

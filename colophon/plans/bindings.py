@@ -155,7 +155,7 @@ class Tables:
             "source",
             F.concat(F.lit("doc:"), doc.cast("string")).alias("source_key"),
             *([F.col("text")] if text else []),
-            F.substring("text", 1, 80).alias("title"),
+            F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
             ((F.col("n_chars") % 101) / 100).alias("confidence"),
             F.when(doc % 2 == 0, F.floor(doc / 4) % self.part_count).alias("work_id"),
             F.element_at(F.array(*map(F.lit, ("promoted", "pending", "pending", "pending", "ignored"))), (doc % 5 + 1).cast("int")).alias("status"),
@@ -269,7 +269,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         from events_bound join part on p_partkey = work_id where event_type in ('signup','error')"""),
     "source_items": ((), f"""
         select doc_id id, source, concat('doc:', cast(doc_id as varchar)) source_key, text,
-               substr(text,1,80) title, (n_chars % 101)/100.0 confidence,
+               split_part(text, chr(10), 1) title, (n_chars % 101)/100.0 confidence,
                ['promoted','pending','pending','pending','ignored'][cast(doc_id%5+1 as int)] status,
                ['pending','failed','processing','completed'][cast(doc_id%4+1 as int)] extraction_status,
                concat('model-', cast(doc_id%3 as varchar)) model, doc_id%60 minutes_old,

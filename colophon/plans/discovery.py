@@ -134,7 +134,7 @@ def search_counts(t: Tables):
 
 
 @query("E10_performer_ranking", f"""
-with top as ({_POPULAR.format(where="", limit=100)})
+with top as ({_POPULAR.format(where="", limit="all")})
 select performer, cast(sum(greatest(search_count,1)) as bigint) searches from top join works w on upper(w.product_code) = top.product_code
 where is_published and performer is not null group by 1 order by 2 desc, 1 limit 8""", "search_logs works")
 def performer_ranking(t: Tables):
@@ -170,9 +170,8 @@ for _name, _column in (("E4_co_maker_performers", "maker"), ("E4_co_genre_perfor
 
 
 @query("G4_recommend", """
-with pool as (select * from works where is_published order by popularity desc nulls last, favorite_count desc nulls last, id limit 50)
 select id, product_code, cast(2*popularity + 3*favorite_count + case when maker='Brand#3' then 40 else 0 end
-  + case when genre in ('ECONOMY','PROMO') then 30 else 0 end as double) score from pool""", "works")
+  + case when genre in ('ECONOMY','PROMO') then 30 else 0 end as double) score from works where is_published order by score desc, id limit 50""", "works")
 def recommend(t: Tables):
     rows = t.works("id", "product_code", "performer", "maker", "series", "genre", "popularity", "favorite_count", "is_published")
     return related.recommend(rows, {"maker": "Brand#3", "genres": ["ECONOMY", "PROMO"]}, 50).select("id", "product_code", "score")

@@ -136,8 +136,7 @@ for _kind, _value in (("maker", "Brand#3"), ("series", "red widget"), ("genre",
 
 
 @query("C9_tag_works", """
-with links as (select distinct work_id from work_tags where tag='red' order by work_id limit 50 offset 5)
-select id, product_code, title, popularity from works where is_published and id in (select work_id from links)""", "works work_tags")
+select id, product_code, title, popularity from works where is_published and id in (select work_id from work_tags where tag='red') order by id limit 50 offset 5""", "works work_tags")
 def tag_works(t: Tables):
     return search.tag_works(t.works(*SHOWN, "is_published"), t.work_tags(), "red", 50, 5).select(*SHOWN)
 

@@ -12,7 +12,7 @@ HOST = "creators.example"
 @query("A11_page_metadata", r"""
 with t as (select page_id, url, html, regexp_extract(html,'(?is)<title\b[^>]*>(.*?)</title\s*>',1) raw from pages),
 u as (select *, replace(replace(replace(replace(replace(replace(raw,'&amp;','&'),'&quot;','"'),'&#39;',''''),'&apos;',''''),'&lt;','<'),'&gt;','>') dec from t)
-select page_id, nullif(substr(trim(regexp_replace(dec,'\s+',' ','g')),1,300),'') title, len(regexp_extract_all(html,'(?is)<a\b([^>]*)>(.*?)</a\s*>')) anchors from u""")
+select page_id, nullif(trim(regexp_replace(dec,'\s+',' ','g')),'') title, len(regexp_extract_all(html,'(?is)<a\b([^>]*)>(.*?)</a\s*>')) anchors from u""")
 def metadata(t: Tables):
     # anchors with any link: each page's own host is its site
     m = pages.page_metadata(t.pages())

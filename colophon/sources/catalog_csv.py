@@ -69,8 +69,8 @@ def check_rows(rows: DataFrame) -> DataFrame:
         F.upper(blank_to_null("product_code")).alias("product_code"),
         *[blank_to_null(c).alias(c) for c in (*TEXTS, *NUMBERS, *URLS, "release_date", "performer_kana")],
         _images().alias("sample_images"),
-        F.slice(_pipe_list("genre"), 1, K.CSV_LIST_MAX).alias("genres"),
-        F.slice(_pipe_list("tags"), 1, K.CSV_LIST_MAX).alias("tags"),
+        _pipe_list("genre").alias("genres"),
+        _pipe_list("tags").alias("tags"),
         cleared.alias("clear_fields"),
     )
     bad_number = [

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from colophon import constants as K
 from colophon.functions.hashing import stable_json
 
 
@@ -78,4 +77,3 @@ def write_partitioned(df: DataFrame, path: str, *columns: str) -> None:
     df.write.mode("overwrite").partitionBy(*columns).parquet(path)
 
 
-MANIFEST_LIMIT = K.MANIFEST_ROWS_MAX
