@@ -128,7 +128,6 @@ LANE_RATIOS = {"RECENT_POPULAR": 0.60, "LATEST": 0.25}
 LANE_SORT = {"RECENT_POPULAR": "rank", "LATEST": "date", "BACKFILL": "backfill"}
 POPULAR_MAX_AGE_DAYS = 180
 LATEST_PROTECTION_DAYS = 7
-LANE_TARGET_MAX = 1000
 AGE_BUCKETS = ("0-7d", "8-30d", "31-90d", "91-180d", "180+d", "UNKNOWN")
 FROZEN_CLASSES = (
     "EXISTING_UNCHANGED", "EXISTING_UPDATE", "SAFE_NEW", "NEEDS_REVIEW", "DUPLICATE", "INVALID", "ERROR",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colophon import constants as K
 from colophon.operators.greedy import first_come
-from colophon.operators.ranking import Order, numbered, order_by, top_rows
+from colophon.operators.ranking import Order, numbered, top_rows
 from colophon.operators.staging import class_counts
 from colophon.session import reuse
 
@@ -54,8 +54,8 @@ def merge_candidates(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def lane_targets(size: int) -> dict[str, int]:
-    if not 1 <= size <= K.LANE_TARGET_MAX:
-        raise ValueError(f"target size must be 1 to {K.LANE_TARGET_MAX}")
+    if size < 1:
+        raise ValueError("target size must be 1 at least")
     out = {lane: math.floor(size * K.LANE_RATIOS[lane]) for lane in K.LANES if lane in K.LANE_RATIOS}
     out["BACKFILL"] = size - sum(out.values())
     return out
@@ -96,7 +96,7 @@ def select_lanes(ranked: DataFrame, latest: DataFrame, backfill: DataFrame, size
     """Fill the lanes in turn; a shortfall is topped up from the latest works only.
 
     Candidate columns: ``position, external_product_id, code_key, release_date, age_days,
-    rank_position, priority_score``.  At most 1000 rows are chosen, so the later steps are small.
+    rank_position, priority_score``.
     """
     targets = lane_targets(size)
     popular = ranked.filter((F.col("rank_position").isNotNull()) & (F.col("age_days") <= K.POPULAR_MAX_AGE_DAYS))
@@ -113,15 +113,7 @@ def select_lanes(ranked: DataFrame, latest: DataFrame, backfill: DataFrame, size
         .when(F.col("lane") == "LATEST", F.array(F.when(young, "LATEST_0_7_DAY_PROTECTION").otherwise("LATEST_DATE_ORDER")))
         .otherwise(F.array(F.lit("DURABLE_BACKFILL_FRONTIER")))
     )
-    place = F.row_number().over(_small_window()).cast("bigint")
-    return chosen.withColumn("reason", reason).withColumn("priority_position", place)
-
-
-def _small_window():
-    """Order over the chosen rows, at most 1000 of them."""
-    from pyspark.sql import Window
-
-    return Window.orderBy(*order_by(CANDIDATE_ORDER))
+    return numbered(chosen.withColumn("reason", reason), [], CANDIDATE_ORDER, "priority_position")
 
 
 def distribution_metrics(df: DataFrame) -> DataFrame:

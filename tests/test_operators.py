@@ -414,7 +414,7 @@ def test_quality_settings_are_checked():
     with pytest.raises(ValueError):
         review.QualitySettings(high=0.5, medium=0.6)
     with pytest.raises(ValueError):
-        priority.lane_targets(1001)
+        priority.lane_targets(0)
 
 
 def test_search_edges(spark):
@@ -439,3 +439,48 @@ def test_write_scope_and_intake_edges(spark):
     assert intake.valid_events(e).count() == 0
     assert intake.valid_events(e.withColumn("related_work_id", F.lit(UUID.replace("1", "2")))).first().product_code == "ABC"
     assert images.score_candidates is not None
+
+
+# -- promotion --------------------------------------------------------------------------------------
+def test_two_products_of_one_work_both_count(spark):
+    url = "https://shop.example/a"
+    cols = (
+        "id long, external_product_id string, product_code string, code_key string, code_rejection string, title string, performers array<string>, maker string, genres array<string>, "
+        "card_image_url string, image_url string, sample_images array<string>, official_url string, affiliate_url string, price double, review_status string, preview_status string, "
+        "linked_work_id long, data_source_id int, fetched_at string, series string, label string, release_date string, description string, video_url string"
+    )
+
+    def product(i, ext, code, title, maker, genres, status="new", linked=None):
+        return (i, ext, code, code, None, title, ["p"], maker, genres, url, None, [], url, url, float(i), "pending", status, linked, 1, f"day {i}", None, None, None, None, None)
+
+    staged = spark.createDataFrame([
+        product(10, "a", "K1", "first", "m", ["g"], "update", 1), product(11, "b", "K1", "second", None, [], "update"),
+        product(12, "c", "N1", "new", "n", ["h"]), product(13, "d", "N1", "newer", None, ["i", "i"]), product(14, "c", "N1", "newest", None, None), product(15, "e", "X", "held", "m", ["g"], "needs_review"),
+    ], cols)
+    works = spark.createDataFrame([(1, "K1", "old", "was", True, "s"), (2, "Z", "other", None, True, None)], "id long, product_code string, title string, maker string, is_published boolean, series string")
+    out = publication.promote(staged, works, ("shop.example",), "feed")
+    rows = {r.product_code: r for r in out["works"].collect()}
+    assert {c: (r.title, r.maker, r.is_published, r.series) for c, r in rows.items()} == {
+        "K1": ("second", "m", True, "s"), "Z": ("other", None, True, None), "N1": ("newest", "n", False, None)}
+    new = rows["N1"].id
+    assert {(r.external_product_id, r.work_id, r.staged_id, r.price) for r in out["offers"].collect()} == {("a", 1, 10, 10.0), ("b", 1, 11, 11.0), ("c", new, 14, 14.0), ("d", new, 13, 13.0)}
+    assert sorted((r.work_id == 1, r.staged_id) for r in out["source_links"].collect()) == [(False, 12), (False, 13), (False, 14), (True, 10), (True, 11)]
+    assert {r.id: r.review_status for r in out["staged_updates"].collect()} == {**dict.fromkeys(range(10, 15), "promoted"), 15: "error"}
+    assert {(r.work_id == 1, r.name) for r in out["genres"].collect()} == {(True, "g"), (False, "i")}
+    assert [(r.work_id, r.changed_fields) for r in out["change_log"].collect()] == [(1, ["title", "maker"])]
+
+
+# -- manifests --------------------------------------------------------------------------------------
+def test_manifest_digest_of_many_levels(spark):
+    import hashlib
+
+    rows = [(i, f"c{i}", f"h{i * 7}") for i in range(53)]
+    got = frontier.manifest_digest(spark.createDataFrame(rows, "at long, code string, payload string").repartition(5), [("at", "asc")], "code", "payload", fan=3).first()
+    for lines, found in (([f"{c}\n" for _, c, _ in rows], got.membership_sha256), ([f"{c}\t{p}\n" for _, c, p in rows], got.payload_sha256)):
+        steps = 0
+        while len(lines) > 1 or steps < 2:
+            lines = [hashlib.sha256("".join(lines[k : k + 3]).encode()).hexdigest() + "\n" for k in range(0, len(lines), 3)]
+            steps += 1
+        assert lines[0].strip() == found
+    assert got.rows == 53
+    assert frontier.manifest_digest(spark.createDataFrame([], "at long, code string, payload string"), [("at", "asc")], "code", "payload").count() == 0
