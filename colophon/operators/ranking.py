@@ -20,19 +20,6 @@ def order_by(order: Order) -> list[Column]:
     return [F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_last() for c, d in order]
 
 
-def precedes(left: dict[str, Column], right: dict[str, Column], order: Order) -> Column:
-    """True when the left key sorts strictly before the right key."""
-    steps = []
-    same = F.lit(True)
-    for name, direction in order:
-        a, b = left[name], right[name]
-        before = (a > b) if direction == "desc" else (a < b)
-        before = F.coalesce(before, a.isNotNull() & b.isNull())
-        steps.append(same & before)
-        same = same & a.eqNullSafe(b)
-    return reduce(lambda x, y: x | y, steps)
-
-
 def _ranged(df: DataFrame, order: Order, buckets: int | None) -> DataFrame:
     """The rows, written once, with the number of their range of ``order`` in ``_bucket``."""
     buckets = buckets or partitions_of(df.sparkSession)

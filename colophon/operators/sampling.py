@@ -6,52 +6,47 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colophon.operators.ranking import Order, order_by, precedes, top_within
+from colophon.operators.greedy import first_come
+from colophon.operators.ranking import Order, numbered
+from colophon.session import reuse
 
 _BY_CONFIDENCE: Order = [("_confidence", "asc"), ("_score", "desc"), ("created_at", "asc"), ("code", "asc")]
 
 
-def _after(df: DataFrame, row, order: Order) -> Column:
-    types = dict(df.dtypes)
-    left = {c: F.lit(row[c]).cast(types[c]) for c, _ in order}
-    return precedes(left, {c: F.col(c) for c, _ in order}, order)
+def _first(rows: DataFrame, n: int) -> DataFrame:
+    return rows.orderBy("_place").limit(n).select("_place", "code", "_group")
 
 
-def _take(pool: DataFrame, order: Order, limit: int, used: set[str]) -> list:
-    """First rows of the order with an unused code; at most ``limit`` rows reach the driver."""
-    if limit <= 0:
-        return []
-    fresh = pool.filter(~F.col("code").isin(*used)) if used else pool
-    return fresh.orderBy(*order_by(order)).limit(limit).select("code", "maker", "series", *[c for c, _ in order if c != "code"]).collect()
+def _unused(pool: DataFrame, picked: DataFrame) -> DataFrame:
+    """The first row of each code that is not picked yet."""
+    rest = pool.join(picked.select("code"), "code", "left_anti")
+    return rest.groupBy("code").agg(F.min("_place").alias("_place"), F.min_by("_group", "_place").alias("_group"))
 
 
 def _sample(df: DataFrame, targets: dict[str, int], order: Order, unique_share: float) -> DataFrame:
-    """Mode by mode: the heads of unused groups until the share is reached, then the rows after
-    the last of them, then, if still short, the first unused rows.
+    """Mode by mode: rows of unused codes and groups until the share is reached, then rows of
+    unused codes after the last of them, then, if still short, the first rows of unused codes.
 
-    Each step is a top-k over the whole mode, so only the chosen rows are ever gathered.
+    A code is used once over all modes.  The driver sees counts only.
     """
-    used_codes: set[str] = set()
-    used_groups: set[tuple] = set()
-    rows = df.fillna("", ["maker", "series"])
+    group = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("maker", "series")])
+    keyed = df.filter(F.col("mode").isin(*targets)).withColumn("_group", group)
+    ties: Order = [(c, "asc") for c in ("code", "maker", "series") if c not in dict(order)]
+    rows = reuse(numbered(keyed, [], [("mode", "asc"), *order, *ties], "_place"))
+    used = rows.filter("false").select("_place", "code", "_group")
     for mode, target in targets.items():
-        pool = rows.filter(F.col("mode") == mode)
-        heads = top_within(pool, ["maker", "series"], order, 1, "_h").drop("_h")
-        taken = [F.struct(F.lit(m), F.lit(s)) for m, s in used_groups]
-        if taken:
-            heads = heads.filter(~F.struct("maker", "series").isin(*taken))
+        pool = rows.filter(F.col("mode") == mode).select("_place", "code", "_group").join(used.select("code"), "code", "left_anti")
+        fresh = pool.join(used.select("_group").distinct(), "_group", "left_anti")
         spread_until = math.ceil(target * unique_share)
-        picked = _take(heads, order, spread_until, used_codes)
-        used_codes |= {r["code"] for r in picked}
-        used_groups |= {(r["maker"], r["series"]) for r in picked}
-        if len(picked) == spread_until and picked and unique_share < 1:
-            more = _take(pool.filter(_after(pool, picked[-1], order)), order, target - len(picked), used_codes)
-            used_codes |= {r["code"] for r in more}
-            used_groups |= {(r["maker"], r["series"]) for r in more}
-            picked += more
-        fill = _take(pool, order, target - len(picked), used_codes)
-        used_codes |= {r["code"] for r in fill}
-    return df.filter(F.col("code").isin(*used_codes)) if used_codes else df.filter("false")
+        picked = reuse(_first(first_come(fresh, ["code", "_group"], "_place"), spread_until))
+        n, last = picked.agg(F.count("*"), F.max("_place")).first()
+        if 0 < n == spread_until < target:
+            picked = reuse(picked.unionByName(_first(_unused(pool.filter(F.col("_place") > last), picked), target - n)))
+            n = picked.count()
+        if n < target:
+            picked = reuse(picked.unionByName(_first(_unused(pool, picked), target - n)))
+        used = used.unionByName(picked)
+    return rows.join(used.select("_place"), "_place", "left_semi").select(*df.columns)
 
 
 def stratified_sample(df: DataFrame, targets: dict[str, int]) -> DataFrame:

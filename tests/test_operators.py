@@ -123,13 +123,13 @@ def brute_sample(rows, targets, place, share):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [1, 40])
-def test_samples_equal_a_scan(spark, hot):
+@pytest.mark.parametrize("hot, codes", [(1, 300), (40, 300), (40, 25)])
+def test_samples_equal_a_scan(spark, hot, codes):
     import hashlib
 
     rng = random.Random(hot)
     rows = [
-        {"code": f"A-{i:04d}", "mode": rng.choice(["SAMPLE", "PACKAGE_RIGHT"]), "confidence": rng.choice(["high", "medium", "low"]), "score": rng.randrange(100), "created_at": f"2024-{rng.randrange(1, 10)}",
+        {"code": f"A-{i if codes == 300 else rng.randrange(codes):04d}", "mode": rng.choice(["SAMPLE", "PACKAGE_RIGHT"]), "confidence": rng.choice(["high", "medium", "low"]), "score": rng.randrange(100), "created_at": f"2024-{rng.randrange(1, 10)}",
          "maker": "M0" if i % 3 else f"M{rng.randrange(hot)}", "series": f"S{rng.randrange(2)}", "classification": rng.choice("AB")}
         for i in range(300)
     ]
@@ -138,7 +138,7 @@ def test_samples_equal_a_scan(spark, hot):
     level = {"high": 0, "medium": 1, "low": 2}
     place = lambda r: (level[r["confidence"]], -(r["score"] or -999) if r["score"] else 999, r["created_at"], r["code"])
     assert sorted(r.code for r in sampling.stratified_sample(df, targets).collect()) == brute_sample(rows, targets, place, 0.5)
-    by_hash = lambda r: hashlib.sha256(r["code"].encode()).hexdigest()
+    by_hash = lambda r: (hashlib.sha256(r["code"].encode()).hexdigest(), r["maker"], r["series"])
     none = df.filter("false")
     assert sorted(r.code for r in sampling.holdout_sample(df, targets, none).collect()) == brute_sample(rows, targets, by_hash, 1.0)
 
