@@ -186,17 +186,19 @@ def positions(df: DataFrame, key: str, names: str) -> DataFrame:
 def api_error_log(open_errors: DataFrame, new_errors: DataFrame, resolved_ids: DataFrame, stages: tuple[str, ...] = ("normalize", "deduplicate", "persist")) -> DataFrame:
     """Open errors after a step: a repeat raises the attempt count, a later success resolves.
 
-    Key: job, offset, stage, type and id; ``resolved_ids(job_id, external_product_id)``.
+    Key: job, offset, stage, type and id; ``resolved_ids(job_id, external_product_id)``.  Each of
+    several new errors of one key counts as an attempt; the greatest message stays.
     """
     keys = ["job_id", "api_offset", "stage", "error_type", "external_product_id"]
-    o, n = open_errors.alias("o"), new_errors.alias("n")
+    grouped = new_errors.groupBy(*keys).agg(F.count("*").alias("_times"), F.max("attempt_count").alias("attempt_count"), F.max("message").alias("message"))
+    o, n = open_errors.alias("o"), grouped.alias("n")
     on = reduce(lambda a, b: a & b, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
     both = o.join(n, on & F.col("o.resolved_at").isNull(), "full_outer")
     is_new = F.col("n.job_id").isNotNull()
     merged = both.select(
         *[F.coalesce(f"n.{k}", f"o.{k}").alias(k) for k in keys],
-        F.when(is_new & F.col("o.job_id").isNotNull(), F.greatest(F.lit(0), F.coalesce("o.attempt_count", F.lit(0))) + 1)
-        .when(is_new, F.greatest(F.lit(1), F.col("n.attempt_count"))).otherwise(F.col("o.attempt_count")).alias("attempt_count"),
+        F.when(is_new & F.col("o.job_id").isNotNull(), F.greatest(F.lit(0), F.coalesce("o.attempt_count", F.lit(0))) + F.col("n._times"))
+        .when(is_new, F.greatest(F.lit(1), F.col("n.attempt_count")) + F.col("n._times") - 1).otherwise(F.col("o.attempt_count")).alias("attempt_count"),
         F.coalesce("n.message", "o.message").alias("message"),
         F.col("o.resolved_at").alias("resolved_at"),
     )

@@ -484,3 +484,12 @@ def test_manifest_digest_of_many_levels(spark):
         assert lines[0].strip() == found
     assert got.rows == 53
     assert frontier.manifest_digest(spark.createDataFrame([], "at long, code string, payload string"), [("at", "asc")], "code", "payload").count() == 0
+
+
+def test_repeated_new_errors_raise_the_attempts(spark):
+    cols = "job_id string, api_offset long, stage string, error_type string, external_product_id string, message string, attempt_count long"
+    old = spark.createDataFrame([("j", 1, "persist", "e", "a", "m", 3)], cols).withColumn("resolved_at", F.lit(None).cast("string"))
+    new = spark.createDataFrame([("j", 1, "persist", "e", "a", "m2", 1), ("j", 1, "persist", "e", "a", "m1", 1), ("j", 2, "persist", "e", "b", "m", 1), ("j", 2, "persist", "e", "b", "m", 1)], cols)
+    none = spark.createDataFrame([], "job_id string, external_product_id string, resolved_at string")
+    got = {r.api_offset: (r.attempt_count, r.message) for r in merging.api_error_log(old, new, none).collect()}
+    assert got == {1: (5, "m2"), 2: (2, "m")} and merging.api_error_log(old, new, none).count() == 2
