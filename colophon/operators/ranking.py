@@ -7,7 +7,6 @@ the sum) of the earlier ranges is added from a table with one row per range.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colophon.session import partitions_of, reuse
