@@ -1,10 +1,13 @@
 """URL filter: host rules first, then words of the host and path scored by naive Bayes.
 
 Names in a host are often words run together.  A unigram Viterbi splits each into its most likely
-words, those of a dictionary counted from the parts of host names and from seed words.  A
-multinomial naive Bayes over the words of host and path then tells blocked urls from others.  It is
-fitted on at most ``sample`` urls, those whose hashes are least, labelled by the seed words; the
-host's segments and all path tokens, seed words or not, get their weights from that sample.
+words.  The dictionary is counted over all hosts, each once, and seed words; a part of a host that
+is itself words run together counts for those words and never as one of its own.  The dictionary
+stays in Spark: each name meets, by a join, those of its substrings that are words.
+
+A multinomial naive Bayes over the words of host and path then tells blocked urls from others.  It
+is fitted on at most ``sample`` distinct urls, those whose hashes are least, labelled by the seed
+words; the host's segments and all path tokens, seed words or not, get their weights from them.
 """
 
 from __future__ import annotations
@@ -12,18 +15,23 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from colophon.llm.common import ascii_lower, mapped, table
+from colophon.session import reuse
 
 # Words that mark a url as unwanted, and common words of urls.
 BLOCK_WORDS = "adult ads bet bets betting casino cheap click escort farm free gambling jackpot loan pharmacy pills poker popup porn sex slots spam track tracker tracking viagra win xxx".split()
 PLAIN_WORDS = "about archive article blog book catalog city contact data docs edu example forum game guide help home image info journal library list mail map market media mobile museum music news page photo post press report research review school science search shop sport static store story time tv university video weather web wiki world".split()
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+SEEDS = frozenset([*BLOCK_WORDS, *PLAIN_WORDS])
+SEED_COUNT = 20
+#: letters of a word of the dictionary that is no seed word
+SHORTEST, LONGEST = 2, 12
 TOKEN = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
 
 
@@ -53,9 +61,10 @@ class Words:
 
     counts: Counter
     known: dict[str, list[str]] = field(default_factory=dict)
+    total: int = 0  # of the whole dictionary, if ``counts`` is a part of it
 
     def __post_init__(self):
-        self.total = sum(self.counts.values()) + 1
+        self.total = self.total or sum(self.counts.values()) + 1
         self.longest = max(map(len, self.counts), default=1)
 
     def cost(self, word: str) -> float:
@@ -84,34 +93,89 @@ class Words:
         return self.known[name]
 
 
-def tokens_of(host: str, path: str, words: Words) -> list[str]:
-    """Words of the host, then those of the path marked so; numbers count as one token."""
-    out = [w for part in TOKEN.findall(host) for w in (words.split(part) if part[0].isalpha() else ["#"])]
-    lower = path.lower()
-    return out + ["/" + w for part in TOKEN.findall(lower) for w in (words.split(part) if part[0].isalpha() else ["#"])]
+def names_in(text: str) -> list[str]:
+    """Parts of a host or a lower-case path in order; a number is ``#``."""
+    return [part if part[0].isalpha() else "#" for part in TOKEN.findall(text)]
+
+
+def run_together(name: str, pieces: list[str], counts: dict[str, int]) -> bool:
+    """Whether a name's best split without itself makes it words run together, not a word of its own.
+
+    Each piece is a seed word or has four letters at least, and half of the letters are in known words.
+    """
+    if name in SEEDS or len(pieces) < 2 or any(p not in SEEDS and len(p) < 4 for p in pieces):
+        return False
+    return 2 * sum(len(p) for p in pieces if p in counts or p in SEEDS) >= len(name)
+
+
+def _column_of(rows: DataFrame, work: Callable[[dict], Iterator[str]], name: str) -> DataFrame:
+    """One string column with what ``work`` makes of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x for r in batch.to_pylist() for x in work(r)], pa.string())], [name])
+
+    return mapped(rows, run, f"{name} string")
+
+
+def host_words(hosts: DataFrame) -> DataFrame:
+    """``word`` and ``n``: the number of distinct hosts with it as a part, and the seed words."""
+    parts = _column_of(hosts.select("host").distinct(), lambda r: {p for p in names_in(r["host"]) if p != "#" and SHORTEST <= len(p) <= LONGEST}, "word")
+    seeds = hosts.sparkSession.createDataFrame([(w, SEED_COUNT) for w in sorted(SEEDS)], "word string, n bigint")
+    return parts.groupBy("word").agg(F.count("*").alias("n")).unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def splits(names: DataFrame, words: DataFrame, own: bool) -> DataFrame:
+    """``name``, its ``pieces`` and whether it is ``run_together``, for distinct names.
+
+    Names meet the words among their substrings, themselves only if ``own``.
+    """
+    total = (words.agg(F.sum("n")).first()[0] or 0) + 1
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                found = sorted({name[i:j] for i in range(len(name)) for j in range(i + SHORTEST, min(len(name), i + LONGEST) + 1)} - (set() if own else {name}))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string())], ["name", "word"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            counts = [{w["word"]: w["n"] for w in r["found"] or []} for r in rows]
+            pieces = [Words(Counter(c), total=total).split(r["name"]) for r, c in zip(rows, counts)]
+            joined = [run_together(r["name"], p, c) for r, p, c in zip(rows, pieces, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(pieces, pa.list_(pa.string())), pa.array(joined, pa.bool_())], ["name", "pieces", "run_together"])
+
+    met = mapped(names.select("name"), inside, "name string, word string").join(words, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    return mapped(names.select("name").join(met, "name", "left"), cut, "name string, pieces array<string>, run_together boolean")
+
+
+def dictionary(hosts: DataFrame) -> DataFrame:
+    """``word`` and ``n`` of all hosts; what is run together counts for its words."""
+    counted = reuse(host_words(hosts), "host_words")
+    judged_words = splits(counted.select(F.col("word").alias("name")), counted, own=False)
+    found = counted.join(judged_words, F.col("word") == F.col("name"))
+    words = F.when(F.col("run_together"), F.col("pieces")).otherwise(F.array("word"))
+    return found.select(F.explode(words).alias("word"), "n").filter(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Model:
-    words: Words
     weight: dict[str, float]  # log odds for blocking, by token
     prior: float
 
-    def odds(self, host: str, path: str) -> float:
-        return self.prior + sum(self.weight.get(t, 0.0) for t in tokens_of(host, path, self.words))
+    def odds_of(self, pieces: list[str], mark: str) -> float:
+        return sum(self.weight.get(mark + w, 0.0) for w in pieces)
+
 
+def fit(urls: list[tuple[str, str]], pieces: dict[str, list[str]]) -> Model:
+    """Weights of the tokens of some urls, each a host and a path, by the splits of their names.
 
-def fit(pages: DataFrame, sample: int = 20_000) -> Model:
-    """``pages`` has ``host`` and ``path``; at most ``sample`` rows, those of the least hashes, reach the driver."""
-    rows = pages.filter("host <> ''").select("host", "path").orderBy(F.xxhash64("host", "path"), "host", "path").limit(sample).collect()
-    counts = Counter({w: 20 for w in [*BLOCK_WORDS, *PLAIN_WORDS]})
-    for r in rows:
-        # the parts of a name are words as they stand, if they are not long
-        counts.update(p for p in TOKEN.findall(r["host"]) if p[0].isalpha() and 2 <= len(p) <= 12)
-    words = Words(counts)
+    Words of the path are marked with a slash; numbers count as one token.
+    """
     block, seen, n = set(BLOCK_WORDS), {True: Counter(), False: Counter()}, Counter()
-    for r in rows:
-        found = tokens_of(r["host"], r["path"], words)
+    for host, path in urls:
+        found = [w for x in names_in(host) for w in pieces.get(x, [x])] + ["/" + w for x in names_in(path.lower()) for w in pieces.get(x, [x])]
         bad = any(t.lstrip("/") in block for t in found)
         n[bad] += 1
         seen[bad].update(found)
@@ -122,7 +186,46 @@ def fit(pages: DataFrame, sample: int = 20_000) -> Model:
     vocabulary = set(seen[True]) | set(seen[False])
     size = {k: sum(v.values()) + len(vocabulary) for k, v in seen.items()}
     weight = {t: math.log((seen[True][t] + 1) / size[True]) - math.log((seen[False][t] + 1) / size[False]) for t in vocabulary}
-    return Model(words, weight, math.log(n[True] / n[False]))
+    return Model(weight, math.log(n[True] / n[False]))
+
+
+def sampled(pairs: DataFrame, sample: int) -> list[tuple[str, str]]:
+    """The distinct urls of the least hashes, ``sample`` at most; tasks send about that many in all."""
+    n, order = pairs.count(), F.xxhash64("host", "path")
+    few = pairs.filter("host <> ''").withColumn("_order", order)
+    if n > 2 * sample:
+        part = few.filter(F.col("_order") < F.lit(int(-(2**63) + 2**64 * 1.5 * sample / n)))
+        few = part if part.count() >= sample else few
+    return [(r["host"], r["path"]) for r in few.orderBy("_order", "host", "path").limit(sample).collect()]
+
+
+def scored(pairs: DataFrame, sample: int) -> DataFrame:
+    """``host``, ``path`` and ``odds`` of distinct urls."""
+    names = reuse(_column_of(pairs, lambda r: {x for t in (r["host"], r["path"].lower()) for x in names_in(t) if x != "#"}, "name").distinct(), "names")
+    found = reuse(splits(names, reuse(dictionary(pairs.filter("host <> ''")), "dictionary"), own=True), "splits")
+    urls = sampled(pairs, sample)
+    asked = pairs.sparkSession.createDataFrame([(x,) for x in sorted({x for h, p in urls for x in [*names_in(h), *names_in(p.lower())]})], "name string")
+    pieces = {r["name"]: r["pieces"] for r in found.join(asked, "name", "left_semi").collect()} | {"#": ["#"]}
+    model = fit(urls, pieces)
+    # names of the sample, the frequent ones among them, need no join
+    known = {mark + x: model.odds_of(p, mark) for x, p in pieces.items() for mark in ("", "/")}
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [[*names_in(h), *("/" + x for x in names_in(p.lower()))] for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
+            part = pa.array([model.prior + sum(known.get(t, 0.0) for t in own) for own in tokens], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("path"), part, pa.array([[t for t in own if t not in known] for own in tokens], pa.list_(pa.string()))], ["host", "path", "part", "others"])
+
+    def other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(mark + r["name"], odds) for r in batch.to_pylist() for mark in ("", "/") if (odds := model.odds_of(r["pieces"], mark))]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([o for _, o in rows], pa.float64())], ["token", "odds"])
+
+    begun = reuse(mapped(pairs, some, "host string, path string, part double, others array<string>"), "begun")
+    rest = begun.select("host", "path", F.explode("others").alias("token")).join(mapped(found, other, "token string, odds double"), "token")
+    # added in one order, so that runs agree
+    added = rest.groupBy("host", "path").agg(F.aggregate(F.sort_array(F.collect_list("odds")), F.lit(0.0), lambda a, b: a + b).alias("more"))
+    return begun.join(added, ["host", "path"], "left").select("host", "path", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("odds"))
 
 
 def judged(pages: DataFrame, rules=RULES, sample: int = 20_000) -> DataFrame:
@@ -130,19 +233,13 @@ def judged(pages: DataFrame, rules=RULES, sample: int = 20_000) -> DataFrame:
 
     A null url, or one without ``://``, has an empty host and path and no word, and is allowed.
     """
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    model = fit(rows, sample)
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            odds = [model.odds(h, p) if h or p else -math.inf for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
-            score = [1 / (1 + math.exp(-max(-50.0, min(50.0, o)))) for o in odds]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
-
+    rows = reuse(pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), "urls")
+    some = F.expr("host <> '' or path <> ''")
+    odds = scored(reuse(rows.filter(some).select("host", "path").distinct(), "pairs"), sample)
+    all_rows = rows.filter(some).join(odds, ["host", "path"]).unionByName(rows.filter(~some).withColumn("odds", F.lit(-50.0)))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col("odds")))))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    scored = mapped(rows, work, schema)
-    return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "score")
+    return all_rows.withColumn("score", score).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "score")
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -160,6 +160,14 @@ def test_url_words(spark):
     assert model.split("cheappillsnews") == ["cheap", "pills", "news"] and model.split("zzz") == ["zzz"]
 
 
+def test_names_in_the_table_are_no_words_of_their_own(spark):
+    blocked = ["freecasino", "cheappills", "bestpoker", "xxxvideo"]
+    hosts = [f"{name}{k}.example.org" for name in [*blocked, "winter", "window", "alphabet", "freelance", "weathermap"] for k in ("", "-a", "-b", "-c", "-d")]
+    rows = spark.createDataFrame([(k, f"http://{h}/") for k, h in enumerate(hosts)], "page_id bigint, url string")
+    got = {r["host"]: r["verdict"] for r in urls.judged(rows).collect()}
+    assert got == {h: "block" if any(h.startswith(b) for b in blocked) else "allow" for h in hosts}
+
+
 # 4 rules
 
 
