@@ -168,6 +168,20 @@ def test_names_in_the_table_are_no_words_of_their_own(spark):
     assert got == {h: "block" if any(h.startswith(b) for b in blocked) else "allow" for h in hosts}
 
 
+def test_words_come_from_all_hosts(spark):
+    # the sample holds few urls; names and their words are met in the others
+    rows = [(k, f"http://plain.example.org/{k}") for k in range(300)] + [(1000 + k, "http://plain.example.org/1") for k in range(500)]
+    rows += [(2000 + k, f"http://{h}.example.org/") for k, h in enumerate(["zebra", "wagon", "zebrawagon", "zebra-wagon"])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    pairs = pages.select(urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path")).distinct()
+    found = urls.splits(spark.createDataFrame([("zebrawagon",)], "name string"), urls.dictionary(pairs), own=True).first()
+    assert found["pieces"] == ["zebra", "wagon"]
+    sample = urls.sampled(pairs, 20)
+    assert len(sample) == len(set(sample)) == 20
+    got = {r["page_id"]: r["score"] for r in urls.judged(pages, sample=20).collect()}
+    assert len(got) == len(rows) and got[2002] == got[2003] and got[1000] == got[1499] == got[1]
+
+
 # 4 rules
 
 
