@@ -4,7 +4,8 @@ A byte-level pre-tokenizer never joins a space to what stands before it unless t
 too, so a text cut before such spaces gives the same ids piece by piece, and a piece the same ids
 word by word.  Both repeat a lot, and each Python worker keeps the ids of those it has met; a new
 word goes to the tokenizer's model.  Pieces with characters whose class is not certain, texts in
-which white space stands before a space, and tokenizers of another kind are encoded whole.
+which white space stands before a space or an added token occurs, and tokenizers of another kind
+are encoded whole.
 """
 
 from __future__ import annotations
@@ -77,25 +78,31 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to little-endian unsigned 32-bit ids.
 
-    def __init__(self, path: str):
+    A special token that a text spells out is plain text, or its own id if not ``special_as_text``,
+    as the library has it by default.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = True):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as file:
             kind = json.load(file)
         split = kind.get("pre_tokenizer") or {}
         self.by_piece = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not kind.get("normalizer")
+        added = [re.escape(t["content"]) for t in kind.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.pieces = _Pieces(_Words(self.tokenizer.model), self.whole)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _text(self, text: str) -> bytes:
-        if not self.by_piece or UNSURE.search(text):
+        if not self.by_piece or UNSURE.search(text) or self.added.search(text):
             return self.whole([text])[0]
         first, *rest = text.split(" ")
         # the first piece has no space before it
@@ -110,9 +117,9 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file."""
+    """The worker's encoder for a tokenizer file, special tokens as the library has them."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, special_as_text=False)
     return _ENCODERS[path]
 
 

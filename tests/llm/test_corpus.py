@@ -268,6 +268,18 @@ def test_ids_by_piece():
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(PATH).encode(cases)] == [ids_of(t)[:-1] for t in cases]
 
 
+def test_special_tokens_as_the_library_has_them(spark):
+    texts = ["stop <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  c", "<|endoftext| >", "plain"]
+    plain = Tokenizer.from_file(PATH)
+    want = [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert want[0] == [11338, 220, 50256, 994, 0]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in tokenfiles.documents_in(tokenfiles.blocks_of(rows, PATH, 50_257)).collect()}
+    assert [(got[k]["n_tokens"], zlib.crc32(got[k]["ids"])) for k in range(5)] == [(len(w), crc(w)) for w in want]
+    for r in packing.packed(rows, PATH).collect():
+        assert r["ids_crc32"] == crc(want[r["doc_id"]][r["start"] : r["start"] + r["length"]]) and r["doc_tokens"] == len(want[r["doc_id"]])
+
+
 def check_pieces(rows, texts):
     ids = {d: ids_of(t) for d, t in texts.items()}
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
