@@ -11,7 +11,8 @@ links, never all pairs.
 Buckets come in two kinds.  Within radius 3, two words agree in one of four 16-bit blocks, and the
 other 48 bits in one of four blocks of 12: ``block_keys`` joins the two, which loses no pair.  For
 a wide radius, ``sketch_keys`` joins two minima of hashed shingles, ``TABLES`` times over; a pair of
-similarity 0.8 is missed with a chance of 0.36 ** TABLES.
+similarity 0.8 is missed with a chance of 0.36 ** TABLES.  There the bits are a filter only: nodes
+that have a near one meet again with their shingle sets, and a pair links if the sets agree.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SEED = 42
 CHUNK = 1024
 TABLES = 8
 BYTES_AT_ONCE = 8 << 20
+#: shingles that two texts share, of those that either has, and the bits that filter for it
+ALIKE, ALIKE_RADIUS = 0.8, 64
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -55,12 +58,25 @@ def _mix(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sign(text: str | None, words: int, width: int, tables: int) -> tuple[bytes, bytes]:
-    """Fingerprint of ``width`` 64-bit words, and two minima for each of ``tables`` tables; big-endian bytes."""
+def hashed(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the shingles in order, repeated ones too."""
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles(text, words)], np.uint64)
+    return np.array([digest(s, SEED) for s in shingles(text, words)], np.uint64)
+
+
+def set_name(ordered: np.ndarray) -> bytes:
+    """128 bits that name a set of hashes; zero for the empty set."""
+    return xxhash.xxh128_digest(ordered.tobytes(), SEED) if len(ordered) else bytes(16)
+
+
+def sign(text: str | None, words: int, width: int, tables: int) -> tuple[bytes, bytes]:
+    """Fingerprint of ``width`` 64-bit words; big-endian bytes.
+
+    With tables, then two minima for each of them and 128 bits that name the set of shingles.
+    """
+    hashes = hashed(text, words)
     if not len(hashes):
-        return bytes(8 * width), bytes(16 * tables)
+        return bytes(8 * width), bytes(16 * tables + (16 if tables else 0))
     out = np.zeros(width, np.uint64)
     for k in range(width):
         own, counts = _mix(hashes, k), np.zeros(64, np.int64)
@@ -68,19 +84,34 @@ def sign(text: str | None, words: int, width: int, tables: int) -> tuple[bytes,
             counts += np.unpackbits(own[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
         out[k] = np.packbits(2 * counts > len(own)).view(">u8")[0]
     sketch = np.array([_mix(hashes, 101 + k).min() for k in range(2 * tables)], np.uint64)
-    return out.astype(">u8").tobytes(), sketch.astype(">u8").tobytes()
+    return out.astype(">u8").tobytes(), sketch.astype(">u8").tobytes() + (set_name(np.unique(hashes)) if tables else b"")
 
 
 def signed(docs: DataFrame, words: int, width: int = 1, tables: int = 0) -> DataFrame:
-    """``doc_id`` and ``node`` of every row: the fingerprint, followed by the sketch if there are tables."""
+    """``doc_id``, ``node`` and ``text_key`` of every row: the fingerprint, followed by the sketch if there are tables."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BYTES_AT_ONCE):
             nodes = [b"".join(sign(t, words, width, tables)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary())], ["doc_id", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), batch.column("text_key")], ["doc_id", "node", "text_key"])
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return mapped(rows, work, T.StructType([rows.schema["doc_id"], T.StructField("node", T.BinaryType()), T.StructField("text_key", T.LongType())]))
+
 
-    rows = docs.select("doc_id", "text")
-    return mapped(rows, work, T.StructType([rows.schema["doc_id"], T.StructField("node", T.BinaryType())]))
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``node`` and ``body``, its ordered distinct shingle hashes, of the nodes of ``wanted``, found by ``text_key``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch], "text", BYTES_AT_ONCE):
+                sets = [np.unique(hashed(t, words)) for t in part.column("text").to_pylist()]
+                nodes = part.column("node").to_pylist()
+                own = [k for k, (n, x) in enumerate(zip(nodes, sets)) if n[-16:] == set_name(x)]  # not a text of an equal key
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in own], pa.binary()), pa.array([sets[k].tobytes() for k in own], pa.binary())], ["node", "body"])
+
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key").select("node", "text").distinct()
+    return mapped(texts, work, "node binary, body binary").dropDuplicates(["node"])
 
 
 def block_keys(raw: np.ndarray, width: int) -> np.ndarray:
@@ -99,7 +130,7 @@ def block_keys(raw: np.ndarray, width: int) -> np.ndarray:
 
 def sketch_keys(raw: np.ndarray, width: int) -> np.ndarray:
     """[nodes, tables] keys: each joins two minima of the sketch."""
-    minima = raw[:, width:]
+    minima = raw[:, width:-2]
     return np.stack([_mix(_mix(minima[:, 2 * k], 1) ^ minima[:, 2 * k + 1], k + 1) for k in range(minima.shape[1] // 2)], 1)
 
 
@@ -166,8 +197,40 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def bucket_links(bounds: np.ndarray, part: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (row, row) of the near pairs within each bucket ``bounds[k]:bounds[k + 1]``.
+def agreeing(a: np.ndarray, b: np.ndarray, bodies: list[bytes], alike: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of those pairs whose shingle sets have a Jaccard index of ``alike`` or more."""
+    root: dict[int, int] = {}
+    sets: dict[int, np.ndarray] = {}
+    out: list[tuple[int, int]] = []
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    def set_of(x: int) -> np.ndarray:
+        if x not in sets:
+            sets[x] = np.frombuffer(bodies[x], np.uint64)
+        return sets[x]
+
+    codes = np.unique(np.minimum(a, b) * len(bodies) + np.maximum(a, b))
+    for x, y in zip((codes // max(1, len(bodies))).tolist(), (codes % max(1, len(bodies))).tolist()):
+        p, q = find(x), find(y)
+        if p == q:
+            continue
+        one, two = set_of(x), set_of(y)
+        if min(len(one), len(two)) < alike * max(len(one), len(two)):
+            continue
+        both = len(np.intersect1d(one, two, assume_unique=True))
+        if both >= alike * (len(one) + len(two) - both):
+            root[max(p, q)] = min(p, q)
+            out.append((x, y))
+    links = np.array(out, np.int64).reshape(-1, 2)
+    return links[:, 0], links[:, 1]
+
+
+def bucket_links(bounds: np.ndarray, part: np.ndarray, prints: np.ndarray, radius: int, agree=lambda a, b: (a, b)) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (row, row) of the near pairs within each bucket ``bounds[k]:bounds[k + 1]`` that ``agree`` leaves.
 
     Where a bucket pairs two chunks, ``part`` tells them apart and only pairs across them are compared.
     """
@@ -198,6 +261,7 @@ def bucket_links(bounds: np.ndarray, part: np.ndarray, prints: np.ndarray, radiu
             left, right = rows[part[rows] == part[rows[0]]], rows[part[rows] != part[rows[0]]]
         n_words = -(-len(left) // 64)
         a, b = _pairs(prints, left, right, np.tile(np.arange(n_words), len(right)), np.repeat(np.arange(len(right)), n_words), radius)
+        a, b = agree(a, b)
         label = forest(len(rows), a - bounds[k], b - bounds[k])
         moved = np.flatnonzero(label != np.arange(len(rows)))
         some_a.append(rows[moved])
@@ -206,7 +270,7 @@ def bucket_links(bounds: np.ndarray, part: np.ndarray, prints: np.ndarray, radiu
     for at in range(0, len(lanes), 512):
         block = np.concatenate(lanes[at : at + 512])
         a, b = _pairs(prints, block, block, np.repeat(np.arange(len(block) // 64), 64), np.arange(len(block)), radius)
-        label = forest(len(prints), a, b)
+        label = forest(len(prints), *agree(a, b))
         moved = np.flatnonzero(label != np.arange(len(prints)))
         some_a.append(moved)
         some_b.append(label[moved])
@@ -219,8 +283,11 @@ def _raw(nodes: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values), ">u8").reshape(len(values), -1).astype(np.uint64) if values else np.zeros((0, 1), np.uint64)
 
 
-def near_links(nodes: DataFrame, radius: int, width: int, keys, chunk: int = CHUNK) -> DataFrame:
-    """Links ``u``, ``v`` that join every two nodes within ``radius`` bits that share a key."""
+def near_links(nodes: DataFrame, radius: int, width: int, keys, chunk: int = CHUNK, bodies: DataFrame | None = None, alike: float = ALIKE) -> DataFrame:
+    """Links ``u``, ``v`` that join every two nodes within ``radius`` bits that share a key.
+
+    With ``bodies``, the nodes' shingle sets, only pairs with a Jaccard index of ``alike`` link.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,6 +302,9 @@ def near_links(nodes: DataFrame, radius: int, width: int, keys, chunk: int = CHU
     other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
     paired = parted.select("key", "node", "part", other.alias("_other")).select("key", F.least("part", "_other").alias("a"), F.greatest("part", "_other").alias("b"), "part", "node")
 
+    if bodies is not None:
+        paired = paired.join(bodies, "node")
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: pa.Table | None = None
 
@@ -248,7 +318,11 @@ def near_links(nodes: DataFrame, radius: int, width: int, keys, chunk: int = CHU
             node = rows.column("node").take(pa.array(pick)).combine_chunks()
             node = node.chunk(0) if isinstance(node, pa.ChunkedArray) else node
             bounds = np.r_[0, np.cumsum(sizes[sizes > 1])]
-            left, right = bucket_links(bounds, part[pick], _raw(node)[:, :width], radius) if len(pick) else (np.zeros(0, np.int64),) * 2
+            checks = {}
+            if "body" in rows.column_names:
+                own = rows.column("body").take(pa.array(pick)).to_pylist()
+                checks["agree"] = lambda a, b: agreeing(a, b, own, alike)
+            left, right = bucket_links(bounds, part[pick], _raw(node)[:, :width], radius, **checks) if len(pick) else (np.zeros(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([node.take(pa.array(left)), node.take(pa.array(right))], ["u", "v"])
 
         for batch in batches:
@@ -272,25 +346,32 @@ def near_links(nodes: DataFrame, radius: int, width: int, keys, chunk: int = CHU
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, width: int = 1, tables: int = 0, chunk: int = CHUNK) -> DataFrame:
     """``doc_id``, ``node`` and ``component_id``, the least id reachable over near fingerprints, of every row.
 
+    With tables, a link needs near fingerprints and shingle sets with a Jaccard index of ``ALIKE``.
     Null texts count as empty; texts without words have the fingerprint zero and link like any other.
     Repeated rows stay.  Null ids never name a component (it is null if no member has an id).
     """
     if not tables and (radius > 3 or width != 1):
         raise ValueError("block keys are complete up to radius 3 of one word; give tables for more")
     prints = reuse(signed(docs, words, width, tables), "prints")
-    nodes = reuse(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = reuse(components(near_links(nodes, radius, width, sketch_keys if tables else block_keys, chunk)), "roots")
+    nodes = reuse(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key")), "nodes")
+    links = near_links(nodes, radius, width, sketch_keys if tables else block_keys, chunk)
+    if tables:
+        links = reuse(links, "near")
+        linked = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
+        bodies = reuse(shingle_sets(docs, nodes.join(linked, "node", "left_semi").select("node", "text_key"), words), "bodies")
+        links = near_links(bodies, radius, width, sketch_keys, chunk, bodies)
+    roots = reuse(components(links), "roots")
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = joined.select("node", "root").join(least, "root").select("node", "component_id")
     return prints.join(placed, "node").select("doc_id", "node", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 48, width: int = 4, tables: int = TABLES) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, radius: int = ALIKE_RADIUS, width: int = 4, tables: int = TABLES) -> DataFrame:
     """One document of each near-duplicate group, that of the least id, with its own columns.
 
-    256-bit fingerprints of five-word shingles: texts that share 0.8 of their shingles differ in
-    about 39 bits.  Of rows with one id one stays; rows without an id cannot be named and all stay.
+    256-bit fingerprints of five-word shingles are the filter: texts that share 0.8 of their shingles
+    differ in about 39 bits, hardly ever in over 64.  Their shingle sets decide.  Of rows with one id one stays; rows without an id cannot be named and all stay.
     """
     groups = near_groups(docs, words, radius, width, tables)
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()

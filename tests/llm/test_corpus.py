@@ -409,6 +409,28 @@ def test_near_copies_go(spark, texts):
     assert not {d for d in kept if d >= 100} and set(range(40)) - kept <= alike
 
 
+def test_similarity_decides_exactly(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], set()
+    for k in range(120):
+        w = [f"w{x}" for x in rng.integers(0, 10**9, 304)]
+        # a tail of new words: 300 shingles each, `shared` in both
+        shared = [210, 247, 267, 268, 280][k % 5]
+        other = w[: shared + 4] + [f"v{x}" for x in rng.integers(0, 10**9, 300 - shared)]
+        a, b = (set(simhash.shingles(" ".join(x), 5)) for x in (w, other))
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+        want |= {2 * k} | ({2 * k + 1} if len(a & b) < 0.8 * len(a | b) else set())
+    assert len(want) == 120 + 48
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == want
+
+
+def test_a_pair_that_disagrees_hides_no_other():
+    sets = [np.arange(100, dtype=np.uint64), np.arange(30, 130, dtype=np.uint64), np.arange(32, 132, dtype=np.uint64)]
+    a, b = simhash.agreeing(np.array([0, 0, 1, 2]), np.array([1, 2, 2, 1]), [x.tobytes() for x in sets], 0.8)
+    assert (a.tolist(), b.tolist()) == ([1], [2])
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 5)]
