@@ -405,7 +405,7 @@ _UUID = "concat('00000000-0000-4000-8000-', lpad(cast({x} as varchar),12,'0'))"
 
 
 @query("B27_valid_event", f"""
-select event_id, {_UUID.format(x='work_id')} work_id, case when event_id%7=0 then null else {_UUID.format(x='session_id')} end session_id, repeat('s',50) source
+select event_id, {_UUID.format(x='work_id')} work_id, case when event_id%7=0 then null else {_UUID.format(x='session_id')} end session_id, repeat('s',60) source
 from related_clicks where event_id%5<>0 and work_id <> session_id""", "related_clicks")
 def valid_event(t: Tables):
     uuid = lambda c: F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col(c).cast("string"), 12, "0"))
