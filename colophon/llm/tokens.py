@@ -1,11 +1,14 @@
 """Token ids of whole texts by a tokenizer file.
 
-A byte-level pre-tokenizer never joins a space to what stands before it unless that is white space
-too, so a text cut before such spaces gives the same ids piece by piece, and a piece the same ids
-word by word.  Both repeat a lot, and each Python worker keeps the ids of those it has met; a new
-word goes to the tokenizer's model.  Pieces with characters whose class is not certain, texts in
-which white space stands before a space or an added token occurs, and tokenizers of another kind
-are encoded whole.
+The split of a byte-level pre-tokenizer depends on classes of characters and on nothing that lies
+before white space, so the bytes of a whole batch are cut into its words by array operations, the
+distinct words are encoded once a batch, and their ids are gathered.  If the file numbers its merges
+in order, as byte-level files do, their ids are ranks, and tiktoken merges the words of a batch in
+one call; else the tokenizers library encodes them.
+
+Text between two runs of white space that has characters whose class is not certain is encoded by
+the tokenizer as one unit.  Texts with unusual white space before other white space or with an added
+token, and all texts of tokenizers of another kind, are encoded whole.
 """
 
 from __future__ import annotations
@@ -13,22 +16,33 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: pieces and words a worker keeps; it starts anew beyond that
-PIECES, WORDS = 700_000, 200_000
-#: texts with this are encoded whole
-UNSURE = re.compile(r"[\s\u180e\u200b\ufeff] ")
-#: characters whose class all regular expression engines agree on
-SURE = re.compile(r"[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
-LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
-#: little-endian bytes of few ids
-PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
-# Fixed value: the byte-level split pattern, for those characters.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+| ?[0-9]+| ?[^\sA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|\s+(?!\S)|\s+")
+SPACE, BREAK, LETTER, DIGIT, OTHER, UNSURE, EDGE = range(1, 8)
+# The contractions that the byte-level split pattern takes as words of their own.
+SHORT, LONG = (b"s", b"t", b"m", b"d"), (b"re", b"ve", b"ll")
+# White space beyond space, tab and line breaks, as some engine has it.
+UNUSUAL_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def _classes() -> np.ndarray:
+    """The class of each byte; letters of two bytes are found apart."""
+    out = np.full(256, UNSURE, np.uint8)
+    out[0x21:0x7F] = OTHER
+    for low, high, kind in (("A", "Z", LETTER), ("a", "z", LETTER), ("0", "9", DIGIT)):
+        out[ord(low) : ord(high) + 1] = kind
+    out[ord(" ")] = SPACE
+    out[[9, 10, 13]] = BREAK
+    return out
+
+
+CLASSES = _classes()
+#: last bytes of unusual white space, as numbers of one, two and three bytes
+UNUSUAL = [np.array([int.from_bytes(c.encode(), "big") for c in UNUSUAL_SPACE if len(c.encode()) == n]) for n in (1, 2, 3)]
 
 
 def byte_letters() -> dict[int, str]:
@@ -38,53 +52,87 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class _Words(dict):
-    """Ids of words by the tokenizer's model."""
+def kinds(raw: np.ndarray) -> np.ndarray:
+    """The class of each byte of a text."""
+    out = CLASSES.take(raw)
+    lead = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC5))
+    if len(lead):
+        # Latin letters of two bytes, without the signs of multiplication and division
+        after = raw.take(lead + 1)
+        lead = lead[~((raw.take(lead) == 0xC3) & ((after == 0x97) | (after == 0xB7)))]
+        out[lead] = out[lead + 1] = LETTER
+    return out
 
-    def __init__(self, model):
-        super().__init__()
-        self.model, self.letters = model, byte_letters()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = out = self.ids(word)
-        return out
+def word_starts(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words (or units that are not cut) of joined texts start, and which texts must be encoded whole.
 
-    def ids(self, word: str) -> bytes:
-        shown = "\u0120" + word[1:] if word.isascii() and word[0] == " " else word.encode().decode("latin-1").translate(self.letters)
-        found = self.model.tokenize(shown)
-        return PACK[len(found)](*[t.id for t in found]) if len(found) < len(PACK) else np.array([t.id for t in found], "<u4").tobytes()
-
-
-class _Pieces(dict):
-    """Ids of pieces, each with the space before it."""
-
-    def __init__(self, words: _Words, whole):
-        super().__init__()
-        self.words, self.whole = words, whole
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
-            self.clear()
-        text = " " + piece
-        if LETTERS.fullmatch(piece):
-            # one word, kept as a piece only
-            out = self.words.ids(text)
-        else:
-            out = b"".join(map(self.words.__getitem__, SPLIT.findall(text))) if SURE.fullmatch(piece) else self.whole([text])[0]
-        self[piece] = out
-        return out
+    ``raw`` has the bytes of the texts, ``begins`` their beginnings and the end of the last.
+    """
+    n = len(raw)
+    kind = kinds(raw)
+    first = np.zeros(n + 1, bool)
+    first[begins] = True
+    before, after = np.empty(n, np.uint8), np.empty(n, np.uint8)
+    before[1:], after[:-1] = kind[:-1], kind[1:]
+    before[first[:n]] = after[first[1:]] = EDGE
+    space, space_before = kind <= BREAK, before <= BREAK
+    run = space & ~space_before
+    # a run of white space gives its last character to what follows, and a space is part of that
+    start = np.where(space, ~space_before | (after < UNSURE) & (after > BREAK) | (after == UNSURE), np.where(space_before, before == BREAK, kind != before))
+    start |= first[:n]
+    whole = np.zeros(len(begins) - 1, bool)
+    unsure = np.flatnonzero(kind == UNSURE)
+    cut = None
+    if len(unsure):
+        units = run | first[:n]
+        unit = np.cumsum(units) - 1
+        cut = np.ones(int(unit[-1]) + 1, bool)
+        cut[unit.take(unsure)] = False
+        start = start & cut.take(unit) | units
+        at = unsure[(after.take(unsure) == SPACE) | (after.take(unsure) == BREAK)]
+        value = np.zeros(len(at), np.int64)
+        odd = np.zeros(len(at), bool)
+        for k, codes in enumerate(UNUSUAL):
+            value |= raw.take(np.maximum(at - k, 0)).astype(np.int64) << 8 * k
+            odd |= np.isin(value, codes)
+        whole[np.searchsorted(begins, at[odd], "right") - 1] = True
+    quote = np.flatnonzero((raw == ord("'")) & start & (kind == OTHER))
+    if len(quote):
+        if cut is not None:
+            quote = quote[cut.take(unit.take(quote))]
+        padded = np.r_[raw, np.zeros(3, np.uint8)]
+        edge = np.r_[first, np.ones(3, bool)]
+        one, two = padded.take(quote + 1), padded.take(quote + 2)
+        short = np.isin(one, [x[0] for x in SHORT]) & ~edge.take(quote + 1)
+        long = np.isin(one.astype(np.int64) << 8 | two, [int.from_bytes(x, "big") for x in LONG]) & ~edge.take(quote + 1) & ~edge.take(quote + 2)
+        start[quote[short | long] + 1] = False
+        ends = np.r_[quote[short] + 2, quote[long] + 3]
+        start[ends[ends < n]] = True
+    return np.flatnonzero(start), whole
+
+
+def merge_ranks(file: dict) -> dict[bytes, int] | None:
+    """Ids of a byte-level file as ranks of their bytes, None unless ids and merges have one order."""
+    model = file.get("model") or {}
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    vocabulary, letters = model["vocab"], {c: b for b, c in byte_letters().items()}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    singles = [vocabulary.get(c) for c in letters]
+    if None in singles or max(singles) > 255 or any(byte_letters()[0] in m for m in merges) or any(vocabulary.get(m) != 256 + k for k, m in enumerate(merges)):
+        return None
+    return {bytes(map(letters.__getitem__, t)): k for t, k in vocabulary.items() if k < 256 + len(merges)}
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    A special token that a text spells out is plain text, or its own id if not ``special_as_text``,
-    as the library has it by default.
+    A special token that a text spells out has its own id, as the library has it by default, or is
+    plain text with ``special_as_text``.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,24 +141,77 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             kind = json.load(file)
         split = kind.get("pre_tokenizer") or {}
-        self.by_piece = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not kind.get("normalizer")
-        added = [re.escape(t["content"]) for t in kind.get("added_tokens") or [] if t["content"]]
-        self.added = re.compile("|".join(added) or r"(?!)")
-        self.pieces = _Pieces(_Words(self.tokenizer.model), self.whole)
+        self.by_word = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not kind.get("normalizer")
+        self.added = [t["content"] for t in kind.get("added_tokens") or [] if t["content"]]
+        self.merger = self.mark = None
+        ranks = merge_ranks(kind) if self.by_word else None
+        if ranks:
+            import tiktoken
+
+            # each word comes after a byte that no word has and no merge takes
+            self.merger, self.mark = tiktoken.Encoding("words", pat_str=r"\x00[^\x00]*", mergeable_ranks=ranks, special_tokens={}), ranks[b"\0"]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _text(self, text: str) -> bytes:
-        if not self.by_piece or UNSURE.search(text) or self.added.search(text):
-            return self.whole([text])[0]
-        first, *rest = text.split(" ")
-        # the first piece has no space before it
-        start = (b"".join(map(self.pieces.words.__getitem__, SPLIT.findall(first))) if SURE.fullmatch(first) else self.whole([first])[0]) if first else b""
-        return start + b"".join(map(self.pieces.__getitem__, rest))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._text(t) for t in texts]
+    def _word_ids(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        if self.merger is None:
+            found = self.whole([w.decode() for w in words.to_pylist()])
+            return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        raw = np.frombuffer(words.buffers()[2], np.uint8)
+        odd = np.add.reduceat(kinds(raw[begins[0] : begins[-1]]) == UNSURE, begins[:-1] - begins[0]) > 0
+        sure = words.filter(pa.array(~odd)) if odd.any() else words
+        begins = np.frombuffer(sure.buffers()[1], np.int64)[sure.offset : sure.offset + len(sure) + 1]
+        lengths = np.diff(begins)
+        marked = np.zeros(len(sure) + begins[-1] - begins[0], np.uint8)
+        marked[np.arange(begins[-1] - begins[0]) + np.repeat(np.arange(1, len(sure) + 1), lengths)] = np.frombuffer(sure.buffers()[2], np.uint8)[begins[0] : begins[-1]]
+        ids = self.merger.encode_to_numpy(marked.tobytes().decode(), disallowed_special=())
+        marks = np.flatnonzero(ids == self.mark)
+        sizes = np.diff(np.r_[marks, len(ids)]) - 1
+        ids = np.delete(ids, marks)
+        if not odd.any():
+            return ids, sizes
+        found = [np.frombuffer(x, "<u4") for x in self.whole([w.decode() for w in words.filter(pa.array(odd)).to_pylist()])]
+        both = np.concatenate([ids, *found])
+        counts = np.zeros(len(words), np.int64)
+        counts[~odd] = sizes
+        counts[odd] = [len(x) for x in found]
+        place = np.r_[np.flatnonzero(~odd), np.flatnonzero(odd)]
+        return both[np.argsort(np.repeat(place, counts[place]), kind="stable")], counts
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text, null as empty."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        texts = texts.fill_null("").cast(pa.large_string())
+        if not self.by_word:
+            return self.whole(texts.to_pylist())
+        begins = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if not len(texts) or begins[0] == begins[-1]:
+            return [b""] * len(texts)
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[begins[0] : begins[-1]]
+        begins = begins - begins[0]
+        starts, whole = word_starts(raw, begins)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[starts, len(raw)].astype(np.int64)), pa.py_buffer(raw)])
+        distinct = words.dictionary_encode()
+        table, sizes = self._word_ids(distinct.dictionary)
+        place = np.cumsum(sizes) - sizes
+        picked = distinct.indices.to_numpy()
+        length = sizes.take(picked)
+        ends = np.cumsum(length)
+        flat = table.take(np.repeat(place.take(picked) - ends + length, length) + np.arange(ends[-1])).tobytes()
+        # ids before each text: those of the words before it
+        upto = (np.r_[0, ends].take(np.searchsorted(starts, begins)) * 4).tolist()
+        out = [flat[a:b] for a, b in zip(upto, upto[1:])]
+        at = np.flatnonzero(whole)
+        if len(at):
+            for k, found in zip(at.tolist(), self.whole(texts.take(pa.array(at)).to_pylist())):
+                out[k] = found
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -119,7 +220,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file, special tokens as the library has them."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path, special_as_text=False)
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
@@ -129,4 +230,4 @@ def encoded(batches: Iterator, path: str, end_id: int = 0, column: str = "text",
 
     end = np.array([end_id], "<u4").tobytes()
     for batch in slices(batches, column, most):
-        yield batch, [ids + end for ids in encoder(path).encode([t or "" for t in batch.column(column).to_pylist()])]
+        yield batch, [ids + end for ids in encoder(path).encode(batch.column(column))]

@@ -254,18 +254,28 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def ids_of(text):
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_ids_by_piece():
-    cases = [t or "" for t in TEXTS if t != LONG] + ["  a  b", "x <|endoftext|> y", "it's we'll  I'd 12 3,4 !!", "a\x1c b\x85 c\u200b d", "tab\t x\n \n y", "ſtraße Œuvre ½ x² · ñ"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(PATH).encode(cases)] == [ids_of(t)[:-1] for t in cases]
+def test_ids_by_word():
+    cases = [t or "" for t in TEXTS if t != LONG] + ["  a  b", "x <|endoftext|> y", "it's we'll  I'd 12 3,4 !!", "a\x1c b\x85 c\u200b d", "tab\t x\n \n y", "ſtraße Œuvre ½ x² · ñ", "a\0b \0", "'s's \n'twas"]
+    random = np.random.default_rng(7)
+    bits = list("ab zZ09 \n\t\r'  '.,-éßžŠ×÷　\xa0\u200b“—中я١²\x0b\x1c\x7f\x85\0") + ["'s", "'re", "'ll", " 't", "'ve", "<|endoftext|>", "'d ", "'m\n"]
+    cases += ["".join(random.choice(bits, random.integers(0, 30))) for _ in range(3000)]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(cases, add_special_tokens=False)]
+    encoder = tokens.Encoder(PATH)
+    assert encoder.merger is not None
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(cases)] == want
+    encoder.merger = None  # as for a file whose merges are in another order
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(cases[:300])] == want[:300]
+    other = public_tokenizers.path("word_bpe_49k.json")
+    want = [e.ids for e in Tokenizer.from_file(other).encode_batch(cases[:300], add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(other).encode(cases[:300])] == want
+    assert encoder.encode([]) == [] and encoder.encode([None, ""]) == [b"", b""]
 
 
 def test_special_tokens_as_the_library_has_them(spark):
