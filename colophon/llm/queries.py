@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colophon.llm import fingerprints, langid, licenses, mixing, packing, rules, simhash, tokenfiles, urls, warc
+from colophon.llm import bestfit, codes, fingerprints, langid, licenses, mixing, packing, rules, simhash, tokenfiles, urls, warc, whitening
 from colophon.llm.common import table
 
 
@@ -21,5 +21,8 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_arc_to_warc": warc.op10_arc_to_warc,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_best_fit": bestfit.op12_best_fit,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 ORACLES = {"op4_quality_rules": rules.OP4_SQL}

@@ -117,10 +117,11 @@ def merge_ranks(file: dict) -> dict[bytes, int] | None:
     model = file.get("model") or {}
     if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
         return None
-    vocabulary, letters = model["vocab"], {c: b for b, c in byte_letters().items()}
+    shown = byte_letters()
+    vocabulary, letters = model["vocab"], {c: b for b, c in shown.items()}
     merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
     singles = [vocabulary.get(c) for c in letters]
-    if None in singles or max(singles) > 255 or any(byte_letters()[0] in m for m in merges) or any(vocabulary.get(m) != 256 + k for k, m in enumerate(merges)):
+    if None in singles or max(singles) > 255 or any(shown[0] in m for m in merges) or any(vocabulary.get(m) != 256 + k for k, m in enumerate(merges)):
         return None
     return {bytes(map(letters.__getitem__, t)): k for t, k in vocabulary.items() if k < 256 + len(merges)}
 

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out accuracy, on small fixtures."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -253,8 +254,13 @@ def test_mix(spark, docs):
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.cache
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
 def ids_of(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [0]
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def crc(ids):
