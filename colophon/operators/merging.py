@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from colophon.functions.codes import name_key
 from colophon.operators.ranking import latest_per_key
+from colophon.sources.versioned import VersionedTable
 
 CATALOG_FIELDS = (
     "title", "performer", "maker", "series", "label", "genre", "duration", "release_date", "sample_images",
@@ -32,14 +33,17 @@ def merge_into(target: DataFrame, updates: DataFrame, keys: list[str], policy: s
 
 
 def overwrite_table(df: DataFrame, path: str) -> None:
-    """Write the next version beside the old one, then point readers at it by overwrite.
+    """Make the rows the next version of a versioned table, in one write.
 
-    The staged copy cuts the lineage, so a job may read the table it replaces.
+    The version before stays readable until the new one is whole, and for one change more, so a job
+    may read the table it replaces, and one that dies leaves it as it was.  ``read_table`` reads it.
     """
-    spark = df.sparkSession
-    staged = f"{path.rstrip('/')}__next"
-    df.write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+    VersionedTable(df.sparkSession, path).replace(df)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table that ``overwrite_table`` has written."""
+    return VersionedTable(spark, path).read()
 
 
 def changed_fields(fields: list[str], before: str = "before", after: str = "after") -> Column:

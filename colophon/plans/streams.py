@@ -17,7 +17,7 @@ def _events(t: Tables):
 
 def _run(t: Tables, stream, schema: str, keys: list[str], mode: str = "update"):
     folder = shared_folder(t.spark, "stream")
-    jobs.write_batches(stream, f"{folder}/out", f"{folder}/checkpoint", mode).awaitTermination()
+    jobs.write_batches(stream, f"{folder}/out", f"{folder}/checkpoint", mode, keys=keys).awaitTermination()
     stored = jobs.read_batches(t.spark, f"{folder}/out", schema)
     return jobs.read_latest(stored, keys)
 
@@ -43,14 +43,46 @@ def weekly(t: Tables):
 
 @query("S4_sessions", """
 with e as (select user_id session_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 30 minute then 0 else 1 end fresh from events),
-v as (select *, sum(fresh) over (partition by session_id order by ts) v from e),
-w as (select session_id, min(ts) s, max(ts) + interval 30 minute f, count(*) events from v group by session_id, v)
-select session_id, strftime(s, '%Y-%m-%d %H:%M:%S') started, events from w where f <= (select date_trunc('millisecond', max(ts)) from events)""")
+v as (select *, sum(fresh) over (partition by session_id order by ts) v from e)
+select session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') started, count(*) events from v group by session_id, v""")
 def sessions(t: Tables):
-    out = _run(t, jobs.stream_sessions(_events(t)), "session_id long, started_at timestamp, ended_at timestamp, events long", ["session_id", "started_at"], "append")
+    # the second run goes on from the first one's checkpoint: a tick after the last event closes what is open
+    folder = shared_folder(t.spark, "sessions")
+    stream = jobs.stream_sessions(jobs.with_ticks(_events(t), f"{folder}/ticks"))
+    for last in (False, True):
+        if last:
+            jobs.tick(t.spark, f"{folder}/ticks", "2100-01-01 00:00:00")
+        jobs.write_batches(stream, f"{folder}/out", f"{folder}/checkpoint", "append").awaitTermination()
+    out = jobs.read_batches(t.spark, f"{folder}/out", stream.schema)
     return out.select("session_id", F.date_format(jobs.wall_time(F.col("started_at")), "yyyy-MM-dd HH:mm:ss").alias("started"), "events")
 
 
+#: days of one wave of files, and how many waves later a delayed row comes
+_WAVE = 6
+
+
+@query("S6_late_rows", f"""
+with w as (select *, (epoch(date_trunc('day', ts)) / 86400)::bigint // {_WAVE} + (event_id % 3) * (case when event_id % 4 = 0 then 1 else 0 end) wave from events),
+seen as (select wave, max(max(ts)) over (order by wave rows between unbounded preceding and 1 preceding) - interval 1 day mark from w group by wave)
+select strftime(ts, '%Y-%m-%d') as day, event_type, coalesce(date_trunc('day', ts) + interval 1 day <= mark, false) late, count(*) events
+from w join seen using (wave) group by 1, 2, 3""")
+def late_rows(t: Tables):
+    """Events that arrive in waves of files, some one or two waves late, each wave a run on one checkpoint."""
+    folder = shared_folder(t.spark, "late")
+    events = t.raw("events").select("event_id", "ts", "event_type")
+    day = F.floor(F.unix_micros(jobs.event_time()) / F.lit(86_400_000_000))
+    delayed = F.when(F.col("event_id") % 4 == 0, F.col("event_id") % 3).otherwise(0)
+    events.withColumn("wave", F.floor(day / _WAVE) + delayed).write.partitionBy("wave").parquet(f"{folder}/waves")
+    waves = t.spark.read.parquet(f"{folder}/waves")
+    for wave in sorted(r["wave"] for r in waves.select("wave").distinct().collect()):  # a row a wave
+        # a wave's files reach the folder that the stream reads in one go
+        waves.filter(F.col("wave") == wave).drop("wave").write.parquet(f"{folder}/in/wave={wave}")
+        arrived = t.spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        jobs.stream_late_rows(arrived, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    found = jobs.read_late_counts(t.spark, f"{folder}/out")
+    return found.select(F.date_format(jobs.wall_time(F.col("window_start")), "yyyy-MM-dd").alias("day"), "event_type", "late", "events")
+
+
 _PERIODS = f"(values ('day', timestamp '{AS_OF}' - interval 1 day), ('week', timestamp '{AS_OF}' - interval 7 day), ('month', timestamp '{AS_OF}' - interval 30 day), ('all', timestamp '1900-01-01')) p(period, cutoff)"
 
 
