@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colophon import constants as K
 from colophon.operators.greedy import first_come
+from colophon.operators.joins import lookup
 from colophon.operators.ranking import Order, numbered, top_rows
 from colophon.operators.staging import class_counts
 from colophon.session import reuse
@@ -72,24 +74,25 @@ def _order_key() -> Column:
 def _pick(pool: DataFrame, taken: DataFrame | None, limit: int) -> DataFrame:
     """First ``limit`` candidates in order that repeat neither an id nor a code.
 
-    The choice depends only on rows before it, so the head of the order is usually enough;
-    when repeats eat up the head, the whole pool is scanned instead.
+    A row that is the first of its id and of its code is picked for sure, so the ``limit``-th of these
+    says how far down the order the picks can reach; what comes after it is left out.
     """
     if limit <= 0:
         return pool.filter("false")
-    if taken is not None:
-        for key in ("external_product_id", "code_key"):
-            pool = pool.join(taken.filter(F.col(key).isNotNull()).select(key), key, "left_anti")
-    keyed = pool.withColumn("_place", _order_key())
-    size = 3 * limit
-    head = reuse(keyed.orderBy("_place").limit(size))
-    for rows in (head, None):
-        rows = reuse(keyed) if rows is None else rows
-        free = first_come(rows, ["external_product_id", "code_key"], "_place")
-        picked = reuse(free.orderBy("_place").limit(limit).drop("_place"))
-        if rows is not head or picked.count() == limit or head.count() < size:
-            break
-    return picked
+    keys = ["external_product_id", "code_key"]
+    for key in keys if taken is not None else []:
+        used = taken.filter(F.col(key).isNotNull()).select(key).distinct().withColumn("_used", F.lit(True))
+        pool = lookup(pool, used, key, spread=[F.col("position")]).filter("_used is null").drop("_used")
+    keyed = reuse(pool.withColumn("_place", _order_key()), "lane")
+    sure = keyed.select("_place", *keys)
+    for i, key in enumerate(keys):
+        sure = lookup(sure, keyed.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("_place").alias(f"_h{i}")), key)
+    sure = sure.filter(reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_h{i}") == F.col("_place"), F.lit(True)) for i in range(len(keys))]))
+    reach = sure.orderBy("_place").limit(limit).agg(F.count("*").alias("_n"), F.max("_place").alias("_last"))
+    # one row
+    rows = keyed.crossJoin(F.broadcast(reach)).filter((F.col("_n") < limit) | (F.col("_place") <= F.col("_last"))).drop("_n", "_last")
+    free = first_come(reuse(rows, "reach"), keys, "_place")
+    return reuse(free.orderBy("_place").limit(limit).drop("_place"), "picked")
 
 
 def select_lanes(ranked: DataFrame, latest: DataFrame, backfill: DataFrame, size: int) -> DataFrame:

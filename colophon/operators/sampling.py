@@ -23,11 +23,12 @@ def _unused(pool: DataFrame, picked: DataFrame) -> DataFrame:
     return rest.groupBy("code").agg(F.min("_place").alias("_place"), F.min_by("_group", "_place").alias("_group"))
 
 
-def _sample(df: DataFrame, targets: dict[str, int], order: Order, unique_share: float) -> DataFrame:
+def _sample(df: DataFrame, targets: dict[str, int], order: Order, unique_share: float, whole: bool = False) -> DataFrame:
     """Mode by mode: rows of unused codes and groups until the share is reached, then rows of
     unused codes after the last of them, then, if still short, the first rows of unused codes.
 
-    A code is used once over all modes.  The driver sees counts only.
+    A code is used once over all modes.  With ``whole`` a mode that stays short is an error.  The
+    driver sees counts only.
     """
     group = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("maker", "series")])
     keyed = df.filter(F.col("mode").isin(*targets)).withColumn("_group", group)
@@ -45,6 +46,8 @@ def _sample(df: DataFrame, targets: dict[str, int], order: Order, unique_share:
             n = picked.count()
         if n < target:
             picked = reuse(picked.unionByName(_first(_unused(pool, picked), target - n)))
+            if whole and (n := picked.count()) < target:
+                raise ValueError(f"HOLDOUT_SHORT:{mode}:{n}:{target}")
         used = used.unionByName(picked)
     return rows.join(used.select("_place"), "_place", "left_semi").select(*df.columns)
 
@@ -63,12 +66,12 @@ def stratified_sample(df: DataFrame, targets: dict[str, int]) -> DataFrame:
 def holdout_sample(df: DataFrame, targets: dict[str, int], exclude: DataFrame, full_first: str = "PACKAGE_FULL") -> DataFrame:
     """``targets`` rows per mode in hash order, each group once, then anything unused.
 
-    Class A goes first for the full package mode.
+    Class A goes first for the full package mode.  ValueError if a mode has too few rows.
     """
     rows = df.join(exclude.select("code").distinct(), "code", "left_anti")
     first = F.when((F.col("mode") == full_first) & (F.col("classification") != "A"), 1).otherwise(0)
     rows = rows.withColumns({"_first": first, "_hash": F.sha2("code", 256)})
-    return _sample(rows, targets, [("_first", "asc"), ("_hash", "asc")], 1.0).drop("_first", "_hash")
+    return _sample(rows, targets, [("_first", "asc"), ("_hash", "asc")], 1.0, True).drop("_first", "_hash")
 
 
 def even_indices(total: Column, maximum: int = 8) -> Column:

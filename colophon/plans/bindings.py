@@ -327,6 +327,8 @@ def oracle(uses: list[str], body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes}, {body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes}, {body[5:]}"
     return f"with {ctes} {body}"

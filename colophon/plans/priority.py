@@ -67,13 +67,26 @@ def single_lane(t: Tables):
     return out.select("external_product_id", F.col("priority_position").alias("place"))
 
 
-@query("G7_select_lanes")
+_PLACE = "score desc nulls last, release_date desc nulls last, code asc nulls last, ext asc nulls last, position"
+#: a scan of the pools in turn, one row a step: a row is taken unless its lane is full or its id or code is used
+_LANES = f"""with recursive {_CAND.strip()},
+pools as (select 1 turn, 'RECENT_POPULAR' lane, 600 quota, c.* from c where rank_position is not null and age <= 180 union all select 2, 'LATEST', 250, c.* from c union all select 3, 'BACKFILL', 150, c.* from c union all select 4, 'LATEST', 1000, c.* from c),
+r as (select *, row_number() over (order by turn, {_PLACE}) n from pools),
+g as (select 0::bigint n, 0 turn, 0 held, 0 total, []::varchar[] ids, []::varchar[] codes, null::bigint picked, ''::varchar lane, null::bigint age
+  union all select n, turn, case when take then held + 1 else held end, case when take then total + 1 else total end, case when take then list_append(ids, ext) else ids end, case when take and code is not null then list_append(codes, code) else codes end, case when take then position end, lane, age
+  from (select r.n, r.turn, case when r.turn = g.turn then g.held else 0 end held, g.total, g.ids, g.codes, r.position, r.lane, r.age, r.ext, r.code,
+    case when r.turn = 4 then g.total < 1000 else (case when r.turn = g.turn then g.held else 0 end) < r.quota end and not list_contains(g.ids, r.ext) and not (r.code is not null and list_contains(g.codes, r.code)) take from g join r on r.n = g.n + 1)),
+lanes as (select c.*, g.lane from g join c on g.picked = c.position)"""
+
+
+@query("G7_select_lanes", f"""{_LANES} select row_number() over (order by {_PLACE}) priority_position, position, lane,
+  case lane when 'RECENT_POPULAR' then 'OFFICIAL_RANK_ORDER|WITHIN_180_DAYS' when 'LATEST' then case when age <= 7 then 'LATEST_0_7_DAY_PROTECTION' else 'LATEST_DATE_ORDER' end else 'DURABLE_BACKFILL_FRONTIER' end reason from lanes""", "works")
 def select_lanes(t: Tables):
     c = candidates(t)
     return priority.select_lanes(c, c, c, 1000).select("priority_position", "position", "lane", F.array_join("reason", "|").alias("reason"))
 
 
-@query("E13_lane_counts")
+@query("E13_lane_counts", f"""{_LANES} select v.lane as class, (select count(*) from lanes l where l.lane = v.lane) n from (values {",".join(f"('{x}')" for x in K.LANES)}) v(lane)""", "works")
 def lane_counts(t: Tables):
     c = candidates(t)
     return priority.lane_counts(priority.select_lanes(c, c, c, 1000))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from colophon.functions import codes, dates, text, urls
 from colophon.functions.registry import register_functions
-from colophon.operators import bundles, frontier, greedy, images, intake, merging, metrics, posts, priority, publication, ranking, related, review, sampling, search, staging
+from colophon.operators import bundles, frontier, greedy, images, intake, joins, merging, metrics, posts, priority, publication, ranking, related, review, sampling, search, staging
 from colophon.sources import catalog_csv, exports, item_list, source_items
 
 
@@ -57,6 +57,48 @@ def test_first_come_equals_a_scan(spark, seed):
     assert sorted(r.pos for r in greedy.first_come(df, ["a", "b"], "pos").collect()) == brute_first_come(rows)
 
 
+@pytest.mark.parametrize("local", [0, 7, 40])
+def test_first_come_in_rounds_equals_a_scan(spark, local):
+    rng = random.Random(local)
+    rows = [(i, rng.choice([None, "hot", *map(str, range(60))]), rng.choice([None, None, "x", *map(str, range(70))])) for i in range(300)]
+    df = spark.createDataFrame(rows, "pos long, a string, b string")
+    report = []
+    assert sorted(r.pos for r in greedy.first_come(df, ["a", "b"], "pos", local, report).collect()) == brute_first_come(rows)
+    assert report[0] == "round"
+
+
+def chain(n):
+    """Each row shares its id with the one before it or its code with it, in turn."""
+    return [(k, f"a{(k + 1) // 2}", f"b{k // 2}") for k in range(n)]
+
+
+def test_a_long_chain_takes_logarithmic_rounds(spark):
+    rows = chain(10_000)
+    df = spark.createDataFrame(rows, "pos long, a string, b string")
+    whole, jumps = [], []
+    assert sorted(r.pos for r in greedy.first_come(df, ["a", "b"], "pos", report=whole).collect()) == list(range(0, 10_000, 2))
+    assert whole == ["scan"]
+    got = greedy.first_come(df, ["a", "b"], "pos", 500, jumps)
+    assert sorted(r.pos for r in got.collect()) == list(range(0, 10_000, 2))
+    assert jumps.count("jump") <= 15 and len(jumps) <= 22
+
+
+def test_lookup_deals_rows_without_a_key(spark):
+    df = spark.range(2000).select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 10).alias("k"))
+    other = spark.createDataFrame([(2, "two"), (4, "four"), (None, "none")], "k long, name string")
+    got = joins.lookup(df, other, "k")
+    assert got.columns == ["k", "id", "name"] and got.count() == 2000
+    assert {(r.k, r.name) for r in got.collect()} == {(None, None), (0, None), (2, "two"), (4, "four"), (6, None), (8, None)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["n"] for r in joins.lookup(df, other, "k").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) < 1000
+
+
 # -- lanes and samples -----------------------------------------------------------------------------
 def brute_lanes(rank, latest, backfill, size):
     key = lambda c: (-c["priority_score"], tuple(-ord(ch) for ch in c["release_date"]), c["code_key"] or "~", c["external_product_id"], c["position"])
