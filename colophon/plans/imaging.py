@@ -1,5 +1,7 @@
 """Image candidates: features derived from the works, scored and decided."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from colophon.operators import images, sampling
@@ -294,12 +296,31 @@ def _inventory(t: Tables):
 TARGETS = {"SAMPLE": 10, "PACKAGE_RIGHT": 10, "PACKAGE_CENTER": 5, "PACKAGE_FULL": 5}
 
 
-@query("G9_stratified_sample")
+def _sample_sql(order: str, share: float, where: str = "true") -> str:
+    """A fold over the rows, three passes a mode: fresh groups, then rows after the last of them, then any unused."""
+    modes = ", ".join(f"({k}, '{m}', {n}, {math.ceil(n * share)})" for k, (m, n) in enumerate(TARGETS.items()))
+    names = ", ".join(f"'{m}'" for m in images.MODES)
+    now = lambda c: f"(case when x.k = a.k then a.{c} else 0 end)"
+    take = f"""not list_contains(a.codes, x.code) and case x.pass when 1 then {now('held')} < x.spread and not list_contains(a.grps, x.grp)
+      when 2 then {now('held')} < x.target and {now('fresh')} > 0 and {now('fresh')} = x.spread and x.place > {now('latest')} else {now('held')} < x.target end"""
+    kept = f"""{{'k': x.k, 'pass': x.pass, 'place': x.place, 'target': x.target, 'spread': x.spread, 'code': x.code, 'grp': x.grp, 'held': {now('held')} + t::bigint, 'latest': case when t and x.pass = 1 then x.place else {now('latest')} end,
+      'fresh': {now('fresh')} + (t and x.pass = 1)::bigint, 'codes': case when t then list_append(a.codes, x.code) else a.codes end, 'grps': case when t then list_append(a.grps, x.grp) else a.grps end}}"""
+    row = "{'k': k::bigint, 'pass': pass::bigint, 'place': place, 'target': target::bigint, 'spread': spread::bigint, 'code': code, 'grp': grp, 'held': 0::bigint, 'latest': 0::bigint, 'fresh': 0::bigint, 'codes': []::varchar[], 'grps': []::varchar[]}"
+    start = "{'k': -1::bigint, 'pass': 0::bigint, 'place': 0::bigint, 'target': 0::bigint, 'spread': 0::bigint, 'code': '', 'grp': '', 'held': 0::bigint, 'latest': 0::bigint, 'fresh': 0::bigint, 'codes': []::varchar[], 'grps': []::varchar[]}"
+    return f"""with i as (select product_code code, ([{names}])[id % 4 + 1] as mode, case when id % 3 = 0 then 0 else 2 end confidence, id % 100 score, maker || chr(0) || series grp, case when id % 5 = 0 then 'A' else 'B' end class from works),
+m(k, mode, target, spread) as (values {modes}),
+r as (select * from (select m.k, m.target, m.spread, i.code, i.grp, row_number() over (partition by m.k order by {order}) place from i join m using (mode) where {where}), range(1, 4) p(pass)),
+g as (select list({row} order by k, pass, place) l from r),
+p as (select unnest(list_reduce(l, lambda a, x: list_transform([{take}], lambda t: {kept})[1], {start}).codes) code from g)
+select code, mode from p join i using (code)"""
+
+
+@query("G9_stratified_sample", _sample_sql("confidence, case when score = 0 then -999 else score end desc, code", 0.5), "works")
 def stratified(t: Tables):
     return sampling.stratified_sample(_inventory(t), TARGETS).select("code", "mode")
 
 
-@query("G10_holdout_sample")
+@query("G10_holdout_sample", _sample_sql("case when i.mode = 'PACKAGE_FULL' and class <> 'A' then 1 else 0 end, sha256(code)", 1.0, "code not like 'RED%'"), "works")
 def holdout(t: Tables):
     return sampling.holdout_sample(_inventory(t), TARGETS, t.works("product_code").withColumnRenamed("product_code", "code").filter("code like 'RED%'")).select("code", "mode")
 

@@ -68,15 +68,16 @@ def single_lane(t: Tables):
 
 
 _PLACE = "score desc nulls last, release_date desc nulls last, code asc nulls last, ext asc nulls last, position"
-#: a scan of the pools in turn, one row a step: a row is taken unless its lane is full or its id or code is used
-_LANES = f"""with recursive {_CAND.strip()},
-pools as (select 1 turn, 'RECENT_POPULAR' lane, 600 quota, c.* from c where rank_position is not null and age <= 180 union all select 2, 'LATEST', 250, c.* from c union all select 3, 'BACKFILL', 150, c.* from c union all select 4, 'LATEST', 1000, c.* from c),
-r as (select *, row_number() over (order by turn, {_PLACE}) n from pools),
-g as (select 0::bigint n, 0 turn, 0 held, 0 total, []::varchar[] ids, []::varchar[] codes, null::bigint picked, ''::varchar lane, null::bigint age
-  union all select n, turn, case when take then held + 1 else held end, case when take then total + 1 else total end, case when take then list_append(ids, ext) else ids end, case when take and code is not null then list_append(codes, code) else codes end, case when take then position end, lane, age
-  from (select r.n, r.turn, case when r.turn = g.turn then g.held else 0 end held, g.total, g.ids, g.codes, r.position, r.lane, r.age, r.ext, r.code,
-    case when r.turn = 4 then g.total < 1000 else (case when r.turn = g.turn then g.held else 0 end) < r.quota end and not list_contains(g.ids, r.ext) and not (r.code is not null and list_contains(g.codes, r.code)) take from g join r on r.n = g.n + 1)),
-lanes as (select c.*, g.lane from g join c on g.picked = c.position)"""
+_LANE_ROW = "{'turn': %s, 'quota': %s, 'ext': %s, 'code': %s, 'position': %s, 'held': 0::bigint, 'ids': []::varchar[], 'codes': []::varchar[], 'rows': []::bigint[], 'turns': []::bigint[]}"
+_HELD = "(case when x.turn = a.turn then a.held else 0 end)"
+#: a fold over the pools in turn: a row is taken unless its lane is full or its id or code is used
+_LANES = f"""with {_CAND.strip()},
+pools as (select 1::bigint turn, 600::bigint quota, c.* from c where rank_position is not null and age <= 180 union all select 2, 250, c.* from c union all select 3, 150, c.* from c union all select 4, 1000, c.* from c),
+l as (select list({_LANE_ROW % ('turn', 'quota', 'ext', 'code', 'position')} order by turn, {_PLACE}) l from pools),
+g as (select list_reduce(l, lambda a, x: list_transform([case when x.turn = 4 then len(a.rows) < x.quota else {_HELD} < x.quota end and not list_contains(a.ids, x.ext) and not coalesce(list_contains(a.codes, x.code), false)],
+  lambda t: {{'turn': x.turn, 'quota': x.quota, 'ext': x.ext, 'code': x.code, 'position': x.position, 'held': {_HELD} + t::bigint, 'ids': case when t then list_append(a.ids, x.ext) else a.ids end, 'codes': case when t and x.code is not null then list_append(a.codes, x.code) else a.codes end,
+    'rows': case when t then list_append(a.rows, x.position) else a.rows end, 'turns': case when t then list_append(a.turns, x.turn) else a.turns end}})[1], {_LANE_ROW % ('0::bigint', '0::bigint', "''", "''", '0::bigint')}) s from l),
+lanes as (select c.*, ['RECENT_POPULAR', 'LATEST', 'BACKFILL', 'LATEST'][p.turn] lane from (select unnest(s.rows) as position, unnest(s.turns) turn from g) p join c using (position))"""
 
 
 @query("G7_select_lanes", f"""{_LANES} select row_number() over (order by {_PLACE}) priority_position, position, lane,
