@@ -110,11 +110,8 @@ def _chains(rows: DataFrame, report: list) -> DataFrame:
     return rows.join(links.filter("_known and not _odd").select("_row"), "_row", "left_semi")
 
 
-def first_come(df: DataFrame, keys: list[str], order: str, local: int = LOCAL, report: list | None = None) -> DataFrame:
-    """Rows kept when rows are taken by ``order`` (unique) and a null key blocks nothing.
-
-    ``report`` gets an entry a round, for tests.
-    """
+def winners(df: DataFrame, keys: list[str], order: str, local: int = LOCAL, report: list | None = None) -> DataFrame:
+    """The ``order`` of the rows that ``first_come`` keeps, those without any key aside.  Reads ``df`` once."""
     report = report if report is not None else []
     keyed = df.filter(reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in keys]))
     # of rows alike in all keys only the first can be kept
@@ -148,6 +145,13 @@ def first_come(df: DataFrame, keys: list[str], order: str, local: int = LOCAL, r
         sure = reuse(_chains(rows, report), "chains")
         kept.append(sure)
         rows = reuse(_without(rows, sure), "undecided")
-    winners = reduce(DataFrame.unionByName, [k.select(F.col("_at").alias(order)) for k in kept]).withColumn("_won", F.lit(True))
-    none = _all([F.col(k).isNull() for k in keys])
-    return df.join(winners, order, "left").filter(F.col("_won") | none).select(*df.columns)
+    return reduce(DataFrame.unionByName, [k.select(F.col("_at").alias(order)) for k in kept])
+
+
+def first_come(df: DataFrame, keys: list[str], order: str, local: int = LOCAL, report: list | None = None) -> DataFrame:
+    """Rows kept when rows are taken by ``order`` (unique) and a null key blocks nothing.
+
+    ``report`` gets an entry a round, for tests.
+    """
+    won = winners(df, keys, order, local, report).withColumn("_won", F.lit(True))
+    return df.join(won, order, "left").filter(F.col("_won") | _all([F.col(k).isNull() for k in keys])).select(*df.columns)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colophon import constants as K
-from colophon.operators.greedy import first_come
+from colophon.operators.greedy import winners
 from colophon.operators.joins import lookup
 from colophon.operators.ranking import Order, numbered, top_rows
 from colophon.operators.staging import class_counts
@@ -90,9 +90,9 @@ def _pick(pool: DataFrame, taken: DataFrame | None, limit: int) -> DataFrame:
     sure = sure.filter(reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_h{i}") == F.col("_place"), F.lit(True)) for i in range(len(keys))]))
     reach = sure.orderBy("_place").limit(limit).agg(F.count("*").alias("_n"), F.max("_place").alias("_last"))
     # one row
-    rows = keyed.crossJoin(F.broadcast(reach)).filter((F.col("_n") < limit) | (F.col("_place") <= F.col("_last"))).drop("_n", "_last")
-    free = first_come(reuse(rows, "reach"), keys, "_place")
-    return reuse(free.orderBy("_place").limit(limit).drop("_place"), "picked")
+    rows = keyed.crossJoin(F.broadcast(reach)).filter((F.col("_n") < limit) | (F.col("_place") <= F.col("_last")))
+    won = winners(rows.select("_place", *keys), keys, "_place").unionByName(keyed.filter(F.coalesce(*keys).isNull()).select("_place"))
+    return reuse(keyed.join(won.orderBy("_place").limit(limit), "_place").drop("_place"), "picked")
 
 
 def select_lanes(ranked: DataFrame, latest: DataFrame, backfill: DataFrame, size: int) -> DataFrame:

@@ -8,6 +8,7 @@ from colophon.operators import frontier, intake, priority, ranking
 from colophon.plans.bindings import AS_OF_DAY, Tables
 from colophon.plans.feed import raw_items
 from colophon.plans.registry import query
+from colophon.session import reuse
 from colophon.sources import item_list
 
 STATES = ("PROMOTE_CONFIRMED", "SETTLE_CONFIRMED", "FAILED")
@@ -83,13 +84,13 @@ lanes as (select c.*, ['RECENT_POPULAR', 'LATEST', 'BACKFILL', 'LATEST'][p.turn]
 @query("G7_select_lanes", f"""{_LANES} select row_number() over (order by {_PLACE}) priority_position, position, lane,
   case lane when 'RECENT_POPULAR' then 'OFFICIAL_RANK_ORDER|WITHIN_180_DAYS' when 'LATEST' then case when age <= 7 then 'LATEST_0_7_DAY_PROTECTION' else 'LATEST_DATE_ORDER' end else 'DURABLE_BACKFILL_FRONTIER' end reason from lanes""", "works")
 def select_lanes(t: Tables):
-    c = candidates(t)
+    c = reuse(candidates(t), "candidates")
     return priority.select_lanes(c, c, c, 1000).select("priority_position", "position", "lane", F.array_join("reason", "|").alias("reason"))
 
 
 @query("E13_lane_counts", f"""{_LANES} select v.lane as class, (select count(*) from lanes l where l.lane = v.lane) n from (values {",".join(f"('{x}')" for x in K.LANES)}) v(lane)""", "works")
 def lane_counts(t: Tables):
-    c = candidates(t)
+    c = reuse(candidates(t), "candidates")
     return priority.lane_counts(priority.select_lanes(c, c, c, 1000))
 
 
