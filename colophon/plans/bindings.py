@@ -9,6 +9,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from colophon.operators.joins import lookup
 from colophon.operators.ranking import numbered
 
 AS_OF = "2024-01-31 00:00:00"
@@ -164,7 +165,8 @@ class Tables:
             (doc % 60).cast("bigint").alias("minutes_old"),
         )
         codes = self.works("id", "product_code", "maker", "series").withColumnRenamed("id", "work_id")
-        return items.join(codes, "work_id", "left").drop("work_id")
+        # half of the documents have no work
+        return lookup(items, codes, "work_id", spread=[F.col("id")]).drop("work_id")
 
     def corrections(self) -> DataFrame:
         """Reviewer decisions, one row per decision, with a time that orders them."""

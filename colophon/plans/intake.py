@@ -6,9 +6,9 @@ from colophon import constants as K
 from colophon.functions import dates, hashing, text, urls
 from colophon.operators import intake, merging
 from colophon.plans import sqltext as S
-from colophon.plans.bindings import AS_OF, AS_OF_DAY, Tables
+from colophon.plans.bindings import AS_OF, AS_OF_DAY, WORK_COLUMNS, Tables
 from colophon.plans.registry import query
-from colophon.session import shared_folder
+from colophon.session import reuse, shared_folder
 from colophon.sources import catalog_csv, exports, source_items
 
 # -- catalog CSV rows, derived from the works with faults by key ------------------------------
@@ -246,25 +246,70 @@ def candidate_csv(t: Tables):
     return exports.candidate_csv_rows(rows, ["product_code", "duration", "names", "note"])
 
 
+#: each table with all its columns, as the SQL writes them
 _SNAPSHOT = {
-    "works": ("works", "genre id maker product_code series title"), "work_tags": ("work_tags", "tag work_id"),
-    "creators": ("creators", "creator_id data_source_id display_name external_creator_id official_url profile_slug review_state visibility"),
-    "posts": ("posts", "affiliate_url content_type creator_id currency data_source_id external_post_id link_status media_indicator official_url post_id price review_state title visibility"),
-    "performers": ("supplier", "name performer_id"),
+    "works": ("works", {c: c for c in WORK_COLUMNS} | {"created_at": "strftime(created_at, '%Y-%m-%d %H:%M:%S.%f')", "release_date": "strftime(release_date, '%Y-%m-%d')"}),
+    "performers": ("supplier", {"performer_id": "s_suppkey", "name": "s_name"}),
+    "makers": ("(select distinct maker as name from works)", {"name": "name"}),
+    "series": ("(select distinct series as name from works)", {"name": "name"}),
+    "genres": ("(select distinct genre as name from works)", {"name": "name"}),
+    "tags": ("(select distinct tag as name from work_tags)", {"name": "name"}),
+    "work_performers": ("work_performers", {"work_id": "work_id", "performer_id": "performer_id", "position": "position"}),
+    "work_tags": ("work_tags", {"work_id": "work_id", "tag": "tag"}),
+    "work_genres": ("works", {"work_id": "id", "genre": "genre"}),
+    "data_sources": ("(select r_regionkey::bigint data_source_id from region where r_regionkey = 1)", {"data_source_id": "data_source_id", "name": "'creator feed'", "is_active": "true"}),
+    "source_items": ("source_items", {"id": "id", "source_key": "source_key", "text_hash": "sha256(text)", "status": "status", "model": "model"}),
+    "source_links": ("(select id, product_code from source_items where product_code is not null)", {"id": "id", "product_code": "product_code"}),
+    "creators": ("creators", {c: c for c in "creator_id data_source_id display_name external_creator_id official_url profile_slug review_state visibility".split()}),
+    "posts": ("posts", {c: c for c in "affiliate_url content_type creator_id currency data_source_id external_post_id link_status media_indicator official_url post_id price review_state title visibility".split()}),
 }
 
 
-def _digest_sql(table: str, view: str, columns: str) -> str:
-    source = {"name": "s_name", "performer_id": "s_suppkey"} if view == "supplier" else {}
-    struct = ", ".join(f"'{c}': {source.get(c, c)}" for c in columns.split())
-    half = lambda at: f"cast(sum(cast('0x' || substr(h,{at},15) as bigint)) as varchar)"
-    return f"select '{table}' \"table\", count(*) as rows, {half(1)} || ':' || {half(16)} digest from (select sha256(cast(to_json({{{struct}}}) as varchar)) h from {view})"
+def _digest_sql(table: str, view: str, columns: dict[str, str]) -> str:
+    struct = ", ".join(f"'{c}': {columns[c]}" for c in sorted(columns))
+    half = lambda at: f"cast(coalesce(sum(cast('0x' || substr(h,{at},15) as bigint)), 0) as varchar)"
+    count = lambda yes: f"count(*) filter ({yes} is_published)" if "is_published" in columns else "null::bigint"
+    flag = ", is_published" if "is_published" in columns else ""
+    return f"select '{table}' \"table\", count(*) as rows, {half(1)} || ':' || {half(16)} digest, {count('')} published, {count('not')} unpublished from (select sha256(cast(to_json({{{struct}}}) as varchar)) h{flag} from {view})"
 
 
-@query("A10_catalog_snapshot", " union all ".join(_digest_sql(k, *v) for k, v in _SNAPSHOT.items()), "works work_tags creators posts")
+def _snapshot_tables(t: Tables):
+    works = reuse(t.works(), "works")
+    names = lambda df, c: df.select(F.col(c).alias("name")).distinct()
+    items = t.source_items(text=True)
+    tags = t.work_tags()
+    return {
+        "works": works, "performers": t.performers(), "makers": names(works, "maker"), "series": names(works, "series"), "genres": names(works, "genre"), "tags": names(tags, "tag"),
+        "work_performers": t.work_performers(), "work_tags": tags, "work_genres": works.select(F.col("id").alias("work_id"), "genre"), "data_sources": t.data_sources(),
+        "source_items": items.select("id", "source_key", F.sha2("text", 256).alias("text_hash"), "status", "model"),
+        "source_links": items.filter("product_code is not null").select("id", "product_code"), "creators": t.creators(), "posts": t.posts(),
+    }
+
+
+@query("A10_catalog_snapshot", " union all ".join(_digest_sql(k, *v) for k, v in _SNAPSHOT.items()), "works work_performers work_tags source_items creators posts")
 def catalog_snapshot(t: Tables):
-    frames = {"works": t.works("id", "product_code", "title", "maker", "series", "genre"), "work_tags": t.work_tags(), "creators": t.creators(), "posts": t.posts(), "performers": t.performers()}
-    return exports.catalog_snapshot({k: frames[k] for k in _SNAPSHOT})
+    return exports.catalog_snapshot(_snapshot_tables(t))
+
+
+_CHANGED = "id % 97 = 0"
+_GONE = "id % 151 = 0"
+
+
+@query("A10_changed_ranges", f"""
+with after as (select id, case when {_CHANGED} then price + 1 else price end price from works where not ({_GONE}) union all select id + 1000000, price from works where id % 211 = 0),
+b as (select id // 10 as r, count(*) n, list(struct_pack(id, price) order by id) l from works group by 1), a as (select id // 10 as r, count(*) n, list(struct_pack(id, price) order by id) l from after group by 1)
+select coalesce(b.r, a.r) as "range", coalesce(b.n, 0) rows_before, coalesce(a.n, 0) rows_after from b full join a on a.r = b.r where b.l is distinct from a.l""", "works")
+def changed_ranges(t: Tables):
+    """Stored trees of the works before and after planted changes: some prices, rows that go and rows that come."""
+    works = reuse(t.works("id", "product_code", "title", "price", "is_published"), "works")
+    after = works.filter(f"not ({_GONE})").withColumn("price", F.expr(f"case when {_CHANGED} then price + 1 else price end"))
+    after = after.unionByName(works.filter("id % 211 = 0").withColumn("id", F.col("id") + 1000000))
+    trees = []
+    for name, df in (("before", works), ("after", after)):
+        path = shared_folder(t.spark, name)
+        exports.write_partitioned(exports.digest_tree(df, "id", 10), path, "level")
+        trees.append(t.spark.read.parquet(path))
+    return exports.changed_ranges(*trees)
 
 
 _CODES = r"regexp_extract_all(text, '\b([A-Za-z]{2,12})[\s_-]?([0-9]{2,8})\b', GROUP)"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from colophon.functions.hashing import stable_json
 
@@ -16,31 +18,76 @@ def read_frozen_jsonl(spark: SparkSession, path: str, schema: T.StructType | str
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def canonical(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The columns (all of them, unless named) with times as text, so that every engine writes them alike."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return df.select(*[
+        day(c).alias(c) if isinstance(kinds[c], T.DateType) else time(c).alias(c) if isinstance(kinds[c], (T.TimestampType, T.TimestampNTZType)) else F.col(c) for c in columns or df.columns
+    ])
+
+
 def row_digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(F.sha2(stable_json(*(columns or df.columns)), 256).alias("digest"))
 
 
-def table_digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row ``rows, digest``: order-free, so no task has to see the whole table in order.
+def _halves(digest: str) -> list[Column]:
+    """Two 60-bit halves of a hash as exact decimals: equal tables add up to the same, and repeated rows count (which XOR would cancel out)."""
+    return [F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)").alias(name) for at, name in ((1, "hi"), (16, "lo"))]
 
-    The digest adds up each row's hash in two 60-bit halves as exact decimals: equal tables
-    agree, and repeated rows count (which XOR would cancel out).
-    """
-    halves = row_digest(df, columns).select(
-        *[F.conv(F.substring("digest", at, 15), 16, 10).cast("decimal(38,0)").alias(name) for at, name in ((1, "hi"), (16, "lo"))]
-    )
-    sums = halves.agg(F.count("*").alias("rows"), F.sum("hi").alias("hi"), F.sum("lo").alias("lo"))
+
+def _sums(rows: DataFrame, keys: list[str], count: Column, *more: Column) -> DataFrame:
     zero = F.lit(0).cast("decimal(38,0)")
-    return sums.select("rows", F.concat_ws(":", F.coalesce("hi", zero).cast("string"), F.coalesce("lo", zero).cast("string")).alias("digest"))
+    total = lambda c: F.coalesce(F.sum(c), zero).cast("decimal(38,0)").alias(c)
+    return rows.groupBy(*keys).agg(count.alias("rows"), total("hi"), total("lo"), *more)
+
+
+def _joined(sums: DataFrame, *columns: str) -> DataFrame:
+    return sums.select(*columns, "rows", F.concat_ws(":", F.col("hi").cast("string"), F.col("lo").cast("string")).alias("digest"))
+
 
+def table_digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row ``rows, digest``: order-free, so no task has to see the whole table in order."""
+    return _joined(_sums(row_digest(df, columns).select(*_halves("digest")), [], F.count("*")))
+
+
+#: ranges of a level that make one of the next, and levels of a tree
+TREE_FAN, TREE_LEVELS = 256, 3
+
+
+def digest_tree(df: DataFrame, key: str, width: int = 1000, fan: int = TREE_FAN, levels: int = TREE_LEVELS) -> DataFrame:
+    """Rows ``level, range, rows, digest`` of key ranges, level 0 the finest.
 
-def catalog_snapshot(tables: dict[str, DataFrame]) -> DataFrame:
-    """Row count and digest of every table."""
-    parts = [table_digest(df).select(F.lit(name).alias("table"), "rows", "digest") for name, df in tables.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    Range r of level n has the keys from ``r * width * fan^n``; keys that are no whole numbers are
+    dealt into 65,536 ranges of their hash.  A digest adds up those of the level below, so the rows
+    are read once.  Null keys are range -1 of every level.
+    """
+    whole = isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    place = F.floor(F.col(key) / width).cast("bigint") if whole else F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 4), 16, 10).cast("bigint")
+    plain = canonical(df.withColumn("_range", F.coalesce(place, F.lit(-1))))
+    rows = plain.select(F.col("_range").alias("range"), F.sha2(stable_json(*df.columns), 256).alias("digest")).select("range", *_halves("digest"))
+    sums = _sums(rows, ["range"], F.count("*"))
+    out = []
+    for level in range(levels):
+        if level:
+            sums = _sums(sums.withColumn("range", up), ["range"], F.sum("rows"))
+        up = F.when(F.col("range") < 0, F.col("range")).otherwise(F.floor(F.col("range") / fan).cast("bigint"))
+        out.append(_joined(sums.withColumn("parent", up).withColumn("level", F.lit(level)), "level", "range", "parent"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def catalog_snapshot(tables: dict[str, DataFrame], published: str = "is_published") -> DataFrame:
+    """Row count and digest over all columns of every table, and how many rows are published where a table says so."""
+    parts = []
+    for name, df in tables.items():
+        flag = F.col(published) if published in df.columns else F.lit(None).cast("boolean")
+        plain = canonical(df)
+        rows = plain.select(F.sha2(stable_json(*plain.columns), 256).alias("digest"), flag.alias("_flag")).select(*_halves("digest"), "_flag")
+        count = lambda yes: F.when(F.lit(published in df.columns), F.count_if(F.col("_flag") == F.lit(yes)))  # noqa: B023, E731
+        sums = _sums(rows, [], F.count("*"), count(True).alias("published"), count(False).alias("unpublished"))
+        parts.append(sums.select(F.lit(name).alias("table"), "rows", F.concat_ws(":", F.col("hi").cast("string"), F.col("lo").cast("string")).alias("digest"), "published", "unpublished"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def compare_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -49,6 +96,25 @@ def compare_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "table", "full_outer").withColumn("unchanged", F.col("digest_before").eqNullSafe(F.col("digest_after")))
 
 
+def changed_ranges(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The finest ranges in which two digest trees differ: ``range, rows_before, rows_after``.
+
+    The trees are compared from the top, and of each level only what lies in a changed range of the
+    level above.  Stored trees are partitioned by level, so equal tables cost their top level.
+    """
+    found = None
+    for level in range(TREE_LEVELS - 1, -1, -1):
+        sides = []
+        for tree, name in ((before, "before"), (after, "after")):
+            side = tree.filter(F.col("level") == level).select("range", "parent", F.col("rows").alias(f"rows_{name}"), F.col("digest").alias(f"digest_{name}"))
+            if found is not None:
+                side = side.join(found.select(F.col("range").alias("parent")), "parent", "left_semi")
+            sides.append(side.drop("parent"))
+        both = sides[0].join(sides[1], "range", "full_outer")
+        found = both.filter(~F.col("digest_before").eqNullSafe(F.col("digest_after"))).select("range", F.coalesce("rows_before", F.lit(0)).alias("rows_before"), F.coalesce("rows_after", F.lit(0)).alias("rows_after"))
+    return found
+
+
 def candidate_csv_rows(df: DataFrame, headers: list[str]) -> DataFrame:
     """Columns in the fixed order as text; structs, maps and arrays as JSON, null as blank."""
     nested = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))}
