@@ -20,18 +20,50 @@ LOGIN_MARKERS = ("<form[^>]+(?:login|sign[-_ ]?in)", "(?:ログイン|サイン
 AGE_MARKERS = ("18歳未満.{0,80}(?:閲覧|利用|禁止|戻)", "(?:18歳以上|成人).{0,80}(?:確認|同意|入場)", "age.{0,30}(?:verification|confirmation|gate)")
 PAID_MARKERS = ("(?:有料|購入|課金|プラン加入|会員限定|購読者限定|支援者限定)", "(?:subscribe|subscription|subscribers? only|members? only|paid content|purchase required)")
 LIMITED_MARKERS = ("(?:限定公開|フォロワー限定|閲覧期限|公開終了)", "(?:limited access|followers? only|restricted content)")
+#: what a text must contain in lower case, all of one row, before the markers are worth a search
+LOGIN_HINTS = (("<form", "login"), ("<form", "sign"), ("ログイン",), ("サインイン",), ("login",), ("sign in",))
+AGE_HINTS = (("18歳",), ("成人",), ("age", "verification"), ("age", "confirmation"), ("age", "gate"))
+PAID_HINTS = (("有料",), ("購入",), ("課金",), ("プラン加入",), ("会員限定",), ("購読者限定",), ("支援者限定",), ("subscri",), ("member", "only"), ("paid content",), ("purchase required",))
+LIMITED_HINTS = (("限定公開",), ("フォロワー限定",), ("閲覧期限",), ("公開終了",), ("limited access",), ("follower", "only"), ("restricted content",))
 POST_TYPES = ("article", "socialmediaposting", "blogposting", "videoobject", "imageobject")
 TIMESTAMP_PATTERN = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]+)?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})$"
 SLUG = "^[a-zA-Z0-9_-]{2,100}$"
 POST_PATH = "(?i)^/posts/([0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12})$"
 
 
+def has_marker(html: Column, patterns: tuple[str, ...], hints: tuple[tuple[str, ...], ...]) -> Column:
+    """Whether a text matches one of the patterns, in any case; plain searches for hints spare most texts the patterns."""
+    low = F.lower(html)
+    hinted = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains(low, F.lit(x)) for x in row]) for row in hints])
+    return hinted & html.rlike("(?i)" + "|".join(patterns))
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point, empty for one that is none."""
+    ok = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    hexed = F.when(ok, F.lpad(F.hex(code), 8, "0"))
+    return F.coalesce(F.decode(F.unhex(hexed), "UTF-32"), F.lit(""))
+
+
+NUMBERED = "(?i)&#(x[0-9a-f]{1,8}|[0-9]{1,9});"
+
+
+def decode_entities(c) -> Column:
+    """The named entities of mark-up in any case, and numbered ones, decimal or hexadecimal, as characters."""
+    c = _col(c)
+    out = c
+    for entity, text in (("amp", "&"), ("quot", '"'), ("(?:#39|apos)", "'"), ("lt", "<"), ("gt", ">")):
+        out = F.regexp_replace(out, f"(?i)&{entity};", text)
+    # the text between numbered entities, and their numbers, in turn
+    number = lambda x: F.when(F.lower(x).startswith("x"), F.conv(F.substring(x, 2, 8), 16, 10)).otherwise(x).cast("bigint")
+    spelled = F.zip_with(F.split(out, NUMBERED), F.regexp_extract_all(out, F.lit(NUMBERED), F.lit(1)), lambda a, x: F.concat(a, F.when(x.isNull(), "").otherwise(_character(number(x)))))
+    # few texts have any
+    return F.when(F.contains(c, F.lit("&")) & F.contains(c, F.lit("#")), F.array_join(spelled, "")).when(F.contains(c, F.lit("&")), out).otherwise(c)
+
+
 def clean_text(c) -> Column:
     """Entities decoded, white space collapsed, trimmed; blank becomes null."""
-    out = _col(c)
-    for entity, text in (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">")):
-        out = F.replace(out, F.lit(entity), F.lit(text))
-    return F.nullif(F.trim(F.regexp_replace(out, "\\s+", " ")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(decode_entities(c), "\\s+", " ")), F.lit(""))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -65,11 +97,12 @@ def site_url(href: Column, page_url: Column, host: Column) -> Column:
     return F.concat(F.lit("https://"), F.lower(host), F.when(tidy == "", F.lit("/")).otherwise(tidy))
 
 
-def page_metadata(pages: DataFrame, host: str | None = None) -> DataFrame:
+def page_metadata(pages: DataFrame, host: str | None = None, keep_foreign: bool = False) -> DataFrame:
     """Title, meta values, canonical link, JSON-LD entries and anchors of raw pages.
 
     ``pages(page_id, url, html)``; ``host`` defaults to the page's own.  Entries are JSON
-    texts, with the members of ``@graph`` beside their parent.
+    texts, with the members of ``@graph`` beside their parent.  Anchors to other sites are left out, or
+    have no URL with ``keep_foreign``.
     """
     own = F.lit(host) if host else F.regexp_extract("url", "(?i)^https?://([^/?#:]+)", 1)
     html = F.col("html")
@@ -98,7 +131,7 @@ def page_metadata(pages: DataFrame, host: str | None = None) -> DataFrame:
             "_tops": tops, "_metas": metas, "_links": links, "_found": F.filter(found, lambda a: a["href"] != ""),
         }
     )
-    graphs = F.flatten(F.transform("_tops", lambda e: F.coalesce(F.from_json(F.get_json_object(e, "$['@graph']"), "array<string>"), none)))
+    graphs = F.flatten(F.transform("_tops", lambda e: F.when(F.contains(e, F.lit("@graph")), F.coalesce(F.from_json(F.get_json_object(e, "$['@graph']"), "array<string>"), none)).otherwise(none)))
     keyed = F.transform("_metas", lambda m: F.struct(first_filled(m["property"], m["name"]).alias("key"), clean_text(m["content"]).alias("value")))
     anchors = F.transform("_found", lambda a: F.struct(
         site_url(a["href"], F.col("url"), F.col("_host")).alias("url"), clean_text(a["text"]).alias("text"),
@@ -107,11 +140,11 @@ def page_metadata(pages: DataFrame, host: str | None = None) -> DataFrame:
     staged = staged.withColumns({"json_ld": F.concat("_tops", graphs), "meta": keyed, "anchors": anchors, "_href": attribute(F.try_element_at("_links", F.lit(1)), "href")})
     out = staged.withColumns(
         {
-            "meta": F.filter("meta", lambda m: (m["key"] != "") & m["value"].isNotNull()), "anchors": F.filter("anchors", lambda a: a["url"].isNotNull()),
+            "meta": F.filter("meta", lambda m: (m["key"] != "") & m["value"].isNotNull()), "anchors": F.col("anchors") if keep_foreign else F.filter("anchors", lambda a: a["url"].isNotNull()),
             "canonical": F.when(F.col("_href") != "", site_url(F.col("_href"), F.col("url"), F.col("_host"))),
         }
     )
-    return out.withColumn("links", F.array_distinct(F.transform("anchors", lambda a: a["url"]))).drop("_host", "_tops", "_metas", "_links", "_found", "_href")
+    return out.withColumn("links", F.array_distinct(F.array_compact(F.transform("anchors", lambda a: a["url"])))).drop("_host", "_tops", "_metas", "_links", "_found", "_href")
 
 
 def meta_value(key: str) -> Column:
@@ -122,7 +155,6 @@ def meta_value(key: str) -> Column:
 def page_access(status, location, html) -> Column:
     """Struct ``access, reason`` by status first, then by the markers of a wall in the text."""
     s, h = _col(status), _col(html)
-    hit = lambda patterns: h.rlike("(?i)" + "|".join(patterns))
     code = s.cast("string")
     result = lambda access, reason: F.struct(F.lit(access).alias("access"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
     return (
@@ -130,7 +162,7 @@ def page_access(status, location, html) -> Column:
         .when(s == 429, result("SOURCE_BLOCKED", "HTTP_429_NO_RETRY")).when(s >= 500, result("HTTP_ERROR", F.concat(F.lit("HTTP_"), code, F.lit("_SOURCE_ERROR"))))
         .when(s.between(300, 399) & F.coalesce(_col(location).rlike("(?i)\\b(?:login|signin|auth)\\b"), F.lit(False)), result("AUTH_REQUIRED", "AUTH_REDIRECT_REJECTED"))
         .when(s.between(300, 399), result("SOURCE_BLOCKED", "REDIRECT_NOT_FOLLOWED")).when(s != 200, result("HTTP_ERROR", F.concat(F.lit("HTTP_"), code, F.lit("_UNSUPPORTED"))))
-        .when(hit(LOGIN_MARKERS), result("AUTH_REQUIRED", "LOGIN_WALL_REJECTED")).when(hit(AGE_MARKERS), result("SOURCE_BLOCKED", "AGE_INTERSTITIAL_NOT_BYPASSED"))
+        .when(has_marker(h, LOGIN_MARKERS, LOGIN_HINTS), result("AUTH_REQUIRED", "LOGIN_WALL_REJECTED")).when(has_marker(h, AGE_MARKERS, AGE_HINTS), result("SOURCE_BLOCKED", "AGE_INTERSTITIAL_NOT_BYPASSED"))
         .otherwise(result("PUBLIC_ACCESSIBLE", "ANONYMOUS_HTTP_200"))
     )
 
@@ -173,9 +205,16 @@ def page_classify(pages: DataFrame, host: str, known_creators: DataFrame | None
         pages = pages.withColumn("discovery", F.array().cast("array<string>"))
     m = page_metadata(pages, host)
     self_url = site_url(F.col("url"), F.col("url"), F.lit(host))
-    base = m.withColumns({"source_url": self_url, "_a": page_access("status", "location", "html")}).withColumns({"slug": creator_slug("source_url"), "post": post_id("source_url")})
+    # what the raw page has to say is read once and written; the page itself goes no further
+    marks = {
+        "_a": page_access("status", "location", "html"), "_paid": has_marker(F.col("html"), PAID_MARKERS, PAID_HINTS), "_limited": has_marker(F.col("html"), LIMITED_MARKERS, LIMITED_HINTS),
+        "_ids": F.regexp_extract_all("html", F.lit("(?i)\\bdata-creator-id\\s*=\\s*[\"']?([^\"'\\s>]+)"), F.lit(1)), "source_page_hash": F.sha2("html", 256),
+    }
+    m = reuse(m.withColumns(marks).select("page_id", "url", "discovery", "title", "json_ld", "meta", "canonical", "links", *marks), "pages")
+    base = m.withColumn("source_url", self_url).withColumns({"slug": creator_slug("source_url"), "post": post_id("source_url")})
     # every JSON-LD entry once: its fields, its kind and whether it names this page
-    own = lambda v: F.coalesce(site_url(v, F.col("source_url"), F.lit(host)) == F.col("source_url"), F.lit(False))
+    # most links of a page to itself are spelled like its address
+    own = lambda v: F.when(v.isNull(), False).when(v == F.col("source_url"), True).otherwise(F.coalesce(site_url(v, F.col("source_url"), F.lit(host)) == F.col("source_url"), F.lit(False)))
     base = base.withColumns({"_parsed": F.transform("json_ld", parse_entry), "_og_url": meta_value("og:url")})
     described = F.transform("_parsed", lambda e: F.struct(
         e.alias("f"), _has_type(e, ("person",)).alias("person"), _has_type(e, ("profilepage",)).alias("profile"), _has_type(e, POST_TYPES).alias("article"),
@@ -185,10 +224,9 @@ def page_classify(pages: DataFrame, host: str, known_creators: DataFrame | None
     base = base.withColumn("_e", described)
     self_named = lambda e: e["url_own"] | (e["f"]["url"].isNull() & e["id_own"])
     consistent = F.exists("_e", lambda e: (e["person"] | e["profile"]) & (e["url_own"] | e["id_own"])) | own(F.col("_og_url")) | F.coalesce(F.col("canonical") == F.col("source_url"), F.lit(False))
-    ids = F.regexp_extract_all("html", F.lit("(?i)\\bdata-creator-id\\s*=\\s*[\"']?([^\"'\\s>]+)"), F.lit(1))
     evidence = F.array_sort(F.array_compact(F.array(
         F.when(F.exists("_e", lambda e: e["person"] & self_named(e)), "JSON_LD_PERSON_SELF"), F.when(F.exists("_e", lambda e: e["profile"] & self_named(e)), "JSON_LD_PROFILE_SELF"),
-        F.when(F.array_contains(ids, F.col("slug")), "EXPLICIT_CREATOR_ID_SELF"), F.when(F.exists("links", lambda u: post_id(u).isNotNull()), "CREATOR_POST_RELATION"),
+        F.when(F.array_contains("_ids", F.col("slug")), "EXPLICIT_CREATOR_ID_SELF"), F.when(F.exists("links", lambda u: post_id(u).isNotNull()), "CREATOR_POST_RELATION"),
         F.when(F.exists("discovery", lambda d: d.startswith("RANKING_CREATOR_ITEM_")), "RANKING_CREATOR_ITEM_LINK"),
     )))
     first = lambda test: F.try_element_at(F.filter("_e", test), F.lit(1))["f"]
@@ -205,14 +243,12 @@ def page_classify(pages: DataFrame, host: str, known_creators: DataFrame | None
     base = base.withColumns({"name": name, "_writer": writer, "_published": published})
     base = base.withColumn("_writer_url", site_url(F.col("_writer"), F.col("url"), F.lit(host)))
     base = base.withColumns({"_author": creator_slug("_writer_url"), "published_at": F.when(F.col("_published").rlike(TIMESTAMP_PATTERN), F.col("_published"))})
-    # what the text has to say is settled here; the raw page goes no further
-    hit = lambda patterns: F.col("html").rlike("(?i)" + "|".join(patterns))
     free = F.exists("_e", lambda e: F.coalesce(e["f"]["isAccessibleForFree"] == "false", F.lit(False)))
     price = F.try_element_at(F.filter(F.transform("_e", lambda e: e["price"]), lambda x: x.isNotNull()), F.lit(1)).try_cast("double")
-    shown = F.when(free | F.coalesce(price > 0, F.lit(False)) | hit(PAID_MARKERS), "paid").when(hit(LIMITED_MARKERS), "limited").otherwise("public")
+    shown = F.when(free | F.coalesce(price > 0, F.lit(False)) | F.col("_paid"), "paid").when(F.col("_limited"), "limited").otherwise("public")
     base = reuse(base.select(
         "page_id", "url", "source_url", "_a", "slug", "post", "links", "evidence", "consistent", "name", "_author", "published_at", shown.alias("_shown"),
-        F.col("_entry").isNotNull().alias("_structured"), F.sha2("html", 256).alias("source_page_hash"),
+        F.col("_entry").isNotNull().alias("_structured"), "source_page_hash",
     ))
     if known_creators is not None:
         # the author named in the metadata, else the first linked creator that is known

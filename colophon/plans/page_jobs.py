@@ -9,15 +9,56 @@ from colophon.plans.registry import query
 HOST = "creators.example"
 
 
-@query("A11_page_metadata", r"""
-with t as (select page_id, url, html, regexp_extract(html,'(?is)<title\b[^>]*>(.*?)</title\s*>',1) raw from pages),
-u as (select *, replace(replace(replace(replace(replace(replace(raw,'&amp;','&'),'&quot;','"'),'&#39;',''''),'&apos;',''''),'&lt;','<'),'&gt;','>') dec from t)
-select page_id, nullif(trim(regexp_replace(dec,'\s+',' ','g')),'') title, len(regexp_extract_all(html,'(?is)<a\b([^>]*)>(.*?)</a\s*>')) anchors from u""")
+def _decoded(x: str) -> str:
+    for entity, text in (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&lt;", "<"), ("&gt;", ">")):
+        x = f"replace({x},'{entity}','{text}')"
+    return x
+
+
+def _attribute(tag: str, name: str) -> str:
+    value = f"""regexp_extract({tag}, '(?i)(?:^|[\\s"''<])(?:{name})\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']+)', 1)"""
+    return f"""regexp_replace({value}, '^["'']|["'']$', '', 'g')"""
+
+
+def _clean(x: str) -> str:
+    return f"nullif(trim(regexp_replace({_decoded(x)}, '\\s+', ' ', 'g')), '')"
+
+
+@query("A11_page_metadata", rf"""
+with p as (select page_id, nullif(regexp_extract(html,'(?is)<title\b[^>]*>(.*?)</title\s*>',1), '') raw,
+  list_zip(regexp_extract_all(html,'(?is)<a\b([^>]*)>(.*?)</a\s*>',1), regexp_extract_all(html,'(?is)<a\b([^>]*)>(.*?)</a\s*>',2)) tags, list_filter(regexp_extract_all(html, '(?i)<link\b[^>]*>'), lambda l: lower({_attribute('l', 'rel')}) = 'canonical') canon,
+  list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*>'), lambda m: {{'k': lower(coalesce(nullif({_attribute('m', 'property')}, ''), {_attribute('m', 'name')})), 'v': {_clean(_attribute('m', 'content'))}}}) metas,
+  len(regexp_extract_all(html, '(?is)<script\b[^>]*type\s*=\s*["'']application/ld\+json["''][^>]*>')) blocks from pages),
+a as (select page_id, list_transform(list_filter(tags, lambda t: {_attribute('t[1]', 'href')} <> ''), lambda t: {{'rel': {_clean(_attribute('t[1]', 'rel'))}, 'text': {_clean("regexp_replace(t[2], '<[^>]+>', ' ', 'g')")}, 'class': {_clean(_attribute('t[1]', 'class'))}}}) l from p)
+select page_id, {_clean('raw')} title, blocks::bigint json_ld_blocks, len(list_filter(metas, lambda m: m.k <> '' and m.v is not null))::bigint metas, len(canon) > 0 canonical,
+  coalesce(array_to_string(list_transform(a.l, lambda x: concat_ws('|', coalesce(x.text, '-'), coalesce(x.rel, '-'), coalesce(x.class, '-'))), ';'), '') anchors from p join a using (page_id)""")
 def metadata(t: Tables):
-    # anchors with any link: each page's own host is its site
-    m = pages.page_metadata(t.pages())
-    tags = F.size(F.regexp_extract_all("html", F.lit("(?is)<a\\b([^>]*)>(.*?)</a\\s*>"), F.lit(0)))
-    return m.select("page_id", "title", tags.cast("bigint").alias("anchors"))
+    """What the operator reads of the given pages; their anchors are kept whatever site they lead to."""
+    m = pages.page_metadata(t.pages(), keep_foreign=True)
+    shown = F.transform("anchors", lambda a: F.concat_ws("|", *[F.coalesce(a[c], F.lit("-")) for c in ("text", "rel", "class_name")]))
+    return m.select("page_id", "title", F.size("json_ld").cast("bigint").alias("json_ld_blocks"), F.size("meta").cast("bigint").alias("metas"), F.col("canonical").isNotNull().alias("canonical"), F.array_join(shown, ";").alias("anchors"))
+
+
+def _marked_pages(t: Tables):
+    """Pages with every kind of mark-up that the operator reads, one of each creator."""
+    c = F.col("c_custkey")
+    n = c.cast("string")
+    html = F.concat(
+        F.lit("<TITLE>Caf&#xe9; &amp; &#9731;"), n, F.lit("</TITLE><meta property='OG:url' content='/maker_"), n, F.lit("'><META name=description content=\"A &#66;&quot;"), n, F.lit('">'),
+        F.when(c % 2 == 0, F.concat(F.lit('<link href="/maker_'), n, F.lit('/" rel=canonical>'))).otherwise("<link rel=stylesheet href=/x.css>"),
+        F.when(c % 3 == 0, F.concat(F.lit('<script type="application/ld+json">[{"@type":"Person"},{"@graph":[{"@type":"Article"},{"n":'), n, F.lit("}]}]</script>"))).when(c % 3 == 1, F.lit("<script type='application/ld+json'>{broken</script>")).otherwise(""),
+        F.lit("<a class=\"b &lt;c&gt;\" data-creator-id="), n, F.lit(" href='/maker_"), n, F.lit("?q=1' rel=author><b>Maker</b> &#"), (c % 20000 + 0x4E00).cast("string"), F.lit(";x</a><a href='https://else.example/'>away</a><a name=x>no link</a>"),
+    )
+    return t.raw("customer").select(c.alias("page_id"), F.concat(F.lit(f"https://{HOST}/list/"), n).alias("url"), html.alias("html"))
+
+
+@query("A11_page_fields", f"""
+select c_custkey page_id, 'Café & ☃' || c_custkey title, case when c_custkey % 2 = 0 then 'https://{HOST}/maker_' || c_custkey end canonical, '/maker_' || c_custkey og_url, case c_custkey % 3 when 0 then 4 else 0 end json_ld, 'A B"' || c_custkey description,
+  'https://{HOST}/maker_' || c_custkey || '|Maker ' || chr(cast(c_custkey % 20000 + 19968 as int)) || 'x|author|' || c_custkey || '|b <c>' anchors from customer""")
+def fields(t: Tables):
+    m = pages.page_metadata(_marked_pages(t), HOST)
+    shown = F.transform("anchors", lambda a: F.concat_ws("|", a["url"], a["text"], a["rel"], a["creator_id"], a["class_name"]))
+    return m.select("page_id", "title", "canonical", pages.meta_value("og:url").alias("og_url"), F.size("json_ld").alias("json_ld"), pages.meta_value("description").alias("description"), F.array_join(shown, ";").alias("anchors"))
 
 
 @query("A11_page_links", r"""
