@@ -1,13 +1,15 @@
 """Homomorphic fingerprints of documents: a sum over the multiset of their paragraphs.
 
-A paragraph is a line; one of more than eight words counts as several, cut after each eighth word,
-so that a text without line breaks has parts too.  Every paragraph is hashed to a wide vector of
-zeros and ones, and the vectors are added.  The sum does not depend on the order of paragraphs, and
-one is inserted or deleted by adding or subtracting its vector (``added``, ``removed``).  The
-fingerprint writes the number of paragraphs modulo 2**32 and each component modulo 2**16.
-
-Read as plus and minus one, the components of two sums also estimate how many paragraphs the texts
-share (``likeness``).  Null texts count as empty; an empty text has one empty paragraph.
+A paragraph is a line.  It is hashed to a vector of eight 16-bit numbers, from hashes with a salt of
+their own, and the vectors are added modulo 2**16, so texts with the same lines in any order have
+the same sum, and texts with other lines another.  For likeness, lines are also cut after each eighth
+word, because a text without line breaks would have one part; each piece is hashed to a wide vector
+of zeros and ones, and these are added as well.  One is inserted or deleted by adding or subtracting
+its vectors (``added``, ``removed``).  The fingerprint writes the number of pieces modulo 2**32, then
+each component modulo 2**16, those of the pieces and those of the lines.
+
+Read as plus and minus one, the components of the pieces of two texts estimate how many they share
+(``likeness``).  Null texts count as empty; an empty text has one empty line.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from colophon.session import reuse
 #: 64 components a hash; each long of a vector carries two of them, in its lower and its upper half
 HASHES = 2
 COMPONENTS = 64 * HASHES
+#: hashes of a line, four 16-bit lanes each
+WIDE = 2
 TWO_BITS = 0x0000000100000001
 PARAGRAPHS = r"(?:[^\n\S]*+\S++){1,8}+[^\n\S]*+|(?<![^\n])[^\n\S]*+(?![^\n])"
 
@@ -30,17 +34,22 @@ def paragraphs(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPHS), F.lit(0))
 
 
-def vector_of(paragraph: Column) -> Column:
-    """Struct of the number of paragraphs and their summed vector, for use after a ``groupBy``."""
-    hashes = [F.xxhash64(paragraph, F.lit(k)) for k in range(HASHES)]
+def vector_of(piece: Column, begins: Column, lines: list[Column]) -> Column:
+    """Struct of the number of pieces and the summed vectors of pieces and lines, for use after a ``groupBy``.
+
+    ``lines`` are the hashes of the piece's line; they count where it ``begins``.
+    """
+    hashes = [F.xxhash64(F.lit(k), piece) for k in range(HASHES)]
+    lane = lambda h, j: F.sum(F.when(begins, F.shiftrightunsigned(h, 16 * j).bitwiseAND(F.lit(0xFFFF))).otherwise(F.lit(0)))
     return F.struct(
-        F.count(paragraph).alias("n"),
+        F.count(piece).alias("n"),
         F.array(*[F.sum(F.shiftrightunsigned(h, s).bitwiseAND(F.lit(TWO_BITS))) for h in hashes for s in range(32)]).alias("sums"),
+        F.array(*[lane(h, j) for h in lines for j in range(4)]).alias("wide"),
     )
 
 
 def _each(a: Column, b: Column, op) -> Column:
-    return F.struct(op(a["n"], b["n"]).alias("n"), F.zip_with(a["sums"], b["sums"], op).alias("sums"))
+    return F.struct(op(a["n"], b["n"]).alias("n"), *[F.zip_with(a[c], b[c], op).alias(c) for c in ("sums", "wide")])
 
 
 def added(a: Column, b: Column) -> Column:
@@ -54,10 +63,11 @@ def removed(a: Column, b: Column) -> Column:
 
 
 def fingerprint(v: Column) -> Column:
-    """Eight hex digits for the number of paragraphs, four for each component."""
+    """Eight hex digits for the number of pieces, four for each component."""
     low, high = (lambda x: x.bitwiseAND(F.lit(0xFFFF))), (lambda x: F.shiftrightunsigned(x, 32).bitwiseAND(F.lit(0xFFFF)))
     digits = F.transform(v["sums"], lambda x: F.lpad(F.hex(F.shiftleft(high(x), 16).bitwiseOR(low(x))), 8, "0"))
-    return F.lower(F.concat(F.lpad(F.hex(v["n"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"), F.array_join(digits, "")))
+    lanes = F.transform(v["wide"], lambda x: F.lpad(F.hex(low(x)), 4, "0"))
+    return F.lower(F.concat(F.lpad(F.hex(v["n"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"), F.array_join(digits, ""), F.array_join(lanes, "")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -79,7 +89,11 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and the ``vector`` of each text.  Rows that agree in ``keys`` are summed."""
-    return docs.select(*keys, F.explode(paragraphs(F.col(text))).alias("_paragraph")).groupBy(*keys).agg(vector_of(F.col("_paragraph")).alias("vector"))
+    lines = docs.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_line"))
+    hashed = lines.select(*keys, "_line", *[F.xxhash64(F.lit(k), "_line").alias(f"_h{k}") for k in range(WIDE)])
+    own = [f"_h{k}" for k in range(WIDE)]
+    pieces = hashed.select(*keys, *own, F.posexplode(paragraphs(F.col("_line"))).alias("_at", "_piece"))
+    return pieces.groupBy(*keys).agg(vector_of(F.col("_piece"), F.col("_at") == 0, [F.col(h) for h in own]).alias("vector"))
 
 
 def _followers(docs: DataFrame) -> DataFrame:
