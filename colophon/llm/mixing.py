@@ -75,16 +75,19 @@ def drawn_blocks(targets: DataFrame, block_words: int, shard_blocks: int, seed:
     bins = plan.filter("quota > 0").select("source_no", "low", (F.col("low") + F.col("quota")).alias("high"), F.explode(F.sequence(F.expr(f"low * {BINS} div {n}"), F.expr(f"(low + quota - 1) * {BINS} div {n}"))).alias("bin"))
     slots = spark.range(total).select(F.expr(f"id div {shard_blocks}").alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("at")).withColumn("bin", F.expr(f"at * {BINS} div {n}"))
     counts = reuse(slots.join(bins, "bin").filter("low <= at and at < high").groupBy("shard", "source_no").agg(F.count("*").alias("n")), "counts")
-    first = F.coalesce(F.sum("n").over(Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # what a source has drawn too much or too little, laid end to end
-    drawn = counts.groupBy("source_no").agg(F.sum("n").alias("drawn"))
+    drawn = reuse(counts.groupBy("source_no").agg(F.sum("n").alias("drawn")), "drawn")
     settled = reuse(
         plan.join(drawn, "source_no", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).withColumns({
             "over_low": F.coalesce(F.sum(F.greatest(F.col("drawn") - F.col("quota"), F.lit(0))).over(everything), F.lit(0)),
             "short_low": F.coalesce(F.sum(F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))).over(everything), F.lit(0)),
         }), "settled",
     )
-    draws = counts.withColumn("first", first).select("shard", "source_no", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("draw")).join(settled, "source_no")
+    # slots of a source before each shard: running totals over all, less those of the sources before
+    base = reuse(drawn.select("source_no", F.coalesce(F.sum("drawn").over(everything), F.lit(0)).alias("base")), "base")
+    placed = running_totals(counts, [("source_no", "asc"), ("shard", "asc")], {"upto": "n"}).join(base, "source_no").withColumn("first", F.col("upto") - F.col("base"))
+    # a shard's slots of a source are listed wherever that row lies, not where its source is
+    draws = reuse(placed.select("shard", "source_no", "n", "first"), "firsts").repartition("shard", "source_no").select("shard", "source_no", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("draw")).join(settled, "source_no")
     kept = draws.filter("draw < quota").select("shard", "source_no", "draw", "blocks")
     over = draws.filter("draw >= quota").select("shard", (F.col("over_low") + F.col("draw") - F.col("quota")).alias("place"))
     short = settled.filter("drawn < quota").select("source_no", "blocks", F.posexplode(F.sequence(F.col("drawn"), F.col("quota") - 1)).alias("_i", "draw"), "short_low").withColumn("place", F.col("short_low") + F.col("_i"))
