@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from colophon.llm.common import mapped, slices, table
-from colophon.llm.graph import components
+from colophon.operators.graph import components
 from colophon.session import reuse
 
 SEED = 42
@@ -343,13 +343,8 @@ def near_links(nodes: DataFrame, radius: int, width: int, keys, chunk: int = CHU
     return mapped(met, compare, "u binary, v binary")
 
 
-def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, width: int = 1, tables: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id``, ``node`` and ``component_id``, the least id reachable over near fingerprints, of every row.
-
-    With tables, a link needs near fingerprints and shingle sets with a Jaccard index of ``ALIKE``.
-    Null texts count as empty; texts without words have the fingerprint zero and link like any other.
-    Repeated rows stay.  Null ids never name a component (it is null if no member has an id).
-    """
+def _placed(docs: DataFrame, words: int, radius: int, width: int, tables: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, node, text_key`` of every row, and ``node, root, component_id`` of every node."""
     if not tables and (radius > 3 or width != 1):
         raise ValueError("block keys are complete up to radius 3 of one word; give tables for more")
     prints = reuse(signed(docs, words, width, tables), "prints")
@@ -363,20 +358,39 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, width: int = 1
     roots = reuse(components(links), "roots")
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = joined.select("node", "root").join(least, "root").select("node", "component_id")
-    return prints.join(placed, "node").select("doc_id", "node", "component_id")
+    return prints, joined.select("node", "root").join(least, "root").select("node", "root", "component_id")
+
+
+def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, width: int = 1, tables: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """``doc_id``, ``node`` and ``component_id``, the least id reachable over near fingerprints, of every row.
+
+    With tables, a link needs near fingerprints and shingle sets with a Jaccard index of ``ALIKE``.
+    Null texts count as empty; texts without words have the fingerprint zero and link like any other.
+    Repeated rows stay.  Null ids never name a component (it is null if no member has an id).
+    """
+    prints, placed = _placed(docs, words, radius, width, tables, chunk)
+    return prints.join(placed.select("node", "component_id"), "node").select("doc_id", "node", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = ALIKE_RADIUS, width: int = 4, tables: int = TABLES) -> DataFrame:
-    """One document of each near-duplicate group, that of the least id, with its own columns.
+    """One row of each near-duplicate group, that of the least id, with its own columns.
 
     256-bit fingerprints of five-word shingles are the filter: texts that share 0.8 of their shingles
-    differ in about 39 bits, hardly ever in over 64.  Their shingle sets decide.  Of rows with one id one stays; rows without an id cannot be named and all stay.
+    differ in about 39 bits, hardly ever in over 64.  Their shingle sets decide.  Groups are of texts:
+    rows of one id with different texts are judged apart, and both stay if the texts are not alike.
+    Ids come before null, and of one id the text with the least hash; of rows alike in id and text
+    that with the least hash of all columns stays, so the result does not depend on partitions.
     """
-    groups = near_groups(docs, words, radius, width, tables)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    prints, placed = _placed(docs, words, radius, width, tables, CHUNK)
+    rows = prints.join(placed.select("node", "root"), "node").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("b"))
+    kept = reuse(best.select(F.col("b.doc_id").alias("_kept_id"), F.col("b.text_key").alias("_key"), F.col("b.n").alias("_n")), "kept")
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    met = lambda k, how: keyed.join(k, keyed["doc_id"].eqNullSafe(k["_kept_id"]) & (keyed["_text"] == k["_key"]), how)
+    single = met(kept.filter("_n = 1"), "left_semi").select(*docs.columns)
+    plain = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    repeated = met(kept.filter("_n > 1"), "inner").groupBy("_kept_id", "_text").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.xxhash64(*plain), F.hash(*plain))).alias("_row"))
+    return single.unionByName(repeated.select("_row.*"))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from colophon.llm import fingerprints, graph, idcoder, langid, licenses, mixing, packing, queries, rules, simhash, tokenfiles, tokens, urls, warc
+from colophon.llm import fingerprints, idcoder, langid, licenses, mixing, packing, queries, rules, simhash, tokenfiles, tokens, urls, warc
+from colophon.operators import graph
 from compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -130,6 +131,34 @@ def test_paragraphs_add_up(spark):
     assert cut == [" x y", "", "w " * 8, "w ", "\t", "z"]
 
 
+def test_texts_that_differ_in_their_lines_differ(spark):
+    """Brute force: the sums of 16-bit lanes of each line's hashes name the multiset of lines."""
+    texts = ["a b c d e f g h i", "a b c d e f g h \ni", "a b c d e f g h\ni", "i\na b c d e f g h", "i j k l m n o p a b c d e f g h", "a b c d e f g h i j k l m n o p", "i j k l m n o p \na b c d e f g h", "", "\n", " "]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    f = {r["k"]: r["f"] for r in fingerprints.fingerprints(rows, ["k"]).select("k", fingerprints.fingerprint(F.col("vector")).alias("f")).collect()}
+    lines = [tuple(sorted(t.split("\n"))) for t in texts]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert (f[i] == f[j]) == (lines[i] == lines[j])
+    hashes = {r["line"]: r["h"] for r in spark.createDataFrame([(x,) for t in texts for x in t.split("\n")], "line string").select("line", F.array(*[F.xxhash64(F.lit(k), "line") for k in range(fingerprints.WIDE)]).alias("h")).collect()}
+    for k, t in enumerate(texts):
+        want = [sum((hashes[x][w] >> 16 * j) & 0xFFFF for x in t.split("\n")) & 0xFFFF for w in range(fingerprints.WIDE) for j in range(4)]
+        assert f[k].endswith("".join(f"{x:04x}" for x in want))
+
+
+def test_likeness_is_that_of_the_vectors(spark):
+    """Brute force over the vectors of the pieces."""
+    texts = ["one two three\nfour", "one two three\nfive six\nfour", "x\n" * 40, "y z " * 30, ""]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    v = fingerprints.fingerprints(rows, ["k"])
+    pairs = v.selectExpr("k as a", "vector as va").crossJoin(v.selectExpr("k as b", "vector as vb")).select("a", "b", "va", "vb", fingerprints.likeness(F.col("va"), F.col("vb")).alias("near")).collect()
+    wide = lambda r: np.array([x for s in r["sums"] for x in (2 * (s & 0xFFFFFFFF) - r["n"], 2 * (s >> 32) - r["n"])], float)
+    for r in pairs:
+        a, b = wide(r["va"]), wide(r["vb"])
+        assert abs(r["near"] - max(0.0, 1 - ((a - b) ** 2).sum() / max((a**2).sum() + (b**2).sum(), 1))) < 1e-9
+        assert (r["near"] == 1) == (r["a"] == r["b"])
+
+
 def test_fingerprints_of_odd_rows(spark):
     rows = odd_rows(spark)
     got = fingerprints.with_edits(rows).collect()
@@ -409,6 +438,18 @@ def test_simhash_of_a_hot_bucket(spark):
     assert all((ours[a] == ours[b]) == (want[a] == want[b]) for a in range(0, 700, 7) for b in range(0, 700, 11))
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_one_row_of_a_group_stays_whatever_its_id(spark, parts):
+    one, two = ("the same words over and over in a row " * 4, "quite another text that nothing here is like, word for word")
+    rows = [(3, one, "x"), (5, one, "x"), (5, two, "y"), (None, two, "n"), (None, "no id and no like", "a"), (None, "no id and no like", "b"), (7, None, "z"), (8, "", "z"), (9, one, "b"), (9, one, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _id string").repartition(parts)
+    got = sorted(map(tuple, simhash.keep_one(docs).collect()), key=repr)
+    assert [r[:2] for r in got] == sorted([(3, one), (5, two), (7, None), (None, "no id and no like")], key=repr)
+    twice = spark.createDataFrame([(4, two, "b"), (4, two, "a"), (4, two, "a")], "doc_id bigint, text string, _id string")
+    assert len({tuple(simhash.keep_one(twice.repartition(parts)).collect()[0]) for _ in range(2)}) == 1 and simhash.keep_one(twice).count() == 1
+    assert simhash.keep_one(docs.limit(0)).columns == docs.columns
+
+
 def test_near_copies_go(spark, texts):
     rng = np.random.default_rng(4)
     clean = [t for t in dict.fromkeys(texts.values()) if len(t.split()) > 150][:40]
