@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from colophon import constants as K
 from colophon.functions.codes import code_key_upper
@@ -10,6 +10,8 @@ from colophon.functions.dates import age_bucket, priority_score, release_age_day
 from colophon.functions.hashing import payload_hash
 from colophon.functions.text import codes_in, hashtags, labelled
 from colophon.operators.ranking import latest_per_key
+from colophon.session import reuse
+from colophon.sources.versioned import VersionedTable
 
 
 def extract_code_candidates(posts: DataFrame, source: str, post_url: str) -> DataFrame:
@@ -145,3 +147,50 @@ def offset_check(rows: DataFrame, position: str, processed: int) -> DataFrame:
     first = F.min(position)
     state = F.when(first.isNull() | (F.max(position) < processed), "already_done").when(first > processed, "gap").otherwise("ok")
     return rows.agg(state.alias("state"), F.count_if(F.col(position) >= processed).alias("remaining"))
+
+
+JOB_COUNTERS = ("processed", "imported", "updated", "failed", "duplicates")
+JOB_SCHEMA = "fingerprint string, mode string, status string, " + ", ".join(f"{c} long" for c in JOB_COUNTERS)
+
+
+def advance_jobs(jobs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(jobs, replies)`` after one chunk of each of some jobs, keyed by file fingerprint and mode.
+
+    ``chunks(fingerprint, mode, offset, processed, imported, updated, failed, duplicates)`` has the
+    counters of the chunk.  A chunk counts if it starts where its job stands; a new job stands at 0.
+    One before that is ``already_processed`` and one after it a ``gap``: neither changes the job.  A
+    reply has the state, the offset expected next and the cumulative counters.
+    """
+    keys = ["fingerprint", "mode"]
+    stood = jobs.select(*keys, *[F.col(c).alias(f"_{c}") for c in JOB_COUNTERS])
+    j = chunks.join(stood, keys, "left").withColumns({f"_{c}": F.coalesce(f"_{c}", F.lit(0)) for c in JOB_COUNTERS})
+    state = F.when(F.col("offset") < F.col("_processed"), "already_processed").when(F.col("offset") > F.col("_processed"), "gap").otherwise("ok")
+    j = j.withColumn("state", state)
+    after = [(F.col(f"_{c}") + F.when(F.col("state") == "ok", F.col(c)).otherwise(0)).alias(c) for c in JOB_COUNTERS]
+    replies = j.select(*keys, "offset", "state", *after).withColumn("expected_offset", F.col("processed"))
+    moved = replies.filter("state = 'ok'").select(*keys, F.lit("processing").alias("status"), *JOB_COUNTERS)
+    return jobs.join(moved.select(*keys), keys, "left_anti").unionByName(moved), replies
+
+
+class ImportJobs:
+    """Import jobs in a versioned table: a step is applied to the version it has read, or not at all."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.table = VersionedTable(spark, path, JOB_SCHEMA)
+
+    def chunk(self, chunks: DataFrame) -> DataFrame:
+        """Applies chunks and returns the replies; ``Conflict`` if another importer was quicker."""
+        base = self.table.current()
+        jobs, replies = advance_jobs(self.table.at(base), reuse(chunks, "chunks"))
+        replies = reuse(replies, "replies")
+        self.table.replace(jobs, base)
+        return replies
+
+    def finish(self, fingerprint: str, mode: str, status: str = "completed") -> None:
+        """Marks a job ``completed`` or ``failed``; a failed one goes on where it stood with its next chunk."""
+        base = self.table.current()
+        mine = (F.col("fingerprint") == fingerprint) & (F.col("mode") == mode)
+        self.table.replace(self.table.at(base).withColumn("status", F.when(mine, status).otherwise(F.col("status"))), base)
+
+    def read(self) -> DataFrame:
+        return self.table.read()

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colophon import constants as K
-from colophon.operators.ranking import numbered, top_rows, top_within
+from colophon.operators.ranking import Order, numbered, top_rows, top_within
+from colophon.session import reuse
 
 
 def performer_stats(works: DataFrame, performer: str | None = None) -> DataFrame:
@@ -45,6 +46,39 @@ def recommend(works: DataFrame, context: dict | None = None, limit: int = 12) ->
     return top_rows(works.filter("is_published").withColumn("score", score.cast("double")), [("score", "desc"), ("id", "asc")], limit)
 
 
+TERMS = ("performer", "maker", "series", "genre")
+
+
+def recommend_all(works: DataFrame, profiles: DataFrame, limit: int = 12) -> DataFrame:
+    """The best ``limit`` works of every visitor: ``visitor, rank, id, score``, scored like ``recommend``.
+
+    ``profiles(visitor, performer, maker, series, genres)``.  What a profile adds to a work's score
+    depends only on which terms agree.  Of the works that agree in one combination of terms only the
+    first ``limit`` by their own score can be among a visitor's best, since those before them score as
+    much at least.  So each combination keeps its head, a visitor meets the heads of its own
+    combinations and the head of all works, and never the works.
+    """
+    w = K.RECOMMEND_WEIGHTS
+    own = F.coalesce("popularity", F.lit(0)) * w["popularity"] + F.coalesce("favorite_count", F.lit(0)) * w["favorite_count"]
+    slim = reuse(works.filter("is_published").select("id", *TERMS, own.alias("own")), "works")
+    order: Order = [("own", "desc"), ("id", "asc")]
+    subsets = [[t for i, t in enumerate(TERMS) if n >> i & 1] for n in range(1, 1 << len(TERMS))]
+    # the values of a combination as one text; a missing value is in none
+    named = lambda n, names, of: F.when(reduce(lambda a, b: a & b, [of(t).isNotNull() for t in names]), F.concat(F.lit(f"{n}:"), F.to_json(F.struct(*[of(t).alias(t) for t in names]))))
+    keys = lambda of: F.array_compact(F.array(*[named(n, names, of) for n, names in enumerate(subsets)]))
+    heads = top_within(slim.withColumn("key", F.explode(keys(F.col))), ["key"], order, limit, "_place").drop("_place")
+    visitors = profiles.select("visitor", *TERMS[:3], "genres").withColumn("genre", F.explode_outer(F.array_distinct("genres")))
+    terms = visitors.select("visitor", F.explode(keys(F.col)).alias("key")).distinct()
+    met = terms.join(heads.select("key", "id"), "key").select("visitor", "id")
+    first = F.broadcast(top_rows(slim, order, limit).select("id"))  # ``limit`` rows
+    met = met.unionByName(profiles.select("visitor").distinct().crossJoin(first)).distinct()
+    scored = met.join(slim, "id").join(profiles.select("visitor", *[F.col(t).alias(f"_{t}") for t in TERMS[:3]], F.col("genres").alias("_genres")), "visitor")
+    same = [F.when(F.col(t) == F.col(f"_{t}"), w[t]).otherwise(0) for t in TERMS[:3]]
+    liked = F.when(F.coalesce(F.array_contains("_genres", F.col("genre")), F.lit(False)), w["genre"]).otherwise(0)
+    scored = scored.select("visitor", "id", (F.col("own") + sum(same, liked)).cast("double").alias("score"))
+    return top_within(scored, ["visitor"], [("score", "desc"), ("id", "asc")], limit).select("visitor", "rank", "id", "score")
+
+
 def related_works(works: DataFrame, work_performers: DataFrame, limit: int = 8) -> DataFrame:
     """Related works of every published work: rows ``work_id, kind, rank, related_id``.
 

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from colophon.operators import metrics, related
+from colophon.operators import metrics, ranking, related
 from colophon.plans.bindings import AS_OF, Tables
 from colophon.plans.registry import query
+from colophon.session import reuse
 
 _METRICS_SQL = """
 with counted as (
@@ -177,6 +178,22 @@ def recommend(t: Tables):
     return related.recommend(rows, {"maker": "Brand#3", "genres": ["ECONOMY", "PROMO"]}, 50).select("id", "product_code", "score")
 
 
+@query("G4_recommend_all", """
+with v as (select session_id, work_id, row_number() over (partition by session_id order by ts desc, event_id desc) r from page_views),
+l as (select v.session_id, w.performer, w.maker, w.series, (select list(distinct x.genre) from v u join works x on x.id = u.work_id where u.session_id = v.session_id and u.r <= 3) genres from v join works w on w.id = v.work_id where v.r = 1),
+s as (select session_id, w.id, cast(2*popularity + 3*favorite_count + case when w.performer = l.performer then 100 else 0 end + case when w.maker = l.maker then 40 else 0 end
+  + case when w.series = l.series then 60 else 0 end + case when list_contains(l.genres, w.genre) then 30 else 0 end as double) score from l, works w where is_published)
+select session_id, id work_id, score, cast(row_number() over (partition by session_id order by score desc, id) as int) as rank from s qualify rank <= 5""", "works page_views")
+def recommend_all(t: Tables):
+    """Every session: the cast, maker and series of what it saw last, the genres of the last three."""
+    works = reuse(t.works("id", "performer", "maker", "series", "genre", "popularity", "favorite_count", "is_published"), "works")
+    views = ranking.top_within(t.page_views(), ["session_id"], [("ts", "desc"), ("event_id", "desc")], 3, "_r")
+    seen = views.join(works.select(F.col("id").alias("work_id"), "performer", "maker", "series", "genre"), "work_id")
+    last = lambda c: F.max(F.when(F.col("_r") == 1, F.col(c))).alias(c)
+    profiles = reuse(seen.groupBy(F.col("session_id").alias("visitor")).agg(last("performer"), last("maker"), last("series"), F.collect_set("genre").alias("genres")), "profiles")  # three rows a session
+    return related.recommend_all(works, profiles, 5).select(F.col("visitor").alias("session_id"), F.col("id").alias("work_id"), "score", "rank")
+
+
 @query("G5_related_works", """
 with p as (select id, popularity, created_at, maker, series, genre from works where is_published),
 pk as (select distinct p.*, performer_id k from p join work_performers on work_id = p.id),

@@ -1,6 +1,8 @@
 """Intake: rows, items, posts and merges."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from colophon import constants as K
 from colophon.functions import dates, hashing, text, urls
@@ -471,6 +473,30 @@ def resume_batches(t: Tables):
     return intake.resume_batches(t.raw("events").select("event_id"), "event_id", 2500, 1000).groupBy("batch").agg(F.count("*").alias("row_count"))
 
 
+#: (mode, chunk of the file, what becomes of it, last chunk done after it): a repeated chunk, a gap, a resumed job, another mode of the same file
+_STEPS = (("full", 0, "ok", 0), ("full", 1, "ok", 1), ("full", 1, "already_processed", 1), ("full", 3, "gap", 1), ("full", 2, "ok", 2), ("full", 3, "ok", 3), ("full", 4, "ok", 4), ("dry", 1, "gap", -1))
+_TALLY = {"processed": "true", "imported": "event_type = 'view'", "updated": "event_type = 'click'", "failed": "event_type = 'error'", "duplicates": "event_type = 'purchase'"}
+
+
+@query("A12_import_jobs", f"""
+with e as (select *, event_id * 5 // (select max(event_id) + 1 from events) chunk from events),
+t as (select chunk, {', '.join(f'count(*) filter ({x}) {c}' for c, x in _TALLY.items())} from e group by 1),
+s(step, mode, chunk, state, upto) as (values {', '.join(f"({k}, '{m}', {c}, '{x}', {u})" for k, (m, c, x, u) in enumerate(_STEPS))})
+select cast(step as int) step, mode, (select coalesce(sum(processed), 0) from t where t.chunk < s.chunk)::bigint as "offset", state, {', '.join(f'(select coalesce(sum({c}), 0) from t where t.chunk <= s.upto)::bigint {c}' for c in _TALLY)} from s""")
+def import_jobs(t: Tables):
+    """The events as a file of five chunks, sent to a stored job table one after the other."""
+    rows = t.raw("events").select("event_id", "event_type").crossJoin(F.broadcast(t.raw("events").agg((F.max("event_id") + 1).alias("n"))))
+    tally = rows.groupBy(F.expr("event_id * 5 div n").alias("chunk")).agg(*[F.count_if(F.expr(x)).alias(c) for c, x in _TALLY.items()])
+    before = F.coalesce(F.sum("processed").over(Window.partitionBy().orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # five rows
+    chunks = reuse(tally.withColumn("offset", before), "chunks")
+    jobs = intake.ImportJobs(t.spark, shared_folder(t.spark, "jobs"))
+    out = []
+    for step, (mode, chunk, *_) in enumerate(_STEPS):
+        sent = chunks.filter(F.col("chunk") == chunk).drop("chunk").withColumns({"fingerprint": F.lit("file"), "mode": F.lit(mode)})
+        out.append(jobs.chunk(sent).withColumn("step", F.lit(step)))
+    return reduce(DataFrame.unionByName, out).select("step", "mode", "offset", "state", *_TALLY)
+
+
 @query("A14_api_error_log", """select api_offset, stage, error_type, external_product_id, cast(case when api_offset%2=0 and api_offset%3=0 then 4 when api_offset%2=0 then 1 else 3 end as bigint) attempt_count,
   case when external_product_id like '%7' and stage='persist' then 'done' end resolved_at from (
   select event_id api_offset, case when event_id%5=0 then 'promote' else 'persist' end stage, 'failed' error_type, concat('x', cast(work_id as varchar)) external_product_id
