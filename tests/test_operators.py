@@ -535,3 +535,34 @@ def test_repeated_new_errors_raise_the_attempts(spark):
     none = spark.createDataFrame([], "job_id string, external_product_id string, resolved_at string")
     got = {r.api_offset: (r.attempt_count, r.message) for r in merging.api_error_log(old, new, none).collect()}
     assert got == {1: (5, "m2"), 2: (2, "m")} and merging.api_error_log(old, new, none).count() == 2
+
+
+# -- quoted CSV in splits ---------------------------------------------------------------------------
+CSV_TEXT = """\ufeff品番,タイトル, メーカー ,説明
+A-1,one,m,"first\nsecond ""x""\n\nlast"
+A-2,"two, with comma",,plain
+
+"A-3","a
+b","m ""q""\n",
+A-4,,,"ends ""quoted"" x"
+A-5,"","x","é\nü\n日本"
+"""
+
+
+@pytest.mark.parametrize("size", [11, 29, 1000])
+def test_quoted_csv_is_the_same_however_it_is_cut(spark, tmp_path, size):
+    (tmp_path / "a.csv").write_text(CSV_TEXT, encoding="utf-8")
+    (tmp_path / "b.csv").write_text(CSV_TEXT.replace("A-", "B-").rstrip("\n"), encoding="utf-8")
+    whole = [tuple(r) for r in catalog_csv.read_catalog_csv(spark, str(tmp_path), split=False).orderBy("row").collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = [tuple(r) for r in catalog_csv.read_catalog_csv(spark, str(tmp_path)).orderBy("row").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == whole and len(got) == 10
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    (empty / "c.csv").write_text("")
+    assert size > 11 or catalog_csv.read_catalog_csv(spark, str(empty)).count() == 0
