@@ -78,11 +78,12 @@ def quality_snapshot(items: DataFrame, corrections: DataFrame, settings: Quality
     return out if all_models else top_rows(out, [("sample_count", "desc"), ("model", "asc")], 1)
 
 
-def operations_metrics(items: DataFrame, runs: DataFrame, clicks: DataFrame) -> DataFrame:
+def operations_metrics(items: DataFrame, runs: DataFrame, clicks: DataFrame, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """Totals of intake, review and extraction with their rates, in one row.
 
     ``items(status, product_code, duplicate_of, duplicate_work_id, extraction_status)``,
-    ``runs(status, input_tokens, output_tokens)``.
+    ``runs(status, input_tokens, output_tokens)``.  The click-through rate is clicks by candidates,
+    the decided rates are shares of approved and rejected items.  ``tables`` are counted under their names.
     """
     i = items.agg(
         F.count("*").alias("collected"), F.count("product_code").alias("candidates"), F.count_if(F.col("status") == "promoted").alias("approved"),
@@ -97,10 +98,14 @@ def operations_metrics(items: DataFrame, runs: DataFrame, clicks: DataFrame) ->
     )
     c = clicks.agg(F.count("*").alias("affiliate_clicks"))
     row = i.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(c))  # one row each
+    for name, df in (tables or {}).items():
+        row = row.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))
     rate = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+    row = row.withColumn("_decided", F.col("approved") + F.col("rejected"))
     return row.withColumn("errors", F.col("_item_errors") + F.col("_run_errors")).withColumns(
-        {"approval_rate": rate("approved", "candidates"), "rejection_rate": rate("rejected", "candidates"), "duplicate_rate": rate("duplicates", "candidates")}
-    ).drop("_item_errors", "_run_errors")
+        {"approval_rate": rate("approved", "candidates"), "rejection_rate": rate("rejected", "candidates"), "duplicate_rate": rate("duplicates", "candidates"),
+         "decided_approval_rate": rate("approved", "_decided"), "decided_rejection_rate": rate("rejected", "_decided"), "click_through_rate": rate("affiliate_clicks", "candidates")}
+    ).drop("_item_errors", "_run_errors", "_decided")
 
 
 def open_review_queue(items: DataFrame, bucket: str | None = None, limit: int | None = None) -> DataFrame:

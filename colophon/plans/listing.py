@@ -8,6 +8,8 @@ from colophon.operators import ranking, related, search
 from colophon.plans import sqltext as S
 from colophon.plans.bindings import SITE, Tables
 from colophon.plans.registry import query
+from colophon.session import reuse, shared_folder
+from colophon.sources import exports
 
 SHOWN = ("id", "product_code", "title", "popularity")
 SEARCHED = ("id", "product_code", "title", "performer", "maker", "series", "popularity", "created_at", "release_date", "is_published")
@@ -173,6 +175,17 @@ def sitemap_pages(t: Tables):
     return related.sitemap_pages(t.works("id", "product_code", "created_at", "is_published"), SITE)
 
 
+@query("A8_sitemap_written", f"""select cast(floor((rn-1)/1000) as bigint) page, concat('{SITE}/work/', product_code, '?a=1&b=<', maker, '>') url,
+  strftime(created_at,'%Y-%m-%d') lastmod from (select *, row_number() over (order by id) rn from works where is_published)""", "works")
+def sitemap_written(t: Tables):
+    """The sitemap as written and read back, with characters that mark-up must escape."""
+    works = reuse(t.works("id", "product_code", "maker", "created_at", "is_published"), "works")
+    pages = related.sitemap_pages(works, SITE).join(works.select(F.concat(F.lit(f"{SITE}/work/"), "product_code").alias("url"), "maker"), "url")
+    path = shared_folder(t.spark, "sitemap")
+    exports.write_sitemap(pages.withColumn("url", F.concat("url", F.lit("?a=1&b=<"), "maker", F.lit(">"))), path)
+    return exports.read_sitemap(t.spark, path)
+
+
 @query("A8_sitemap_plan", """select 'works' source, cast(greatest(1, ceil(count(*)/1000)) as bigint) pages from works where is_published
   union all select 'posts', cast(ceil(count(*)/1000) as bigint) from posts""", "works posts")
 def sitemap_plan(t: Tables):

@@ -90,13 +90,17 @@ def exists_flag(t: Tables):
 @query("E8_operations_metrics", f"""with {_DUP} select (select count(*) from d) collected, (select count(product_code) from d) candidates, (select count(*) from d where status='promoted') approved, (select count(*) from d where status='ignored') rejected,
   (select count(*) from d where dup) duplicates, (select count(*) from d where status='pending') pending, (select count(*) from conversations) ai_requests, cast((select sum(turn) from conversations) as bigint) input_tokens, cast((select sum(length(text)) from conversations) as bigint) output_tokens,
   (select count(*) from affiliate_clicks) affiliate_clicks, (select count(*) from d where extraction_status='failed') + (select count(*) from conversations where turn=3) errors,
-  round((select count(*) from d where status='promoted')/(select count(product_code) from d)::double,6) approval_rate""", "source_items works affiliate_clicks")
+  round((select count(*) from d where status='promoted')/(select count(product_code) from d)::double,6) approval_rate, round((select count(*) from d where status='ignored')/(select count(product_code) from d)::double,6) rejection_rate,
+  round((select count(*) from d where dup)/(select count(product_code) from d)::double,6) duplicate_rate, round((select count(*) from d where status='promoted')/(select count(*) from d where status in ('promoted','ignored'))::double,6) decided_approval_rate,
+  round((select count(*) from d where status='ignored')/(select count(*) from d where status in ('promoted','ignored'))::double,6) decided_rejection_rate, round((select count(*) from affiliate_clicks)/(select count(product_code) from d)::double,6) click_through_rate,
+  (select count(*) from works) works, (select count(*) from supplier) performers, (select count(distinct maker) from works) makers""", "source_items works affiliate_clicks")
 def operations(t: Tables):
     items = _items(t)
     found = staging.find_candidate_duplicates(items.select("id", "status", "product_code"), _works(t))
     runs = t.raw("conversations").select(F.when(F.col("turn") == 3, "failed").otherwise("completed").alias("status"), F.col("turn").alias("input_tokens"), F.length("text").cast("bigint").alias("output_tokens"))
-    out = review.operations_metrics(items.join(found, "id", "left"), runs, t.affiliate_clicks())
-    return out.drop("rejection_rate", "duplicate_rate").withColumn("approval_rate", F.round("approval_rate", 6))
+    counted = {"works": t.works("id"), "performers": t.performers(), "makers": t.works("maker").filter("maker is not null").distinct()}
+    out = review.operations_metrics(items.join(found, "id", "left"), runs, t.affiliate_clicks(), counted)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith("_rate")})
 
 
 @query("C16_open_review_queue", "select id, model review_bucket, round(confidence::double,6) confidence from source_items where status='pending' order by model, confidence desc nulls last, minutes_old desc, id", "source_items")

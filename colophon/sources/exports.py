@@ -129,13 +129,27 @@ def export_candidates_csv(df: DataFrame, headers: list[str], path: str) -> None:
     ).csv(path)
 
 
+_XML = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;"), ('"', "&quot;"))
+
+
 def write_sitemap(pages: DataFrame, path: str) -> None:
-    """One folder per sitemap page with the page's ``<url>`` lines."""
+    """One folder per sitemap page with the page's ``<url>`` lines in order; ``pages(page, url, lastmod[, position])``."""
     escaped = F.col("url")
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;"), ('"', "&quot;")):
+    for raw, safe in _XML:
         escaped = F.replace(escaped, F.lit(raw), F.lit(safe))
     line = F.concat(F.lit("<url><loc>"), escaped, F.lit("</loc><lastmod>"), F.coalesce("lastmod", F.lit("")), F.lit("</lastmod></url>"))
-    pages.select("page", line.alias("value")).repartition("page").write.mode("overwrite").partitionBy("page").text(path)
+    place = [c for c in ("page", "position") if c in pages.columns]
+    rows = pages.select(*place, line.alias("value")).repartition("page").sortWithinPartitions(*place)
+    rows.select("page", "value").write.mode("overwrite").partitionBy("page").text(path)
+
+
+def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
+    """``page, url, lastmod`` of written sitemap pages; a missing date is null."""
+    url = F.regexp_extract("value", "<loc>(.*?)</loc>", 1)
+    for raw, safe in reversed(_XML):
+        url = F.replace(url, F.lit(safe), F.lit(raw))
+    rows = spark.read.schema("value string, page bigint").text(path)
+    return rows.select("page", url.alias("url"), F.nullif(F.regexp_extract("value", "<lastmod>(.*?)</lastmod>", 1), F.lit("")).alias("lastmod"))
 
 
 def write_partitioned(df: DataFrame, path: str, *columns: str) -> None:
