@@ -212,14 +212,18 @@ def duplicates(t: Tables):
     return a.unionByName(shared.select(F.col("code_key").alias("name"), F.lit("code").alias("kind"), F.lit(None).cast("boolean").alias("conflict")))
 
 
+def renamed_works(t: Tables):
+    """All works, two thirds under a code that no item has."""
+    return t.works("id", "product_code").withColumn("product_code", F.expr("case when id % 3 = 0 then product_code else 'OLD-' || product_code end"))
+
+
 @query("D6_find_duplicates", """
 with k as (select id, status, nullif(regexp_replace(upper(trim(product_code)),'[^A-Z0-9]','','g'),'') code from source_items),
 others as (select a.id, b.id other, row_number() over (partition by a.id order by b.status='promoted' desc, b.id) r from k a join k b on a.code=b.code and a.id<>b.id and b.status in ('pending','promoted'))
-select k.id, other duplicate_of, (select min(w.id) from works w where regexp_replace(upper(w.product_code),'[^A-Z0-9]','','g') = k.code and w.id % 3 = 0) duplicate_work_id
+select k.id, other duplicate_of, (select min(w.id) from works w where regexp_replace(upper(case when w.id % 3 = 0 then w.product_code else 'OLD-' || w.product_code end),'[^A-Z0-9]','','g') = k.code) duplicate_work_id
 from k left join others on others.id = k.id and r = 1""", "source_items works")
 def find_duplicates(t: Tables):
-    works = t.works("id", "product_code").filter("id % 3 = 0")
-    return staging.find_candidate_duplicates(t.source_items().select("id", "status", "product_code"), works)
+    return staging.find_candidate_duplicates(t.source_items().select("id", "status", "product_code"), renamed_works(t))
 
 
 # -- publication ------------------------------------------------------------------------------------

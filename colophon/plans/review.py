@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from colophon.operators import review, staging
 from colophon.plans.bindings import Tables
+from colophon.plans.feed import renamed_works
 from colophon.plans.registry import query
 
 SETTINGS = review.QualitySettings(high=0.8, medium=0.4, auto_approve=0.95, auto_approve_enabled=True, min_samples=50, min_precision=0.5)
@@ -14,13 +15,13 @@ def _items(t: Tables):
 
 
 def _works(t: Tables):
-    return t.works("id", "product_code").filter("id % 3 = 0")
+    return renamed_works(t)
 
 
 _DUP = """
 k as (select *, nullif(regexp_replace(upper(trim(product_code)),'[^A-Z0-9]','','g'),'') code from source_items),
 n as (select code, count(*) filter (where status in ('pending','promoted')) live from k where code is not null group by 1),
-w3 as (select distinct regexp_replace(upper(product_code),'[^A-Z0-9]','','g') code from works where id % 3 = 0),
+w3 as (select distinct regexp_replace(upper(case when id % 3 = 0 then product_code else 'OLD-' || product_code end),'[^A-Z0-9]','','g') code from works),
 d as (select k.*, k.code is not null and (live - case when status in ('pending','promoted') then 1 else 0 end > 0 or w3.code is not null) dup from k left join n on n.code=k.code left join w3 on w3.code=k.code)"""
 
 
