@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from colophon import constants as K
 from colophon.operators.greedy import winners
 from colophon.operators.joins import lookup
-from colophon.operators.ranking import Order, numbered, top_rows
+from colophon.operators.ranking import Order, nearest_ranks, numbered, top_rows
 from colophon.operators.staging import class_counts
 from colophon.session import reuse
 
@@ -122,12 +122,14 @@ def select_lanes(ranked: DataFrame, latest: DataFrame, backfill: DataFrame, size
 def distribution_metrics(df: DataFrame) -> DataFrame:
     """Counts, nearest-rank age percentiles and coverage of a candidate set."""
     total = F.count("*")
-    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by age_days)").cast("bigint")
-    return df.agg(
-        total.alias("count"), disc(0.5).alias("median_age_days"), disc(0.9).alias("p90_age_days"),
-        F.count_if(F.col("age_days") <= 30).alias("recent_30_days"), F.count_if(F.col("age_days") <= 90).alias("recent_90_days"),
+    counts = df.agg(
+        total.alias("count"), F.count_if(F.col("age_days") <= 30).alias("recent_30_days"), F.count_if(F.col("age_days") <= 90).alias("recent_90_days"),
         F.coalesce(F.count("rank_position") / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("popularity_coverage"), F.count_if("already_exists").alias("existing_count"),
     )
+    ages = nearest_ranks(df, [], {"median_age_days": ("age_days", 0.5), "p90_age_days": ("age_days", 0.9)})
+    return counts.crossJoin(F.broadcast(ages)).select(  # one row each
+        "count", *[F.col(c).cast("bigint").alias(c) for c in ("median_age_days", "p90_age_days")], "recent_30_days", "recent_90_days", "popularity_coverage", "existing_count"
+    )
 
 
 def top_groups(df: DataFrame, column: str, limit: int = 10) -> DataFrame:
@@ -159,9 +161,12 @@ def run_stats(entries: DataFrame, states: tuple[str, ...]) -> DataFrame:
     before = placed.select("run_id", (F.col("_place") + 1).alias("_place"), F.col("finished_ms").alias("_before"))
     rows = placed.join(before, ["run_id", "_place"], "left")
     rows = rows.withColumns({"latency": F.col("finished_ms") - F.col("started_ms"), "gap": F.col("started_ms") - F.col("_before")})
-    disc = lambda c, p: F.coalesce(F.expr(f"percentile_disc({p}) within group (order by {c})").cast("double"), F.lit(0.0))
-    return rows.groupBy("run_id").agg(
+    rows = reuse(rows, "latencies")
+    counts = rows.groupBy("run_id").agg(
         F.count("*").alias("total"), *[F.count_if(F.col("state") == s).alias(s.lower()) for s in states],
-        F.coalesce(F.avg("latency"), F.lit(0.0)).alias("latency_avg"), disc("latency", 0.5).alias("latency_p50"), disc("latency", 0.95).alias("latency_p95"),
-        F.coalesce(F.avg("gap"), F.lit(0.0)).alias("gap_avg"), disc("gap", 0.95).alias("gap_p95"),
+        F.coalesce(F.avg("latency"), F.lit(0.0)).alias("latency_avg"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("gap_avg"),
     )
+    ranks = nearest_ranks(rows, ["run_id"], {"latency_p50": ("latency", 0.5), "latency_p95": ("latency", 0.95), "gap_p95": ("gap", 0.95)})
+    figures = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("latency_p50", "latency_p95", "gap_p95")]
+    named = ranks.withColumnRenamed("run_id", "_run")
+    return counts.join(named, F.col("run_id").eqNullSafe(F.col("_run"))).select("run_id", "total", *[s.lower() for s in states], "latency_avg", *figures[:2], "gap_avg", figures[2])

@@ -64,6 +64,31 @@ def running_totals(df: DataFrame, order: Order, values: dict[str, str], buckets:
     )
 
 
+def nearest_ranks(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Nearest-rank percentiles per group: ``wanted`` names a value column and a share for each new column.
+
+    Values are counted, and a value's rank is a running total over ranges of (group, value), so no
+    task holds the values of a large group.  Nulls are left out; a group without values has nulls.
+    """
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Left join on the keys, nulls as values; on one row without keys."""
+        if not keys:
+            return left.crossJoin(F.broadcast(right))
+        named = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+        on = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+        return left.join(named, on, "left").drop(*[f"_key_{k}" for k in keys])
+
+    out = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    for value in dict.fromkeys(v for v, _ in wanted.values()):
+        counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+        placed = reuse(running_totals(counts, [(c, "asc") for c in (*keys, value)], {"_before": "_n"}), "places")
+        groups = placed.groupBy(*keys).agg(F.min("_before").alias("_base"), F.sum("_n").alias("_total"))
+        upto = F.col("_before") - F.col("_base") + F.col("_n")
+        picks = [F.min(F.when(upto >= F.ceil(F.col("_total") * share - 1e-9), F.col(value))).alias(name) for name, (v, share) in wanted.items() if v == value]
+        out = met(out, met(placed, groups).groupBy(*keys).agg(*picks))
+    return out
+
+
 def top_within(df: DataFrame, keys: list[str], order: Order, k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows per group.  Spark trims each task to ``k`` rows before the shuffle."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by(order)))

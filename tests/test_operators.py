@@ -38,6 +38,19 @@ def test_numbered_of_nothing(spark):
     assert ranking.numbered(df, [], [("v", "desc"), ("id", "asc")]).count() == 0
 
 
+def test_nearest_ranks(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(30)])) for _ in range(400)] + [("c", 5), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    got = {r.k: (r.p50, r.p95) for r in ranking.nearest_ranks(df, ["k"], {"p50": ("v", 0.5), "p95": ("v", 0.95)}).collect()}
+    for k in {k for k, _ in rows}:
+        own = sorted(v for x, v in rows if x == k and v is not None)
+        assert got[k] == tuple(own[-(-len(own) * p // 100) - 1] if own else None for p in (50, 95))
+    every = sorted(v for _, v in rows if v is not None)
+    assert ranking.nearest_ranks(df, [], {"p": ("v", 0.9)}).first().p == every[-(-len(every) * 9 // 10) - 1]
+    assert ranking.nearest_ranks(df.limit(0), [], {"p": ("v", 0.9)}).first().p is None
+
+
 def brute_first_come(rows):
     ids, keys, kept = set(), set(), []
     for pos, a, b in rows:
