@@ -21,8 +21,8 @@ def performer_stats(works: DataFrame, performer: str | None = None) -> DataFrame
     return pairs.groupBy("performer").agg(F.sum("n").alias("work_count"), F.count("maker").alias("maker_count"))
 
 
-def performers_sharing(works: DataFrame, performer: str, column: str, limit: int = 8) -> DataFrame:
-    """Other performers with works of the same makers (or genres) as one performer."""
+def performers_sharing(works: DataFrame, performer: str, column: str, limit: int | None = 8) -> DataFrame:
+    """Other performers with works of the same makers (or genres) as one performer; all of them without a limit."""
     published = works.filter("is_published")
     mine = published.filter((F.col("performer") == performer) & F.col(column).isNotNull()).select(column).distinct()
     others = published.filter(F.col("performer").isNotNull() & (F.col("performer") != performer))
@@ -30,7 +30,7 @@ def performers_sharing(works: DataFrame, performer: str, column: str, limit: int
         F.count("*").alias("work_count"), F.sum(F.coalesce("popularity", F.lit(0))).alias("popularity")
     )
     order = [("popularity", "desc"), ("work_count", "desc"), ("performer", "asc")]
-    return top_rows(grouped, order, limit)
+    return grouped if limit is None else top_rows(grouped, order, limit)
 
 
 def recommend(works: DataFrame, context: dict | None = None, limit: int = 12) -> DataFrame:

@@ -147,7 +147,7 @@ def period_table(t: Tables):
 def shared_attribute(t: Tables):
     from colophon.operators.related import performers_sharing
 
-    return performers_sharing(t.works("performer", "maker", "popularity", "is_published"), "Supplier#000000003", "maker", 30).select("performer")
+    return performers_sharing(t.works("performer", "maker", "popularity", "is_published"), "Supplier#000000003", "maker", None).select("performer")
 
 
 @query("H1_union_entities", """select kind, count(*) n, count(distinct name) names from (select 'performer' kind, performer as name from works where performer is not null union all select 'maker', maker from works union all select 'series', series from works) group by 1""", "works")
