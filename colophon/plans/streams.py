@@ -9,7 +9,7 @@ from colophon.streaming import jobs
 
 
 def _events(t: Tables):
-    raw = jobs.read_event_stream(t.spark, t.sf_dir, t.raw("events").schema, "events.parquet")
+    raw = jobs.read_table_stream(t.spark, f"{t.sf_dir}/events.parquet", t.raw("events").schema)
     n = t.raw("part").count()
     k = F.get_json_object("props", "$.k").cast("bigint")
     return raw.select("event_id", "ts", F.col("user_id").alias("session_id"), "event_type", ((F.col("event_id") * 7 + k) % n).alias("work_id"))
@@ -97,7 +97,7 @@ with c as (select doc_id, unnest(list_distinct(list_transform(range(1, len(h)+1)
   select doc_id, regexp_extract_all(text, '\b([A-Za-z]{2,12})[\s_-]?([0-9]{2,8})\b', 1) h, regexp_extract_all(text, '\b([A-Za-z]{2,12})[\s_-]?([0-9]{2,8})\b', 2) n from documents))
 select concat(cast(doc_id as varchar), ':', code) source_key, code product_code from c""")
 def ingest(t: Tables):
-    docs = jobs.read_event_stream(t.spark, t.sf_dir, t.raw("documents").schema, "documents.parquet")
+    docs = jobs.read_table_stream(t.spark, f"{t.sf_dir}/documents.parquet", t.raw("documents").schema)
     posts = docs.select(F.col("doc_id").alias("post_id"), "text", F.timestamp_seconds(F.col("doc_id") + 1700000000).alias("observed_at"))
     folder = shared_folder(t.spark, "ingest")
     jobs.stream_ingest_items(posts, f"{folder}/items", f"{folder}/checkpoint", "posts", "https://posts.example/status/").awaitTermination()

@@ -29,6 +29,12 @@ def read_event_stream(spark: SparkSession, folder: str, schema, pattern: str = "
     return reader.parquet(folder)
 
 
+def read_table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """One Parquet table as a stream, be it a single file or a folder of files."""
+    # a glob of one name: without it Spark takes the path of a file for a folder
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def event_time(c: str = "ts") -> Column:
     """A zone-less timestamp as an instant, read as UTC whatever the session's zone (watermarks
     need an instant)."""

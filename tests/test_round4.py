@@ -10,3 +10,21 @@ def test_all_performers_who_share_a_maker(spark):
     works = spark.createDataFrame(rows, "performer string, maker string, popularity long, is_published boolean")
     assert performers_sharing(works, "p00", "maker", None).count() == 44
     assert performers_sharing(works, "p00", "maker").count() == 8
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    from colophon.streaming import jobs
+
+    df = spark.range(20).withColumn("ts", F.lit("t"))
+    df.repartition(3).write.parquet(str(tmp_path / "in" / "events.parquet"))
+    single = tmp_path / "single" / "events.parquet"
+    single.parent.mkdir()
+    part = next((tmp_path / "in" / "events.parquet").glob("part-*"))
+    single.write_bytes(part.read_bytes())
+    counts = []
+    for folder in ("in", "single"):
+        out = str(tmp_path / f"out-{folder}")
+        stream = jobs.read_table_stream(spark, f"{tmp_path}/{folder}/events.parquet", df.schema)
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-cp").trigger(availableNow=True).start(out).awaitTermination()
+        counts.append(spark.read.parquet(out).count())
+    assert counts == [20, spark.read.parquet(str(part)).count()]
