@@ -28,3 +28,15 @@ def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
         stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-cp").trigger(availableNow=True).start(out).awaitTermination()
         counts.append(spark.read.parquet(out).count())
     assert counts == [20, spark.read.parquet(str(part)).count()]
+
+
+def test_changed_ranges_where_a_row_takes_the_id_of_one_that_went(spark, tmp_path):
+    from colophon.plans import intake
+    from colophon.plans.bindings import Tables
+
+    # ``gone + 1000000`` goes, and ``gone`` comes again under that id with the same price
+    gone = next(k for k in range(1, 10**6) if k % 211 == 0 and (k + 1000000) % 151 == 0 and k % 97 and k % 151)
+    rows = [(k, "red bolt", "Brand#1", "BOLT", 1, 5.0) for k in (151, gone, gone + 1000000)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["range"] for r in intake.changed_ranges(Tables(spark, str(tmp_path))).collect()}
+    assert got == {15}
