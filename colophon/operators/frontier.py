@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colophon import constants as K
@@ -29,21 +31,25 @@ def membership_hashes(df: DataFrame, window: str, position: str, id_col: str, pa
     return checked.withColumn("rows", F.when(F.col("rows") > limit, F.raise_error("manifest window too large")).otherwise(F.col("rows")))
 
 
-def manifest_digest(df: DataFrame, order: Order, id_col: str, payload: str, fan: int = K.MANIFEST_ROWS_MAX) -> DataFrame:
+def manifest_digest(df: DataFrame, order: Order, id_col: str, payload: str, fan: int = K.MANIFEST_ROWS_MAX, steps: int | None = None) -> DataFrame:
     """One row for a manifest of any size: ``rows, membership_sha256, payload_sha256``.
 
     The ordered rows are hashed in windows of ``fan``, then the ordered hashes of ``fan`` windows
     each, and so on until one is left; two steps are made at least.  No task holds more than
     ``fan`` lines of a window.  No rows give no digest.
+
+    With ``steps`` so many are made, and the last one hashes all that is left at once: after two
+    steps that is a line of 65 bytes for each ``fan`` rows in one task.
     """
     placed = numbered(df.select(id_col, F.col(payload).alias("_payload"), *[c for c, _ in order if c not in (id_col, payload)]), [], order, "_place")
     level = placed.withColumn("_window", F.floor((F.col("_place") - 1) / fan).cast("bigint"))
     level = reuse(membership_hashes(level, "_window", "_place", id_col, "_payload", fan), "manifest")
-    while True:
-        up = level.withColumn("_up", F.floor(F.col("_window") / fan).cast("bigint"))
+    for step in count(2):
+        last = step == steps
+        up = level.withColumn("_up", F.lit(0).cast("bigint") if last else F.floor(F.col("_window") / fan).cast("bigint"))
         hashes = [_ordered_hash(F.struct(F.col("_window").alias("at"), F.concat(c, F.lit("\n")).alias("line"))).alias(c) for c in ("membership_sha256", "payload_sha256")]
         level = reuse(up.groupBy(F.col("_up").alias("_window")).agg(F.sum("rows").alias("rows"), *hashes), "manifest")
-        if level.count() <= 1:
+        if last or level.count() <= 1:
             return level.drop("_window")
 
 

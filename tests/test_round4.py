@@ -40,3 +40,15 @@ def test_changed_ranges_where_a_row_takes_the_id_of_one_that_went(spark, tmp_pat
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
     got = {r["range"] for r in intake.changed_ranges(Tables(spark, str(tmp_path))).collect()}
     assert got == {15}
+
+
+def test_manifest_digest_of_two_steps(spark):
+    import hashlib
+
+    from colophon.operators import frontier
+
+    codes = [f"c{i}" for i in range(53)]
+    rows = spark.createDataFrame(list(enumerate(codes)), "at long, code string").withColumn("payload", F.lit("h")).repartition(5)
+    got = frontier.manifest_digest(rows, [("at", "asc")], "code", "payload", fan=3, steps=2).first()
+    sha = lambda lines: hashlib.sha256("".join(f"{x}\n" for x in lines).encode()).hexdigest()
+    assert got.rows == 53 and got.membership_sha256 == sha([sha(codes[k : k + 3]) for k in range(0, 53, 3)])
