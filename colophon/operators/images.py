@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colophon.functions.codes import blank_to_null, canonical_code
+from colophon.operators.joins import by_key
 from colophon.operators.ranking import latest_per_key, top_within
 
 # fixed values: thresholds and weights of the scorer
@@ -114,17 +115,18 @@ def candidate_risk(low_resolution: bool = True) -> Column:
     return F.coalesce(risk, F.lit(False))
 
 
-def classify_works(scored: DataFrame) -> DataFrame:
+def classify_works(scored: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Best and second candidate per work with class A, B or C, reasons and gaps.
 
-    ``scored(code, candidate_id, type, score, ...)``; equal scores go by ``candidate_id``.
+    ``scored(code, candidate_id, type, score, ...)``; equal scores go by ``candidate_id``.  Columns
+    of ``carry`` are those of the best candidate, named ``best_...``.
     """
     rows = scored.withColumn("risk", candidate_risk())
-    top = top_within(rows.select("code", "candidate_id", "type", "score", "risk"), ["code"], [("score", "desc"), ("candidate_id", "asc")], 2, "_n")
+    top = top_within(rows.select("code", "candidate_id", "type", "score", "risk", *carry), ["code"], [("score", "desc"), ("candidate_id", "asc")], 2, "_n")
     pick = lambda n, c: F.max(F.when(F.col("_n") == n, F.col(c)))
     best = top.groupBy("code").agg(
         pick(1, "candidate_id").alias("best_id"), pick(1, "type").alias("best_type"), pick(1, "score").alias("best_score"), pick(1, "risk").alias("best_risk"),
-        pick(2, "candidate_id").alias("runner_id"), pick(2, "type").alias("runner_type"), pick(2, "score").alias("runner_score"),
+        pick(2, "candidate_id").alias("runner_id"), pick(2, "type").alias("runner_type"), pick(2, "score").alias("runner_score"), *[pick(1, c).alias(f"best_{c}") for c in carry],
     )
     first = lambda t, c: F.max_by(F.when(F.col("type") == t, F.col(c)), F.when(F.col("type") == t, F.struct("score", -F.col("candidate_id"))))
     facts = rows.groupBy("code").agg(
@@ -132,7 +134,7 @@ def classify_works(scored: DataFrame) -> DataFrame:
         F.max((F.col("type") == "sample") & ~F.col("excluded")).alias("has_sample"), F.count_if("excluded").alias("excluded_candidates"),
         F.max(F.col("type") == "dvd_center").alias("has_center"),
     )
-    j = best.join(facts, "code")
+    j = best.join(by_key(facts), "code")
     rescue = F.coalesce(F.col("_ff.side_band"), F.lit(False)) | F.coalesce(F.col("_rf.cut"), F.lit(False)) | F.coalesce(F.col("_rf.body"), F.lit(False)) | F.coalesce(F.col("right_score") < AUTO_THRESHOLD, F.lit(False))
     j = j.withColumns({
         "center_eligible": (F.col("best_type") != "dvd_center") | rescue,
@@ -157,14 +159,13 @@ def decide_images(works: DataFrame, scored: DataFrame) -> DataFrame:
 
     ``works(code, current_url, current_type)``; candidates carry ``url``.
     """
-    gate = classify_works(scored)
-    urls = scored.select("code", F.col("candidate_id").alias("best_id"), F.col("url").alias("_best_url"), F.col("reasons").alias("_best_reasons"))
-    j = works.join(gate, "code", "left").join(urls, ["code", "best_id"], "left")
-    named = scored.select("code", "type", "score", "flags", "url").join(works, "code")
+    gate = classify_works(scored, ("url", "reasons")).withColumnsRenamed({"best_url": "_best_url", "best_reasons": "_best_reasons"})
+    j = works.join(by_key(gate), "code", "left")
+    named = scored.select("code", "type", "score", "flags", "url").join(by_key(works), "code")
     hit = F.when(F.col("current_type").isin("dvd_right", "dvd_center"), F.col("type") == F.col("current_type")).otherwise((F.col("url") == F.col("current_url")) | ((F.col("current_type") == "dvd_full") & (F.col("type") == "dvd_full")))
     exact = F.when(F.col("url") == F.col("current_url"), 1).otherwise(0)
     current = named.filter(hit).groupBy("code").agg(F.max_by("score", F.struct(exact, "score")).alias("current_score"), F.max_by("flags", F.struct(exact, "score")).alias("_cf"))
-    j = j.join(current, "code", "left")
+    j = j.join(by_key(current), "code", "left")
     review = F.coalesce(F.col("needs_review"), F.lit(True))
     made = F.when(F.col("best_type") == "dvd_right", F.concat(F.lit("/card-thumbnails/"), "code", F.lit("-auto-right.jpg"))).when(
         F.col("best_type") == "dvd_center", F.concat(F.lit("/card-thumbnails/"), "code", F.lit("-auto-center.jpg"))).otherwise(F.col("_best_url"))
@@ -208,7 +209,7 @@ def rank_labelled(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     clearly beat the package and the next sample, else the package order decides."""
     scored = score_labelled(candidates)
     marks = labels.groupBy(*IDENTITY).agg(F.max(F.col("label") == "NEGATIVE").alias("_neg"), F.max(F.col("label") == "POSITIVE").alias("_pos"))
-    j = scored.join(marks, list(IDENTITY), "left").fillna(False, ["_neg", "_pos"])
+    j = scored.join(by_key(marks), list(IDENTITY), "left").fillna(False, ["_neg", "_pos"])
     live = j.filter(~F.col("_neg"))
     mode = lambda m: F.col("mode") == m
     sides = F.coalesce(F.col("sides_invalid"), F.lit(False))
@@ -222,7 +223,9 @@ def rank_labelled(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     two = top_within(live, ["code"], [("score", "desc"), ("source_id", "asc")], 2, "_n").groupBy("code").agg(
         F.max(F.when(F.col("_n") == 1, F.struct("source_id", "mode", "score"))).alias("a"), F.max(F.when(F.col("_n") == 2, F.struct("source_id", "mode", "score"))).alias("b"))
     pos = j.filter("_pos").groupBy("code").agg(F.count("*").alias("_np"), F.max("_neg").alias("_clash"), F.max(row).alias("p"))
-    k = candidates.select("code").distinct().join(packs, "code", "left").join(samples, "code", "left").join(two, "code", "left").join(pos, "code", "left")
+    k = candidates.select("code").distinct()
+    for part in (packs, samples, two, pos):
+        k = k.join(by_key(part), "code", "left")
     k = k.withColumn("pack", pack)
     inf = F.lit(float("inf"))
     versus = F.when(F.col("s1").isNull(), -inf).when(F.col("pack").isNull(), inf).otherwise(F.col("s1.score") - F.col("pack.score"))
@@ -265,12 +268,14 @@ def candidate_records(works: DataFrame, scored: DataFrame) -> DataFrame:
 
     Candidates carry ``source_id, url, source_hash, output_hash, sample_index, crop_left, crop_width``.
     """
-    gate = classify_works(scored)
+    carried = ("source_id", "url", "source_hash", "output_hash", "sample_index", "crop_left", "crop_width", "reasons", "flags")
+    gate = classify_works(scored, carried)
     pairs = [F.lit(x) for kv in MODE_OF_TYPE.items() for x in kv]
     mode = F.create_map(*pairs)
-    c = scored.select("code", F.col("candidate_id").alias("best_id"), mode[F.col("type")].alias("candidate_mode"), F.col("source_id").alias("candidate_source_id"), F.col("url").alias("candidate_url"),
-                      F.col("source_hash").alias("candidate_source_hash"), F.col("output_hash").alias("candidate_output_hash"), "sample_index", "crop_left", "crop_width", F.to_json("reasons").alias("candidate_reasons"), F.to_json("flags").alias("risk_flags"))
-    j = works.join(gate, "code", "left").join(c, ["code", "best_id"], "left").withColumn("runner_up_mode", mode[F.col("runner_type")])
+    j = works.join(by_key(gate), "code", "left").withColumns({
+        "candidate_mode": mode[F.col("best_type")], "candidate_reasons": F.to_json("best_reasons"), "risk_flags": F.to_json("best_flags"), "runner_up_mode": mode[F.col("runner_type")],
+    }).drop("best_reasons", "best_flags")
+    j = j.withColumnsRenamed({f"best_{c}": f"candidate_{c}" for c in ("source_id", "url", "source_hash", "output_hash")} | {f"best_{c}": c for c in ("sample_index", "crop_left", "crop_width")})
     m, sid = F.col("candidate_mode"), F.col("candidate_source_id")
     pattern_ok = reduce(lambda a, b: a | b, [(m == k) & sid.rlike(v) for k, v in SOURCE_ID_PATTERNS.items()])
     hashes = F.col("candidate_source_hash").rlike(SHA256_PATTERN) & F.col("candidate_output_hash").rlike(SHA256_PATTERN)
@@ -373,11 +378,11 @@ def apply_stage_decisions(records: DataFrame, decisions: DataFrame, candidates:
     """
     table = F.create_map(*[x for k, (d, m, t, s) in FINAL_DECISIONS.items() for x in (F.lit(k), F.struct(F.lit(d).cast("string").alias("d"), F.lit(m).cast("string").alias("m"), F.lit(t).cast("string").alias("t"), F.lit(s).cast("string").alias("s")))])
     d = decisions.select("code", F.col("classification").alias("_class"), F.col("source_id").alias("_sid")).withColumn("_f", table[F.col("_class")])
-    j = records.join(d, "code", "left")
+    j = records.join(by_key(d), "code", "left")
     wanted = F.coalesce("_f.s", F.when(F.col("_class") == "FINAL_SAMPLE", F.col("_sid")))
     j = j.withColumn("_want", wanted)
     have = candidates.groupBy("code", F.col("source_id").alias("_want")).agg(F.min("url").alias("_url"))
-    j = j.join(have, ["code", "_want"], "left")
+    j = j.join(by_key(have), ["code", "_want"], "left")
     final = F.col("_f").isNotNull()
     needs = F.col("_f.t").isNotNull()
     issue = (
@@ -410,8 +415,13 @@ def review_sheet_class(decided: DataFrame, scored: DataFrame) -> DataFrame:
     )
     two = top_within(rows.select("code", "candidate_id", "score"), ["code"], [("score", "desc"), ("candidate_id", "asc")], 2, "_n").groupBy("code").agg(
         F.max(F.when(F.col("_n") == 1, F.col("score"))).alias("_s1"), F.max(F.when(F.col("_n") == 2, F.col("score"))).alias("_s2"))
-    by_type = rows.groupBy("code", F.col("type").alias("next_type")).agg(F.max_by("_risk", order).alias("_next_risk"))
-    j = decided.join(facts, "code", "left").join(two, "code", "left").join(by_type, ["code", "next_type"], "left")
+    by_type = rows.groupBy("code", "type").agg(F.max_by("_risk", order).alias("_risk"))
+    # an entry a type, of which there are few
+    risks = by_type.filter("type is not null").groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("type", "_risk"))).alias("_risks"))
+    j = decided
+    for part in (facts, two, risks):
+        j = j.join(by_key(part), "code", "left")
+    j = j.withColumn("_next_risk", F.try_element_at("_risks", F.col("next_type")))
     gain = F.coalesce(F.col("gain"), F.coalesce("next_score", F.lit(0)) - F.coalesce("current_score", F.lit(0)))
     ok = lambda c: F.coalesce(c, F.lit(True))
     yes = lambda c: F.coalesce(c, F.lit(False))

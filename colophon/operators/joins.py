@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 DEALT = 4096
 
 
+def by_key(other: DataFrame) -> DataFrame:
+    """The right side of a join, told to be sorted by its key rather than sent whole to driver and tasks.
+
+    Spark guesses the size of derived rows from the files they come from, so a table of many rows
+    made of a few columns would be broadcast.
+    """
+    return other.hint("merge")
+
+
 def lookup(df: DataFrame, other: DataFrame, key: str, how: str = "left", spread: list[Column] | None = None) -> DataFrame:
     """Join with ``other`` on a key that may be null in a large share of the rows of ``df``.
 

@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from colophon.operators.joins import lookup
 from colophon.operators.ranking import numbered
+from colophon.session import partitions_of
 
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_DAY = "2024-01-31"
+#: works in a task where each becomes several wide rows
+WORKS_A_TASK = 20_000
 WORK_COLUMNS = (
     "id", "product_code", "title", "performer", "maker", "series", "genre", "duration", "price",
     "popularity", "favorite_count", "created_at", "release_date", "is_published",
@@ -70,6 +73,15 @@ class Tables:
                 df = df.withColumn("favorite_count", F.coalesce("favorite_count", F.lit(0)))
         return df.select(*(columns or WORK_COLUMNS))
 
+    def works_by_code(self, *columns: str) -> DataFrame:
+        """The works dealt by code, as many a task however large the table: what each work is made into stays in its task."""
+        parts = max(partitions_of(self.spark), -(-self._work_count // WORKS_A_TASK))
+        return self.works(*columns).repartition(parts, "product_code")
+
+    @cached_property
+    def _work_count(self) -> int:
+        return self.raw("part").count()
+
     def _work_facts(self, facts: set[str]) -> DataFrame:
         lines = self.raw("lineitem")
         per_order = facts & {"favorite_count", "created_at"}

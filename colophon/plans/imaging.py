@@ -13,7 +13,7 @@ TYPES = ("dvd_full", "dvd_right", "dvd_center", "sample", "sample", "vertical_pa
 
 def features(t: Tables):
     """Six candidates per work with measured features."""
-    w = t.works("id", "product_code")
+    w = t.works_by_code("id", "product_code")
     kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("type")) for k, x in enumerate(TYPES)])
     rows = w.select("id", F.col("product_code").alias("code"), F.inline(kinds))
     i, k = F.col("id"), F.col("k")
@@ -72,7 +72,7 @@ def _current(t: Tables):
     i = F.col("id")
     kind = F.when(i % 3 == 0, "dvd_right").when(i % 3 == 1, "dvd_full").otherwise("sample")
     url = F.concat(F.lit("https://pics.example/"), i.cast("string"), F.lit("/"), F.when(i % 3 == 0, "1").when(i % 3 == 1, "0").otherwise("3"), F.lit(".jpg"))
-    return t.works("id", "product_code").select(F.col("product_code").alias("code"), url.alias("current_url"), kind.alias("current_type"))
+    return t.works_by_code("id", "product_code").select(F.col("product_code").alias("code"), url.alias("current_url"), kind.alias("current_type"))
 
 
 _DECIDED = _SCORED + """,
@@ -119,7 +119,7 @@ def pick(t: Tables):
 # -- labelled ranking ---------------------------------------------------------------------------
 def _labelled(t: Tables):
     modes = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("mode"), F.lit(s).alias("source_id")) for k, (m, s) in enumerate((("PACKAGE_RIGHT", "dvd:right"), ("PACKAGE_FULL", "dvd:full"), ("PACKAGE_CENTER", "dvd:center"), ("SAMPLE", "sample:1"), ("SAMPLE", "sample:2")))])
-    rows = t.works("id", "product_code").select("id", F.col("product_code").alias("code"), F.inline(modes))
+    rows = t.works_by_code("id", "product_code").select("id", F.col("product_code").alias("code"), F.inline(modes))
     i, k = F.col("id"), F.col("k")
     value = lambda n: (i * (n + 3) + k * (n + 7)) % 25 - 2
     flags = {c: (i + k * n) % (7 + n) == 0 for n, (c, _, _) in enumerate(images.PENALTIES)}
@@ -159,7 +159,7 @@ def rank_labelled(t: Tables):
 def dedupe_samples(t: Tables):
     base = F.concat(F.lit("https://pics.example/"), F.col("id").cast("string"))
     pairs = [F.concat(base, F.lit(f"/{name}{n}.jpg")) for n in (1, 2, 3) for name in ("a-", "ajp-")]
-    return images.dedupe_samples(t.works("id", "product_code").select(F.col("product_code").alias("code"), F.array(*pairs, F.concat(base, F.lit("/b-9.jpg"))).alias("sample_images")))
+    return images.dedupe_samples(t.works_by_code("id", "product_code").select(F.col("product_code").alias("code"), F.array(*pairs, F.concat(base, F.lit("/b-9.jpg"))).alias("sample_images")))
 
 
 @query("J7_vector_distance", """with f as (select label, arg_min(embedding, vec_id) v, min(vec_id) first_id from embeddings group by 1)
@@ -216,7 +216,7 @@ def build_registry(t: Tables):
 
 def _funnel(t: Tables):
     i = F.col("id")
-    return t.works("id", "product_code").select(
+    return t.works_by_code("id", "product_code").select(
         i, F.col("product_code").alias("code"), F.when(i % 2 == 0, "SAMPLE_POTENTIALLY_COMPETITIVE").otherwise("FINAL_FULL").alias("stage1"), F.when(i % 4 == 0, "SAMPLE_STILL_COMPETITIVE").alias("stage2"), F.lit(None).cast("string").alias("stage3"),
         F.when(i % 2 == 1, "APPROVE_FULL").alias("final_decision"), F.when(i % 2 == 1, "PACKAGE_FULL").alias("final_mode"), F.when(i % 2 == 1, "dvd:full").alias("final_source_id"), F.lit(None).cast("string").alias("final_url"), F.when(i % 2 == 1, 1).alias("decision_stage"))
 
@@ -230,7 +230,7 @@ def staged_codes(t: Tables):
   case when id%2=1 and id%3=0 then 'FINAL_DECISION_ALREADY_RECORDED' when id%6=2 and id%5=0 then 'SAMPLE_SOURCE_ID_REQUIRED' end issue from works""", "works")
 def apply_stage(t: Tables):
     i = F.col("id")
-    d = t.works("id", "product_code").filter("id % 3 <> 1").select(
+    d = t.works_by_code("id", "product_code").filter("id % 3 <> 1").select(
         F.col("product_code").alias("code"), F.when(i % 3 == 0, "FINAL_RIGHT").when(i % 2 == 0, "FINAL_SAMPLE").otherwise("FINAL_FULL").alias("classification"), F.when(i % 5 == 0, "x").otherwise("sample:1").alias("source_id"))
     return images.apply_stage_decisions(_funnel(t), d, features(t), 2).select("id", "final_decision", "issue")
 

@@ -52,3 +52,21 @@ def test_manifest_digest_of_two_steps(spark):
     got = frontier.manifest_digest(rows, [("at", "asc")], "code", "payload", fan=3, steps=2).first()
     sha = lambda lines: hashlib.sha256("".join(f"{x}\n" for x in lines).encode()).hexdigest()
     assert got.rows == 53 and got.membership_sha256 == sha([sha(codes[k : k + 3]) for k in range(0, 53, 3)])
+
+
+def test_derived_candidates_are_never_broadcast(spark):
+    import __spark_entry__ as entry
+
+    for name in ("J3_decide_image", "J4_rank_labelled", "J6_candidate_records", "J10_apply_stage", "J11_review_sheet_class", "E19_candidate_summary", "J2_classify"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan, name
+
+
+def test_sheet_class_of_types_without_a_candidate(spark):
+    from colophon.operators import images
+
+    flags = "struct(false body, false face, false plain, false cut, false side_band, false dense, false jacket) flags, struct(0 body_part, 0 face_only, 0 scene_photo) parts"
+    scored = spark.sql(f"select 'c' code, id candidate_id, if(id = 1, 'dvd_full', 'dvd_right') type, cast(100 - id * 30 as int) score, false excluded, false review, array('x') reasons, {flags} from range(1, 3)")
+    decided = spark.createDataFrame([("c", "dvd_full", 90, 10, 40), ("c", "needs_review", 90, 10, 40), ("d", None, None, None, None)], "code string, next_type string, next_score int, current_score int, gain int")
+    got = {(r.code, r.next_type): r.sheet_class for r in images.review_sheet_class(decided, scored).collect()}
+    assert got == {("c", "dvd_full"): "A", ("c", "needs_review"): "A", ("d", None): "C"}
