@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colophon import constants as K
+from colophon.operators.joins import by_key
 from colophon.operators.ranking import Order, numbered, top_rows, top_within
 from colophon.session import reuse
 
@@ -69,10 +70,10 @@ def recommend_all(works: DataFrame, profiles: DataFrame, limit: int = 12) -> Dat
     heads = top_within(slim.withColumn("key", F.explode(keys(F.col))), ["key"], order, limit, "_place").drop("_place")
     visitors = profiles.select("visitor", *TERMS[:3], "genres").withColumn("genre", F.explode_outer(F.array_distinct("genres")))
     terms = visitors.select("visitor", F.explode(keys(F.col)).alias("key")).distinct()
-    met = terms.join(heads.select("key", "id"), "key").select("visitor", "id")
+    met = terms.join(by_key(heads.select("key", "id")), "key").select("visitor", "id")
     first = F.broadcast(top_rows(slim, order, limit).select("id"))  # ``limit`` rows
     met = met.unionByName(profiles.select("visitor").distinct().crossJoin(first)).distinct()
-    scored = met.join(slim, "id").join(profiles.select("visitor", *[F.col(t).alias(f"_{t}") for t in TERMS[:3]], F.col("genres").alias("_genres")), "visitor")
+    scored = met.join(by_key(slim), "id").join(by_key(profiles.select("visitor", *[F.col(t).alias(f"_{t}") for t in TERMS[:3]], F.col("genres").alias("_genres"))), "visitor")
     same = [F.when(F.col(t) == F.col(f"_{t}"), w[t]).otherwise(0) for t in TERMS[:3]]
     liked = F.when(F.coalesce(F.array_contains("_genres", F.col("genre")), F.lit(False)), w["genre"]).otherwise(0)
     scored = scored.select("visitor", "id", (F.col("own") + sum(same, liked)).cast("double").alias("score"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from colophon.operators import metrics, ranking, related
+from colophon.operators.joins import by_key
 from colophon.plans.bindings import AS_OF, Tables
 from colophon.plans.registry import query
 from colophon.session import reuse
@@ -188,7 +189,7 @@ def recommend_all(t: Tables):
     """Every session: the cast, maker and series of what it saw last, the genres of the last three."""
     works = reuse(t.works("id", "performer", "maker", "series", "genre", "popularity", "favorite_count", "is_published"), "works")
     views = ranking.top_within(t.page_views(), ["session_id"], [("ts", "desc"), ("event_id", "desc")], 3, "_r")
-    seen = views.join(works.select(F.col("id").alias("work_id"), "performer", "maker", "series", "genre"), "work_id")
+    seen = views.join(by_key(works.select(F.col("id").alias("work_id"), "performer", "maker", "series", "genre")), "work_id")
     last = lambda c: F.max(F.when(F.col("_r") == 1, F.col(c))).alias(c)
     profiles = reuse(seen.groupBy(F.col("session_id").alias("visitor")).agg(last("performer"), last("maker"), last("series"), F.collect_set("genre").alias("genres")), "profiles")  # three rows a session
     return related.recommend_all(works, profiles, 5).select(F.col("visitor").alias("session_id"), F.col("id").alias("work_id"), "score", "rank")

@@ -70,3 +70,10 @@ def test_sheet_class_of_types_without_a_candidate(spark):
     decided = spark.createDataFrame([("c", "dvd_full", 90, 10, 40), ("c", "needs_review", 90, 10, 40), ("d", None, None, None, None)], "code string, next_type string, next_score int, current_score int, gain int")
     got = {(r.code, r.next_type): r.sheet_class for r in images.review_sheet_class(decided, scored).collect()}
     assert got == {("c", "dvd_full"): "A", ("c", "needs_review"): "A", ("d", None): "C"}
+
+
+def test_visitors_meet_no_broadcast_table(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["G4_recommend_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
