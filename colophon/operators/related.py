@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from colophon import constants as K
 from colophon.operators.joins import by_key
 from colophon.operators.ranking import Order, numbered, top_rows, top_within
-from colophon.session import reuse
+from colophon.session import partitions_of, reuse
 
 
 def performer_stats(works: DataFrame, performer: str | None = None) -> DataFrame:
@@ -101,10 +101,13 @@ def related_works(works: DataFrame, work_performers: DataFrame, limit: int = 8)
         heads = top_within(rows, ["key"], by, limit + 1, "_n").select(
             F.col("key"), F.col("id").alias("related_id"), F.col("popularity").alias("_p"), F.col("created_at").alias("_c")
         )
-        pairs = rows.select("id", "key").join(heads, "key").filter("id <> related_id")
-        pairs = pairs.select(F.col("id").alias("work_id"), "related_id", "_p", "_c").distinct()
+        # one row a key, so a work crosses once for each of its keys and not once for each pair
+        packed = heads.groupBy("key").agg(F.collect_list(F.struct("related_id", "_p", "_c")).alias("_heads"))  # limit + 1 entries
+        met = rows.select("id", "key").join(by_key(packed), "key").select(F.col("id").alias("work_id"), "_heads")
         names = {"popularity": "_p", "created_at": "_c", "id": "related_id"}
-        ranked = top_within(pairs, ["work_id"], [(names[c], d) for c, d in by], limit)
+        pairs = met.repartition(partitions_of(works.sparkSession), "work_id").select("work_id", F.inline("_heads")).filter("work_id <> related_id")
+        # pairs are gathered where their work is, so neither step below moves them
+        ranked = top_within(pairs.distinct(), ["work_id"], [(names[c], d) for c, d in by], limit)
         lists.append(ranked.select("work_id", F.lit(kind).alias("kind"), "rank", "related_id"))
     # a work without a genre falls back to the most popular works of all
     bare = slim.filter("genre is null").select(F.col("id").alias("work_id"))

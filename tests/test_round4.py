@@ -77,3 +77,12 @@ def test_visitors_meet_no_broadcast_table(spark):
 
     plan = entry.queries()["G4_recommend_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_pairs_of_related_works_are_not_shuffled(spark):
+    import re
+
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["G5_related_works"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*related_id", plan) and "hashpartitioning(work_id" in plan
