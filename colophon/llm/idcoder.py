@@ -2,10 +2,11 @@
 
 An id is predicted at three orders: order 2 and order 1 remember the id that last followed the last
 two ids and the last id, with a count of how often they were right; order 0 counts all ids.  The
-three are mixed by weights that adapt with the hits of each count, and the mix drives a range coder.
+three are mixed by weights that adapt with the hits of each count: the part of an id is the sum of
+what the orders give it, and these parts drive a range coder.
 
-A block is coded in ``lanes`` interleaved parts that move together and share one model; the model
-starts anew with each block.  All of it is whole-number arithmetic.  A block is
+A block is cut into ``lanes`` runs of consecutive ids, one id longer or shorter, that move together
+and share one model; the model starts anew with each block.  All of it is whole-number arithmetic.  A block is
 ``magic, version, alphabet, ids, lanes, crc32 of the ids, bytes of each lane, lanes``.
 """
 
@@ -17,7 +18,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"CMRC"
-VERSION = 1
+VERSION = 2
 HEAD = struct.Struct("<4sBxHIII")
 TOTAL_BITS = 24
 TOTAL = 1 << TOTAL_BITS
@@ -25,6 +26,8 @@ TOTAL = 1 << TOTAL_BITS
 ORDER0 = TOTAL >> 3
 #: order 0 counts are scaled to this sum
 SUM_BITS = 21
+#: bits of a part of order 0 that the decoder's table of first ids leaves out
+FINE_BITS = 4
 STEP = 24
 LEVELS = 8
 HASH_BITS = 18
@@ -42,8 +45,9 @@ UNDERFLOW = U(1 << 32)
 class _Model:
     """What encoder and decoder know alike before each step."""
 
-    def __init__(self, alphabet: int, lanes: int):
+    def __init__(self, alphabet: int, lanes: int, decodes: bool = True):
         self.alphabet = alphabet
+        self.decodes = decodes
         self.counts = np.ones(alphabet, np.int64)
         self.after1 = np.zeros(alphabet, np.int32)
         self.after2 = np.zeros(1 << HASH_BITS, np.int32)
@@ -66,6 +70,8 @@ class _Model:
         self.upto = upto.astype(np.int32)
         # begin and end of an id in one number
         self.ends = upto[1:] << 32 | upto[:-1]
+        if self.decodes:
+            self.first = np.cumsum(np.bincount((self.upto + ((1 << FINE_BITS) - 1)) >> FINE_BITS), dtype=np.int32) - 1
         share2 = (TOTAL - ORDER0) * self.right[0] // self.tried[0]
         share1 = (TOTAL - ORDER0 - share2)[:, None] * self.right[1] // self.tried[1]
         self.share2, self.share1 = share2, share1.ravel()
@@ -78,27 +84,40 @@ class _Model:
         self.guess2, level2 = self.held2 >> LEVEL_BITS, self.held2 & (LEVELS - 1)
         self.guess1, level1 = self.held1 >> LEVEL_BITS, self.held1 & (LEVELS - 1)
         self.part2 = self.share2.take(level2)
-        self.part1 = self.share1.take(level2 * LEVELS + level1) * (self.guess1 != self.guess2)
+        self.part1 = self.share1.take(level2 * LEVELS + level1)
         self.known = self.part2 + self.part1
+        self.room = TOTAL - self.known
 
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and size of the part of the whole that codes each id."""
-        hit2 = (ids == self.guess2) & (self.part2 > 0)
-        hit1 = (ids == self.guess1) & (self.part1 > 0) & ~hit2
-        room = TOTAL - self.known
+    def _order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of ids in the part of order 0."""
         ends = self.ends.take(ids)
-        begin = self.known + ((ends & 0xFFFFFFFF) * room >> SUM_BITS)
-        end = self.known + ((ends >> 32) * room >> SUM_BITS)
-        begin = np.where(hit2, 0, np.where(hit1, self.part2, begin))
-        return begin, np.where(hit2, self.part2, np.where(hit1, self.part1, end - begin))
+        return (ends & 0xFFFFFFFF) * self.room >> SUM_BITS, (ends >> 32) * self.room >> SUM_BITS
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of the part of the whole that codes each id: the sum of its parts in all orders."""
+        begin, end = self._order0(ids)
+        begin += self.part2 * (self.guess2 < ids) + self.part1 * (self.guess1 < ids)
+        end += self.part2 * (self.guess2 <= ids) + self.part1 * (self.guess1 <= ids)
+        return begin, end - begin
 
     def id_at(self, target: np.ndarray) -> np.ndarray:
-        ids = np.where(target < self.part2, self.guess2, self.guess1)
+        low, high = np.minimum(self.guess1, self.guess2), np.maximum(self.guess1, self.guess2)
+        part = np.where(self.guess1 < self.guess2, self.part1, self.part2)
+        begin_low, end_low = self._order0(low)
+        begin_high, end_high = self._order0(high)
+        past_low, past_high = target >= end_low + part, target >= end_high + self.known
+        in_high = (target >= begin_high + part) & ~past_high
+        ids = np.where(in_high, high, low)
         # only what neither guess covers is looked up
-        rest = np.flatnonzero(target >= self.known)
-        known = self.known.take(rest)
-        value = (((target.take(rest) - known + 1) << SUM_BITS) - 1).view(U) // (TOTAL - known).view(U)
-        ids[rest] = np.searchsorted(self.upto, value.astype(np.int32), "right") - 1
+        rest = np.flatnonzero(~in_high & (past_low | (target < begin_low)))
+        before = np.where(past_high, self.known, part * past_low).take(rest)
+        value = (((target.take(rest) - before + 1) << SUM_BITS) - 1).view(U) // self.room.take(rest).view(U)
+        value = value.astype(np.int32)
+        found = self.first.take(value >> FINE_BITS)
+        # few are not the id at the beginning of their table entry
+        later = np.flatnonzero(self.upto.take(found + 1) <= value)
+        found[later] = np.searchsorted(self.upto, value.take(later), "right") - 1
+        ids[rest] = found
         return ids
 
     def learn(self, ids: np.ndarray) -> None:
@@ -145,17 +164,25 @@ def lanes_for(n: int) -> int:
     return max(1, min(2048, n // 256))
 
 
+def _by_step(n: int, lanes: int) -> np.ndarray:
+    """Places of the ids in the order they are coded in: the first of each lane, the second of each lane, and so on."""
+    lane = np.arange(lanes)
+    begins = lane * (n // lanes) + np.minimum(lane, n % lanes)
+    return (np.arange(-(-n // lanes))[:, None] + begins).ravel()[:n]
+
+
 def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     """The coded block of ids below ``alphabet``."""
     ids = np.ascontiguousarray(ids, np.int64)
     n = len(ids)
     lanes = lanes_for(n)
     steps = -(-n // lanes)
-    model = _Model(alphabet, lanes)
+    placed = ids[_by_step(n, lanes)]
+    model = _Model(alphabet, lanes, decodes=False)
     low, size = np.zeros(lanes, U), np.full(lanes, U(0xFFFFFFFFFFFFFFFF))
     words, owners = [], []
     for t in range(steps):
-        now = ids[t * lanes : (t + 1) * lanes]
+        now = placed[t * lanes : (t + 1) * lanes]
         if len(now) < len(model.last):
             model.narrow(len(now))
         model.predict()
@@ -222,6 +249,8 @@ def decode_block(data: bytes) -> np.ndarray:
             low[ready] <<= U(16)
             size[ready] <<= U(16)
             ready = _ready(low, size, ready)
-    if zlib.crc32(out.astype("<u4").tobytes()) != crc:
+    placed = np.empty_like(out)
+    placed[_by_step(n, lanes)] = out
+    if zlib.crc32(placed.astype("<u4").tobytes()) != crc:
         raise ValueError("block fails its checksum")
-    return out
+    return placed
