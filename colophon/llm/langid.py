@@ -27,7 +27,9 @@ UNKNOWN = "und"
 #: a language is a candidate in a script that holds at least this share of its training letters
 SCRIPT_SHARE = 0.01
 #: characters handled at once by a Python worker
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 1_000_000
+#: characters or words of these whose wide intermediate values are held at once
+PIECE = 1 << 17
 
 # First and last code point of the ranges of each script.
 SCRIPTS = {
@@ -94,13 +96,19 @@ def _words(texts: list[str]) -> dict[str, np.ndarray]:
     mask[1:-1] = inside[points]
     edge = np.diff(mask.astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    padded = np.zeros(len(points) + 2, np.uint64)
-    padded[1:-1] = np.where(mask[1:-1], lower[points], 0)
-    at = np.flatnonzero(mask[1:-1])
-    mixed = padded[at] * np.uint64(0x9E3779B97F4A7C15) + padded[at + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + padded[at + 2] * np.uint64(0x165667B19E3779F9)
-    mixed ^= mixed >> np.uint64(29)
-    buckets = ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-    letters = np.add.reduceat(letter[points[at]].astype(np.int64), np.cumsum(ends - starts) - (ends - starts)) if len(starts) else np.zeros(0, np.int64)
+    padded = np.zeros(len(points) + 2, np.uint32)
+    lower.take(points, out=padded[1:-1], mode="clip")
+    padded *= mask
+    buckets = np.zeros(int(mask.sum()), np.uint16)
+    done = 0
+    for begin in range(0, len(points), PIECE):
+        at = np.flatnonzero(mask[begin + 1 : min(begin + PIECE, len(points)) + 1]) + begin
+        # the three characters of each trigram, mixed
+        mixed = sum(padded[at + k].astype(np.uint64) * np.uint64(by) for k, by in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)))
+        mixed ^= mixed >> np.uint64(29)
+        buckets[done : done + len(at)] = (mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+        done += len(at)
+    letters = np.add.reduceat(letter[points][mask[1:-1]], np.cumsum(ends - starts) - (ends - starts), dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
     return {
         "start": starts, "end": ends, "letters": letters, "buckets": buckets,
         "doc": np.searchsorted(begins, starts, "right") - 1, "script": script[points[starts]] if len(starts) else np.zeros(0, np.uint8), "begins": begins,
@@ -139,7 +147,13 @@ def _label(texts: list[str], model: Model) -> dict[str, np.ndarray]:
     if not len(w["start"]) or not model.languages:
         return w | {"label": np.zeros(len(w["start"]), np.int16), "total": total, "held": np.zeros((len(texts), max(1, len(model.languages))))}
     length = w["end"] - w["start"]
-    scores = np.add.reduceat(model.log_prob[w["buckets"]], np.cumsum(length) - length, axis=0)
+    ends = np.cumsum(length)
+    scores = np.empty((len(length), len(model.languages)), np.float32)
+    # cut where so many characters are full
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(PIECE, ends[-1], PIECE)), len(length)])
+    for a, b in zip(cuts, cuts[1:]):
+        first = ends[a] - length[a]
+        scores[a:b] = np.add.reduceat(model.log_prob[w["buckets"][first : ends[b - 1]]], ends[a:b] - length[a:b] - first, axis=0)
     allowed = model.allowed[w["script"]]
     known = allowed.any(1)
     scores = np.where(allowed, scores, np.float32(-1e6))
@@ -220,7 +234,7 @@ def fit(docs: DataFrame, rows_per_language: int = 1500, switch: float = 12.0, sm
             w = _words(texts)
             length = w["end"] - w["start"]
             names = sorted(set(langs))
-            of = np.array([names.index(x) for x in langs])[w["doc"]] if len(w["doc"]) else np.zeros(0, np.int64)
+            of = np.array([names.index(x) for x in langs], np.int32)[w["doc"]] if len(w["doc"]) else np.zeros(0, np.int64)
             for kind, keys, owner, weight in (("gram", w["buckets"], np.repeat(of, length), None), ("script", w["script"], of, w["letters"])):
                 for k, name in enumerate(names):
                     mine = owner == k

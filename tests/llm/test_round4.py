@@ -1,8 +1,10 @@
 """Results and steps that earlier rounds lost."""
 
+import tracemalloc
+
 import numpy as np
 
-from colophon.llm import idcoder
+from colophon.llm import idcoder, langid
 
 
 # 7 token files
@@ -29,3 +31,24 @@ def test_coder_adds_what_the_orders_give_an_id():
     assert np.array_equal(begins, np.cumsum(sizes) - sizes)
     assert [int(model.id_at(np.array([t]))[0]) for t in begins] == list(range(300))
     assert [int(model.id_at(np.array([t]))[0]) for t in begins + sizes - 1] == list(range(300))
+
+
+# pipeline, language_id
+def test_words_take_little_memory_a_character():
+    text = "some words of a language " * 40_000
+    langid.characters()
+    tracemalloc.start()
+    found = langid._words([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found["start"]) == 200_000
+    assert peak < 32 * len(text)
+
+
+def test_trigram_buckets_and_scores_do_not_depend_on_pieces(monkeypatch):
+    texts = ["", "one two", "x" * 300, "slovo über ß 漢字 " * 30, "a b c " * 50]
+    model = langid.Model(["a", "b"], np.random.default_rng(1).random((langid.BUCKETS, 2)).astype(np.float32), np.ones((len(langid.SCRIPTS) + 1, 2), bool), 1.0)
+    whole = langid._label(texts, model)
+    monkeypatch.setattr(langid, "PIECE", 7)
+    cut = langid._label(texts, model)
+    assert all(np.array_equal(whole[k], cut[k]) for k in whole)
