@@ -17,6 +17,8 @@ AS_OF = "2024-01-31 00:00:00"
 AS_OF_DAY = "2024-01-31"
 #: works in a task where each becomes several wide rows
 WORKS_A_TASK = 20_000
+#: rows in a task where each becomes one page or post
+ROWS_A_TASK = 50_000
 WORK_COLUMNS = (
     "id", "product_code", "title", "performer", "maker", "series", "genre", "duration", "price",
     "popularity", "favorite_count", "created_at", "release_date", "is_published",
@@ -45,6 +47,11 @@ class Tables:
             self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._raw[name]
 
+    def dealt(self, name: str, key: str) -> DataFrame:
+        """A table's rows dealt by key: a file is read in few tasks, whatever work its rows are made into."""
+        rows = self.raw(name)
+        return rows.repartition(max(partitions_of(self.spark), -(-rows.count() // ROWS_A_TASK)), key)
+
     @cached_property
     def part_count(self) -> Column:
         return self.raw("part").agg(F.count("*").alias("n")).scalar()
@@ -210,10 +217,11 @@ class Tables:
             F.when(F.col("c_acctbal") < 0, "needs_review").otherwise("approved").alias("review_state"),
         )
 
-    def posts(self) -> DataFrame:
+    def posts(self, dealt: bool = False) -> DataFrame:
+        """The posts; ``dealt`` over the tasks where much is made of each."""
         key, status = F.col("o_orderkey"), F.col("o_orderstatus")
         post_id = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(key.cast("string"), 12, "0"))
-        return self.raw("orders").select(
+        return (self.dealt("orders", "o_orderkey") if dealt else self.raw("orders")).select(
             key.alias("post_id"),
             F.lit(1).cast("bigint").alias("data_source_id"),
             F.col("o_custkey").alias("creator_id"),

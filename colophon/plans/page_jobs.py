@@ -49,7 +49,7 @@ def _marked_pages(t: Tables):
         F.when(c % 3 == 0, F.concat(F.lit('<script type="application/ld+json">[{"@type":"Person"},{"@graph":[{"@type":"Article"},{"n":'), n, F.lit("}]}]</script>"))).when(c % 3 == 1, F.lit("<script type='application/ld+json'>{broken</script>")).otherwise(""),
         F.lit("<a class=\"b &lt;c&gt;\" data-creator-id="), n, F.lit(" href='/maker_"), n, F.lit("?q=1' rel=author><b>Maker</b> &#"), (c % 20000 + 0x4E00).cast("string"), F.lit(";x</a><a href='https://else.example/'>away</a><a name=x>no link</a>"),
     )
-    return t.raw("customer").select(c.alias("page_id"), F.concat(F.lit(f"https://{HOST}/list/"), n).alias("url"), html.alias("html"))
+    return t.dealt("customer", "c_custkey").select(c.alias("page_id"), F.concat(F.lit(f"https://{HOST}/list/"), n).alias("url"), html.alias("html"))
 
 
 @query("A11_page_fields", f"""
@@ -78,12 +78,12 @@ def site_pages(t: Tables):
     curl = lambda x: F.concat(F.lit(f"https://{HOST}/"), slug(x))
     uuid = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(o.cast("string"), 12, "0"))
     person = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Person","name":"'), "c_name", F.lit('","url":"'), F.when(c % 4 == 0, F.lit("https://else.example/")).otherwise(curl(c)), F.lit('"}]}</script>'))
-    creators = t.raw("customer").select(
+    creators = t.dealt("customer", "c_custkey").select(
         (c * 2).alias("page_id"), F.concat(curl(c), F.lit("?ref=1")).alias("url"), F.when(c % 11 == 0, 403).when(c % 13 == 0, 302).otherwise(200).alias("status"), F.when(c % 26 == 0, "/login").otherwise("/").alias("location"),
         F.concat(F.lit("<title>T &amp; "), "c_name", F.lit("</title>"), F.when(c % 3 != 0, person).otherwise(""), F.when(c % 5 == 0, F.concat(F.lit('<link rel="canonical" href="/'), slug(c), F.lit('">'))).otherwise(""),
                  F.when(c % 7 == 0, F.lit('<form action="/login">')).otherwise("")).alias("html"))
     article = F.concat(F.lit('<script type="application/ld+json">{"@type":["Article"],"headline":"H '), o.cast("string"), F.lit('","author":{"url":"'), curl(F.col("o_custkey")), F.lit('"},"datePublished":"2024-01-01T00:00:00Z"}</script>'))
-    posts = t.raw("orders").select(
+    posts = t.dealt("orders", "o_orderkey").select(
         (o * 2 + 1).alias("page_id"), F.concat(F.lit(f"https://{HOST}/posts/"), F.when(o % 30 == 0, "x").otherwise(uuid)).alias("url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("location"),
         F.concat(F.when(o % 4 != 0, article).otherwise("<title>plain</title>"), F.when(o % 6 == 0, F.lit("<p>Subscribers only</p>")).when(o % 10 == 0, F.lit("<p>followers only</p>")).otherwise("")).alias("html"))
     return creators.unionByName(posts)

@@ -86,3 +86,13 @@ def test_pairs_of_related_works_are_not_shuffled(spark):
 
     plan = entry.queries()["G5_related_works"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\([^)]*related_id", plan) and "hashpartitioning(work_id" in plan
+
+
+def test_pages_and_posts_are_made_in_many_tasks(spark, monkeypatch):
+    from colophon.plans import bindings, page_jobs
+
+    monkeypatch.setattr(bindings, "ROWS_A_TASK", 10, raising=False)
+    t = bindings.Tables(spark, "/root/testdata/sf0.001")
+    customers, orders = (-(-t.raw(name).count() // 10) for name in ("customer", "orders"))
+    assert page_jobs._marked_pages(t).rdd.getNumPartitions() == customers
+    assert page_jobs.site_pages(t).rdd.getNumPartitions() == customers + orders
