@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from colophon.operators.joins import lookup
 from colophon.operators.ranking import numbered
-from colophon.session import partitions_of
+from colophon.session import partitions_of, reuse
 
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_DAY = "2024-01-31"
@@ -80,6 +80,11 @@ class Tables:
                 df = df.withColumn("favorite_count", F.coalesce("favorite_count", F.lit(0)))
         return df.select(*(columns or WORK_COLUMNS))
 
+    def written_works(self, *columns: str) -> DataFrame:
+        """The works dealt by id and written, for a query that reads them again and again."""
+        parts = max(partitions_of(self.spark), -(-self._work_count // WORKS_A_TASK))
+        return reuse(self.works(*columns).repartition(parts, "id"), "works")
+
     def works_by_code(self, *columns: str) -> DataFrame:
         """The works dealt by code, as many a task however large the table: what each work is made into stays in its task."""
         parts = max(partitions_of(self.spark), -(-self._work_count // WORKS_A_TASK))

@@ -6,15 +6,16 @@ from colophon import constants as K
 from colophon.operators import publication, staging
 from colophon.plans.bindings import Tables
 from colophon.plans.registry import query
+from colophon.session import reuse
 from colophon.sources import item_list
 
 HOSTS = ("shop.example",)
 WORK_FIELDS = ("id", "product_code", "title", "performer", "maker", "series", "genre", "price")
 
 
-def raw_items(t: Tables):
+def raw_items(t: Tables, works=None):
     """``position, raw``: one JSON item per work, with faults by key, and some repeated items."""
-    w = t.works(*WORK_FIELDS)
+    w = works or t.works(*WORK_FIELDS)
     i = F.col("id")
     text = i.cast("string")
     named = lambda c: F.array(F.struct(F.lit(None).cast("string").alias("id"), F.col(c).alias("name")))
@@ -35,13 +36,13 @@ def raw_items(t: Tables):
     return first.unionByName(again)
 
 
-def items(t: Tables):
-    rows = raw_items(t).withColumn("item", F.from_json("raw", item_list.item_schema()))
+def items(t: Tables, works=None):
+    rows = raw_items(t, works).withColumn("item", F.from_json("raw", item_list.item_schema()))
     return item_list.normalize_items(rows).drop("item")
 
 
-def known_works(t: Tables):
-    w, i = t.works(*WORK_FIELDS), F.col("id")
+def known_works(t: Tables, works=None):
+    w, i = works or t.works(*WORK_FIELDS), F.col("id")
     return w.filter("id % 3 = 0 or (id % 3 = 1 and id % 5 = 0)").select(
         "id", F.when(i % 3 == 0, F.concat(F.lit("c"), i.cast("string"))).alias("external_product_id"),
         F.regexp_replace("product_code", "[^A-Z0-9]", "").alias("code_key"),
@@ -49,8 +50,8 @@ def known_works(t: Tables):
         F.array("performer").alias("performers"), "maker", "series", F.array("genre").alias("genres"))
 
 
-def known_staged(t: Tables):
-    w, i = t.works(*WORK_FIELDS), F.col("id")
+def known_staged(t: Tables, works=None):
+    w, i = works or t.works(*WORK_FIELDS), F.col("id")
 
     def rows(df, shift, external, title):
         return df.select(
@@ -65,7 +66,8 @@ def known_staged(t: Tables):
 
 
 def _staged(t: Tables):
-    return staging.stage_items(items(t), known_works(t), known_staged(t), HOSTS)
+    works = t.written_works(*WORK_FIELDS)
+    return staging.stage_items(items(t, works), known_works(t, works), known_staged(t, works), HOSTS)
 
 
 _ITEMS = r"""
@@ -184,7 +186,11 @@ def nulls(t: Tables):
   (select count(*) from items where ext in (select ext from kworks where ext is not null) or code_key in (select code_key from kworks)) in_works,
   (select count(*) from items where ext in (select ext from kstaged) or code_key in (select code_key from kstaged)) in_staged from staged""", "works")
 def report(t: Tables):
-    out = staging.batch_report(items(t), _staged(t), known_works(t), known_staged(t))
+    # read by six counts and the staging
+    works = t.written_works(*WORK_FIELDS)
+    known, staged = known_works(t, works), known_staged(t, works)
+    found = reuse(items(t, works).drop("raw"), "items")
+    out = staging.batch_report(found, staging.stage_items(found, known, staged, HOSTS), known, staged)
     return out.select("received", "normalized", "missing_product_code", "missing_performer", "missing_maker", "affiliate_urls", "staged", "new", "needs_review",
                       "repeated_ids", "codes_with_many_ids", "in_works", "in_staged")
 

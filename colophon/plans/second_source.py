@@ -129,7 +129,7 @@ def simulate(t: Tables):
 # -- bundles ---------------------------------------------------------------------------------------
 def bundle_posts(t: Tables):
     i = F.col("post_id")
-    base = t.posts().join(t.creators().select("creator_id", "display_name"), "creator_id")
+    base = t.posts(dealt=True)
     slug = F.concat(F.lit("maker_"), (F.col("creator_id") % 50).cast("string"))
     rows = base.select(
         (i * 2).alias("index"), F.upper("external_post_id").alias("post_uuid"), F.concat(F.lit("https://www.creators.example/posts/"), F.when(i % 30 == 0, "x").otherwise(F.col("external_post_id"))).alias("post_public_url"),

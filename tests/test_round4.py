@@ -96,3 +96,24 @@ def test_pages_and_posts_are_made_in_many_tasks(spark, monkeypatch):
     customers, orders = (-(-t.raw(name).count() // 10) for name in ("customer", "orders"))
     assert page_jobs._marked_pages(t).rdd.getNumPartitions() == customers
     assert page_jobs.site_pages(t).rdd.getNumPartitions() == customers + orders
+
+
+def test_a_report_makes_the_works_once(spark, monkeypatch):
+    from colophon.plans import bindings, feed
+
+    made = []
+    works = bindings.Tables.works
+    monkeypatch.setattr(bindings.Tables, "works", lambda self, *columns: made.append(columns) or works(self, *columns))
+    assert feed.report(bindings.Tables(spark, "/root/testdata/sf0.001")).count() == 1
+    assert len(made) == 1
+
+
+def test_bundle_posts_are_made_in_many_tasks_of_orders_alone(spark, monkeypatch):
+    from colophon.plans import bindings, second_source
+
+    monkeypatch.setattr(bindings, "ROWS_A_TASK", 100, raising=False)
+    t = bindings.Tables(spark, "/root/testdata/sf0.001")
+    once = t.posts().count()
+    rows = second_source.bundle_posts(t)
+    assert rows.rdd.getNumPartitions() == 2 * -(-once // 100)
+    assert "customer.parquet" not in "".join(rows.inputFiles())
