@@ -6,8 +6,9 @@ three are mixed by weights that adapt with the hits of each count: the part of a
 what the orders give it, and these parts drive a range coder.
 
 A block is cut into ``lanes`` runs of consecutive ids, one id longer or shorter, that move together
-and share one model; the model starts anew with each block.  All of it is whole-number arithmetic.  A block is
-``magic, version, alphabet, ids, lanes, crc32 of the ids, bytes of each lane, lanes``.
+and share one model; the model starts anew with each block.  All of it is whole-number arithmetic:
+quotients are taken from doubles, which are exact for numbers below 2^52.  A block is
+``magic, version, alphabet, ids, lanes, crc32 of the ids, words of each lane, lanes``; a word has 24 bits.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"CMRC"
-VERSION = 2
+VERSION = 3
 HEAD = struct.Struct("<4sBxHIII")
 TOTAL_BITS = 24
 TOTAL = 1 << TOTAL_BITS
@@ -31,15 +32,27 @@ FINE_BITS = 4
 STEP = 24
 LEVELS = 8
 HASH_BITS = 18
-#: steps between two refreshes of counts and weights
+#: steps between two refreshes of counts and weights; the first come after 1, 2, 4 and 8 steps
 REFRESH = 16
 #: a guess and its count share a number, the count in its last bits
 LEVEL_BITS = LEVELS.bit_length() - 1
 #: the change of a count after a miss or a hit, at 2 * count + hit
 CHANGE = np.array([n - level for level in range(LEVELS) for n in (max(level - 1, 0), min(level + 1, LEVELS - 1))], np.int64)
-U = np.uint64
-LOW_WORD = U(1 << 48)
-UNDERFLOW = U(1 << 32)
+MOST_LANES = 8192
+WORD_BITS = 24
+WORD = (1 << WORD_BITS) - 1
+#: a lane's range begins with two words; one below this takes in the next word
+LEAST = 1 << 28
+
+
+def _at(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Entries at places that are known to lie in the table: no second pass checks them."""
+    return table.take(places, mode="clip")
+
+
+def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All bits set where ``a`` is less, else none; a choice by ``&`` costs the same for any mix of both."""
+    return (a - b) >> 63
 
 
 class _Model:
@@ -55,6 +68,7 @@ class _Model:
         self.right = np.full((2, LEVELS), 2, np.int64)
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
+        self.steps = 0
         self.pending: list[np.ndarray] = []
         self.states: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         self._sum()
@@ -74,61 +88,59 @@ class _Model:
             self.first = np.cumsum(np.bincount((self.upto + ((1 << FINE_BITS) - 1)) >> FINE_BITS), dtype=np.int32) - 1
         share2 = (TOTAL - ORDER0) * self.right[0] // self.tried[0]
         share1 = (TOTAL - ORDER0 - share2)[:, None] * self.right[1] // self.tried[1]
-        self.share2, self.share1 = share2, share1.ravel()
+        # at count of order 2 * LEVELS + count of order 1
+        self.share2, self.share1 = np.repeat(share2, LEVELS), share1.ravel()
 
     def predict(self) -> None:
         """Candidates of orders 2 and 1 and the parts of the whole that they get."""
         self.place = ((self.before * 0x9E3779B1 + self.last * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - HASH_BITS)
-        self.held2 = self.after2.take(self.place).astype(np.int64)
-        self.held1 = self.after1.take(self.last).astype(np.int64)
-        self.guess2, level2 = self.held2 >> LEVEL_BITS, self.held2 & (LEVELS - 1)
-        self.guess1, level1 = self.held1 >> LEVEL_BITS, self.held1 & (LEVELS - 1)
-        self.part2 = self.share2.take(level2)
-        self.part1 = self.share1.take(level2 * LEVELS + level1)
-        self.known = self.part2 + self.part1
-        self.room = TOTAL - self.known
-
-    def _order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of ids in the part of order 0."""
-        ends = self.ends.take(ids)
-        return (ends & 0xFFFFFFFF) * self.room >> SUM_BITS, (ends >> 32) * self.room >> SUM_BITS
+        self.held2 = _at(self.after2, self.place).astype(np.int64)
+        self.held1 = _at(self.after1, self.last).astype(np.int64)
+        self.guess2, self.guess1 = self.held2 >> LEVEL_BITS, self.held1 >> LEVEL_BITS
+        levels = (self.held2 & (LEVELS - 1)) << LEVEL_BITS | self.held1 & (LEVELS - 1)
+        self.part2, self.part1 = _at(self.share2, levels), _at(self.share1, levels)
+        self.room = TOTAL - self.part2 - self.part1
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and size of the part of the whole that codes each id: the sum of its parts in all orders."""
-        begin, end = self._order0(ids)
-        begin += self.part2 * (self.guess2 < ids) + self.part1 * (self.guess1 < ids)
-        end += self.part2 * (self.guess2 <= ids) + self.part1 * (self.guess1 <= ids)
-        return begin, end - begin
+        ends = _at(self.ends, ids)
+        begin = (ends & 0xFFFFFFFF) * self.room >> SUM_BITS
+        width = ((ends >> 32) * self.room >> SUM_BITS) - begin
+        width += self.part2 * (self.guess2 == ids)
+        width += self.part1 * (self.guess1 == ids)
+        begin += _less(self.guess2, ids) & self.part2
+        begin += _less(self.guess1, ids) & self.part1
+        return begin, width
 
     def id_at(self, target: np.ndarray) -> np.ndarray:
+        """The id whose part holds each target: without the guesses' parts, targets are places in order 0."""
+        switch = _less(self.guess1, self.guess2)
         low, high = np.minimum(self.guess1, self.guess2), np.maximum(self.guess1, self.guess2)
-        part = np.where(self.guess1 < self.guess2, self.part1, self.part2)
-        begin_low, end_low = self._order0(low)
-        begin_high, end_high = self._order0(high)
-        past_low, past_high = target >= end_low + part, target >= end_high + self.known
-        in_high = (target >= begin_high + part) & ~past_high
-        ids = np.where(in_high, high, low)
-        # only what neither guess covers is looked up
-        rest = np.flatnonzero(~in_high & (past_low | (target < begin_low)))
-        before = np.where(past_high, self.known, part * past_low).take(rest)
-        value = (((target.take(rest) - before + 1) << SUM_BITS) - 1).view(U) // self.room.take(rest).view(U)
-        value = value.astype(np.int32)
-        found = self.first.take(value >> FINE_BITS)
-        # few are not the id at the beginning of their table entry
-        later = np.flatnonzero(self.upto.take(found + 1) <= value)
-        found[later] = np.searchsorted(self.upto, value.take(later), "right") - 1
-        ids[rest] = found
-        return ids
+        change = (self.part1 - self.part2) & switch
+        place = target
+        # the lower guess first: its part moves the higher one
+        for guess, part in ((low, self.part2 + change), (high, self.part1 - change)):
+            beyond = place - (_at(self.upto, guess) * self.room >> SUM_BITS)
+            place = place - np.minimum(np.maximum(beyond, 0), part)
+        value = ((((place + 1) << SUM_BITS) - 1) / self.room).astype(np.int64)
+        found = _at(self.first, value >> FINE_BITS).astype(np.int64)
+        # some are not the id at the beginning of their table entry
+        later = np.flatnonzero(_at(self.upto, found + 1) <= value)
+        if len(later):
+            found[later] = np.searchsorted(self.upto, value.take(later).astype(np.int32), "right") - 1
+        return found
 
     def learn(self, ids: np.ndarray) -> None:
         for k, (held, guess, after, at) in enumerate(((self.held2, self.guess2, self.after2, self.place), (self.held1, self.guess1, self.after1, self.last))):
             state = (held & (LEVELS - 1)) * 2 + (guess == ids)
+            new = held + _at(CHANGE, state)
             # a guess that was never right gives way
-            after[at] = np.where(state == 0, ids << LEVEL_BITS, held + CHANGE.take(state))
+            after[at] = new + (_less(state, 1) & ((ids << LEVEL_BITS) - new))
             self.states[k].append(state)
-        self.before[: len(ids)], self.last[: len(ids)] = self.last[: len(ids)], ids
+        self.before, self.last = self.last, ids
         self.pending.append(ids)
-        if len(self.pending) == REFRESH:
+        self.steps += 1
+        if self.steps % REFRESH == 0 or self.steps in (1, 2, 4, 8):
             self.counts += STEP * np.bincount(np.concatenate(self.pending), minlength=self.alphabet)
             for k, states in enumerate(self.states):
                 seen = np.bincount(np.concatenate(states), minlength=2 * LEVELS).reshape(LEVELS, 2)
@@ -146,22 +158,8 @@ class _Model:
         self.last, self.before = self.last[:n], self.before[:n]
 
 
-def _ready(low: np.ndarray, size: np.ndarray, lanes: np.ndarray | None = None) -> np.ndarray:
-    """Lanes whose top 16 bits are settled, or whose range is too small and is cut so that they are."""
-    some_low, some = (low, size) if lanes is None else (low[lanes], size[lanes])
-    high = some_low + some
-    same = ((some_low ^ high) < LOW_WORD) & (some_low <= high)
-    small = np.flatnonzero(~same & (some < UNDERFLOW))
-    if len(small):
-        same[small] = True
-        at = small if lanes is None else lanes[small]
-        rest = (U(0) - low[at]) & (UNDERFLOW - U(1))
-        size[at] = np.where(rest == 0, UNDERFLOW - U(1), rest)
-    return np.flatnonzero(same) if lanes is None else lanes[same]
-
-
 def lanes_for(n: int) -> int:
-    return max(1, min(2048, n // 256))
+    return max(1, min(MOST_LANES, n // 256))
 
 
 def _by_step(n: int, lanes: int) -> np.ndarray:
@@ -171,42 +169,51 @@ def _by_step(n: int, lanes: int) -> np.ndarray:
     return (np.arange(-(-n // lanes))[:, None] + begins).ravel()[:n]
 
 
+def _carried(digits: np.ndarray) -> np.ndarray:
+    """Digits of whole numbers as words: what is above a word belongs to the digit before."""
+    over = np.flatnonzero(digits > WORD)
+    while len(over):
+        more = digits[over] >> WORD_BITS
+        digits[over] &= WORD
+        digits[over - 1] += more
+        over = (over - 1)[digits[over - 1] > WORD]
+    return digits
+
+
 def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     """The coded block of ids below ``alphabet``."""
-    ids = np.ascontiguousarray(ids, np.int64)
     n = len(ids)
     lanes = lanes_for(n)
-    steps = -(-n // lanes)
-    placed = ids[_by_step(n, lanes)]
+    placed = ids[_by_step(n, lanes)].astype(np.int64)
     model = _Model(alphabet, lanes, decodes=False)
-    low, size = np.zeros(lanes, U), np.full(lanes, U(0xFFFFFFFFFFFFFFFF))
-    words, owners = [], []
-    for t in range(steps):
+    # a lane's code is one long number; a sum beyond its digit is carried at the end
+    low, size = np.zeros(lanes, np.int64), np.full(lanes, 1 << 2 * WORD_BITS, np.int64)
+    digits, owners = [], []
+    for t in range(-(-n // lanes)):
         now = placed[t * lanes : (t + 1) * lanes]
-        if len(now) < len(model.last):
-            model.narrow(len(now))
+        m = len(now)
+        if m < len(model.last):
+            model.narrow(m)
         model.predict()
         begin, width = model.interval(now)
-        m = len(now)
-        part = size[:m] >> U(TOTAL_BITS)
-        low[:m] += part * begin.astype(U)
-        size[:m] = part * width.astype(U)
+        part = size[:m] >> TOTAL_BITS
+        low[:m] += part * begin
+        size[:m] = part * width
         model.learn(now)
-        ready = _ready(low[:m], size[:m])
-        while len(ready):
-            words.append((low[ready] >> U(48)).astype("<u2"))
-            owners.append(ready.astype(np.uint16))
-            low[ready] <<= U(16)
-            size[ready] <<= U(16)
-            ready = _ready(low, size, ready)
-    for _ in range(4):
-        words.append((low >> U(48)).astype("<u2"))
-        owners.append(np.arange(lanes, dtype=np.uint16))
-        low <<= U(16)
-    owner, word = np.concatenate(owners), np.concatenate(words)
-    order = np.argsort(owner, kind="stable")
-    sizes = np.bincount(owner, minlength=lanes).astype("<u4") * 2
-    return HEAD.pack(MAGIC, VERSION, 0, n, lanes, zlib.crc32(ids.astype("<u4").tobytes())) + struct.pack("<I", alphabet) + sizes.astype("<u4").tobytes() + word[order].tobytes()
+        ready = np.flatnonzero(size[:m] < LEAST)
+        lows = low.take(ready)
+        digits.append((lows >> WORD_BITS).astype(np.uint32))
+        owners.append(ready.astype(np.uint16))
+        low[ready] = (lows & WORD) << WORD_BITS
+        size[ready] <<= WORD_BITS
+    # one more word lies in the range, whatever comes after it
+    digits.append(((low + WORD) >> WORD_BITS).astype(np.uint32))
+    owners.append(np.arange(lanes, dtype=np.uint16))
+    owner = np.concatenate(owners)
+    words = _carried(np.concatenate(digits)[np.argsort(owner, kind="stable")])
+    sizes = np.bincount(owner, minlength=lanes).astype("<u4")
+    body = words.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    return HEAD.pack(MAGIC, VERSION, 0, n, lanes, zlib.crc32(ids.astype("<u4").tobytes())) + struct.pack("<I", alphabet) + sizes.tobytes() + body
 
 
 def decode_block(data: bytes) -> np.ndarray:
@@ -217,38 +224,42 @@ def decode_block(data: bytes) -> np.ndarray:
     if magic != MAGIC or version != VERSION or lanes != lanes_for(n):
         raise ValueError("not a block of this format")
     (alphabet,) = struct.unpack_from("<I", data, HEAD.size)
-    sizes = np.frombuffer(data, "<u4", lanes, HEAD.size + 4).astype(np.int64) // 2
     body = HEAD.size + 4 + 4 * lanes
-    if len(data) != body + 2 * int(sizes.sum()):
+    if len(data) < body:
+        raise ValueError("block is cut or too long")
+    sizes = np.frombuffer(data, "<u4", lanes, HEAD.size + 4).astype(np.int64)
+    if len(data) != body + 3 * int(sizes.sum()):
         raise ValueError("block is cut or too long")
-    words = np.r_[np.frombuffer(data, "<u2", offset=body).astype(U), U(0)]
-    at = np.cumsum(sizes) - sizes
-    low, size, code = np.zeros(lanes, U), np.full(lanes, U(0xFFFFFFFFFFFFFFFF)), np.zeros(lanes, U)
-    for _ in range(4):
-        code = (code << U(16)) | words[np.minimum(at, len(words) - 1)]
-        at += 1
+    # zeros follow the words of each lane
+    ends = np.cumsum(sizes + 2)
+    at = ends - sizes - 2
+    words = np.zeros(int(ends[-1]), np.int64)
+    parts = np.frombuffer(data, np.uint8, offset=body).reshape(-1, 3).astype(np.int64)
+    words[np.arange(len(parts)) + np.repeat(2 * np.arange(lanes), sizes)] = parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16
+    size = np.full(lanes, 1 << 2 * WORD_BITS, np.int64)
+    # the code's distance from the beginning of the range
+    rest = words.take(at) << WORD_BITS | words.take(at + 1)
+    at += 2
     model = _Model(alphabet, lanes)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     for t in range(-(-n // lanes)):
         m = min(lanes, n - t * lanes)
         if m < len(model.last):
             model.narrow(m)
         model.predict()
-        part = size[:m] >> U(TOTAL_BITS)
-        target = np.minimum((code[:m] - low[:m]) // part, U(TOTAL - 1)).astype(np.int64)
-        now = np.minimum(model.id_at(target), alphabet - 1)
+        part = size[:m] >> TOTAL_BITS
+        target = np.minimum(rest[:m] / part, TOTAL - 1).astype(np.int64)
+        now = model.id_at(target)
         out[t * lanes : t * lanes + m] = now
         begin, width = model.interval(now)
-        low[:m] += part * begin.astype(U)
-        size[:m] = part * width.astype(U)
+        rest[:m] -= part * begin
+        size[:m] = part * width
         model.learn(now)
-        ready = _ready(low[:m], size[:m])
-        while len(ready):
-            code[ready] = (code[ready] << U(16)) | words[np.minimum(at[ready], len(words) - 1)]
-            at[ready] += 1
-            low[ready] <<= U(16)
-            size[ready] <<= U(16)
-            ready = _ready(low, size, ready)
+        ready = np.flatnonzero(size[:m] < LEAST)
+        where = at.take(ready)
+        rest[ready] = (rest.take(ready) & (LEAST - 1)) << WORD_BITS | _at(words, where)
+        at[ready] = where + 1
+        size[ready] <<= WORD_BITS
     placed = np.empty_like(out)
     placed[_by_step(n, lanes)] = out
     if zlib.crc32(placed.astype("<u4").tobytes()) != crc:

@@ -4,7 +4,7 @@ import tracemalloc
 
 import numpy as np
 
-from colophon.llm import idcoder, langid
+from colophon.llm import idcoder, langid, tokenfiles
 
 
 # 7 token files
@@ -33,6 +33,26 @@ def test_coder_adds_what_the_orders_give_an_id():
     assert [int(model.id_at(np.array([t]))[0]) for t in begins + sizes - 1] == list(range(300))
 
 
+def test_coder_takes_few_steps_a_block(monkeypatch):
+    steps = []
+    predict = idcoder._Model.predict
+    monkeypatch.setattr(idcoder._Model, "predict", lambda model: steps.append(len(model.last)) or predict(model))
+    ids = np.random.default_rng(2).integers(0, 900, tokenfiles.BLOCK_IDS) ** 2 // 900
+    assert np.array_equal(idcoder.decode_block(idcoder.encode_block(ids, 900)), ids)
+    # each step costs its calls, however few ids it codes
+    assert len(steps) == 2 * 256 and sum(steps) == 2 * len(ids)
+
+
+def test_sums_beyond_a_digit_are_carried():
+    word = idcoder.WORD
+    assert idcoder._carried(np.array([7, word, word, word + 6, 0, 3 * word], np.uint32)).tolist() == [8, 0, 0, 5, 2, word - 2]
+    # one id takes nearly the whole range, at its upper end: lanes wait long for a word
+    ids = np.full(30_000, 49_999)
+    ids[::997] = 0
+    data = idcoder.encode_block(ids, 50_000)
+    assert np.array_equal(idcoder.decode_block(data), ids)
+
+
 # pipeline, language_id
 def test_words_take_little_memory_a_character():
     text = "some words of a language " * 40_000
