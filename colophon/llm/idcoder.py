@@ -7,7 +7,7 @@ what the orders give it, and these parts drive a range coder.
 
 A block is cut into ``lanes`` runs of consecutive ids, one id longer or shorter, that move together
 and share one model; the model starts anew with each block.  All of it is whole-number arithmetic:
-quotients are taken from doubles, which are exact for numbers below 2^52.  A block is
+what needs more than 32 bits is held in doubles, which are exact below 2^53.  A block is
 ``magic, version, alphabet, ids, lanes, crc32 of the ids, words of each lane, lanes``; a word has 24 bits.
 """
 
@@ -37,7 +37,9 @@ REFRESH = 16
 #: a guess and its count share a number, the count in its last bits
 LEVEL_BITS = LEVELS.bit_length() - 1
 #: the change of a count after a miss or a hit, at 2 * count + hit
-CHANGE = np.array([n - level for level in range(LEVELS) for n in (max(level - 1, 0), min(level + 1, LEVELS - 1))], np.int64)
+CHANGE = np.array([n - level for level in range(LEVELS) for n in (max(level - 1, 0), min(level + 1, LEVELS - 1))], np.int32)
+#: odd factors of the last id but one and of the last id in the place of order 2, as signed 32-bit numbers
+FACTORS = np.array([0x9E3779B1, 0x85EBCA77], np.uint32).view(np.int32)
 MOST_LANES = 8192
 WORD_BITS = 24
 WORD = (1 << WORD_BITS) - 1
@@ -52,7 +54,7 @@ def _at(table: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All bits set where ``a`` is less, else none; a choice by ``&`` costs the same for any mix of both."""
-    return (a - b) >> 63
+    return (a - b) >> 31
 
 
 class _Model:
@@ -66,8 +68,8 @@ class _Model:
         self.after2 = np.zeros(1 << HASH_BITS, np.int32)
         self.tried = np.full((2, LEVELS), 16, np.int64)
         self.right = np.full((2, LEVELS), 2, np.int64)
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
+        self.last = np.zeros(lanes, np.int32)
+        self.before = np.zeros(lanes, np.int32)
         self.steps = 0
         self.pending: list[np.ndarray] = []
         self.states: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
@@ -82,30 +84,33 @@ class _Model:
         spare = (1 << SUM_BITS) - self.alphabet
         upto = np.arange(self.alphabet + 1) + np.r_[0, np.cumsum(self.counts)] * spare // total
         self.upto = upto.astype(np.int32)
-        # begin and end of an id in one number
-        self.ends = upto[1:] << 32 | upto[:-1]
+        # as a share of all ids
+        self.share = upto / (1 << SUM_BITS)
         if self.decodes:
             self.first = np.cumsum(np.bincount((self.upto + ((1 << FINE_BITS) - 1)) >> FINE_BITS), dtype=np.int32) - 1
         share2 = (TOTAL - ORDER0) * self.right[0] // self.tried[0]
         share1 = (TOTAL - ORDER0 - share2)[:, None] * self.right[1] // self.tried[1]
         # at count of order 2 * LEVELS + count of order 1
-        self.share2, self.share1 = np.repeat(share2, LEVELS), share1.ravel()
+        self.share2, self.share1 = np.repeat(share2, LEVELS).astype(np.int32), share1.ravel().astype(np.int32)
 
     def predict(self) -> None:
         """Candidates of orders 2 and 1 and the parts of the whole that they get."""
-        self.place = ((self.before * 0x9E3779B1 + self.last * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - HASH_BITS)
-        self.held2 = _at(self.after2, self.place).astype(np.int64)
-        self.held1 = _at(self.after1, self.last).astype(np.int64)
+        self.place = (self.before * FACTORS[0] + self.last * FACTORS[1]) >> (32 - HASH_BITS) & ((1 << HASH_BITS) - 1)
+        self.held2, self.held1 = _at(self.after2, self.place), _at(self.after1, self.last)
         self.guess2, self.guess1 = self.held2 >> LEVEL_BITS, self.held1 >> LEVEL_BITS
         levels = (self.held2 & (LEVELS - 1)) << LEVEL_BITS | self.held1 & (LEVELS - 1)
         self.part2, self.part1 = _at(self.share2, levels), _at(self.share1, levels)
-        self.room = TOTAL - self.part2 - self.part1
+        self.room = (TOTAL - self.part2 - self.part1).astype(np.float64)
+
+    def _order0(self, ids: np.ndarray) -> np.ndarray:
+        """Where ids begin in the part of order 0."""
+        return (_at(self.share, ids) * self.room).astype(np.int32)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and size of the part of the whole that codes each id: the sum of its parts in all orders."""
-        ends = _at(self.ends, ids)
-        begin = (ends & 0xFFFFFFFF) * self.room >> SUM_BITS
-        width = ((ends >> 32) * self.room >> SUM_BITS) - begin
+        ids = ids.astype(np.int32)
+        begin = self._order0(ids)
+        width = self._order0(ids + 1) - begin
         width += self.part2 * (self.guess2 == ids)
         width += self.part1 * (self.guess1 == ids)
         begin += _less(self.guess2, ids) & self.part2
@@ -114,23 +119,21 @@ class _Model:
 
     def id_at(self, target: np.ndarray) -> np.ndarray:
         """The id whose part holds each target: without the guesses' parts, targets are places in order 0."""
-        switch = _less(self.guess1, self.guess2)
         low, high = np.minimum(self.guess1, self.guess2), np.maximum(self.guess1, self.guess2)
-        change = (self.part1 - self.part2) & switch
-        place = target
+        change = (self.part1 - self.part2) & _less(self.guess1, self.guess2)
+        place = target.astype(np.int32)
         # the lower guess first: its part moves the higher one
         for guess, part in ((low, self.part2 + change), (high, self.part1 - change)):
-            beyond = place - (_at(self.upto, guess) * self.room >> SUM_BITS)
-            place = place - np.minimum(np.maximum(beyond, 0), part)
-        value = ((((place + 1) << SUM_BITS) - 1) / self.room).astype(np.int64)
-        found = _at(self.first, value >> FINE_BITS).astype(np.int64)
+            place = place - np.minimum(np.maximum(place - self._order0(guess), 0), part)
+        value = (((place + 1.0) * (1 << SUM_BITS) - 1) / self.room).astype(np.int32)
+        found = _at(self.first, value >> FINE_BITS)
         # some are not the id at the beginning of their table entry
         later = np.flatnonzero(_at(self.upto, found + 1) <= value)
-        if len(later):
-            found[later] = np.searchsorted(self.upto, value.take(later).astype(np.int32), "right") - 1
+        found[later] = np.searchsorted(self.upto, value.take(later), "right") - 1
         return found
 
     def learn(self, ids: np.ndarray) -> None:
+        ids = ids.astype(np.int32)
         for k, (held, guess, after, at) in enumerate(((self.held2, self.guess2, self.after2, self.place), (self.held1, self.guess1, self.after1, self.last))):
             state = (held & (LEVELS - 1)) * 2 + (guess == ids)
             new = held + _at(CHANGE, state)
@@ -162,11 +165,16 @@ def lanes_for(n: int) -> int:
     return max(1, min(MOST_LANES, n // 256))
 
 
-def _by_step(n: int, lanes: int) -> np.ndarray:
-    """Places of the ids in the order they are coded in: the first of each lane, the second of each lane, and so on."""
-    lane = np.arange(lanes)
-    begins = lane * (n // lanes) + np.minimum(lane, n % lanes)
-    return (np.arange(-(-n // lanes))[:, None] + begins).ravel()[:n]
+def _moved(runs: np.ndarray, steps: np.ndarray, lanes: int, back: bool = False) -> None:
+    """Fills ``steps``, the first id of each lane, the second of each, and so on, from ``runs``, one lane after the other, or back."""
+    n, longer = divmod(len(runs), lanes)
+    cut = longer * (n + 1)
+    long, short, rows = runs[:cut].reshape(longer, n + 1), runs[cut:].reshape(lanes - longer, n), steps[: n * lanes].reshape(n, lanes)
+    for own, other in ((long[:, :n].T, rows[:, :longer]), (short.T, rows[:, longer:]), (long[:, n], steps[n * lanes :])):
+        if back:
+            own[:] = other
+        else:
+            other[:] = own
 
 
 def _carried(digits: np.ndarray) -> np.ndarray:
@@ -184,10 +192,11 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     """The coded block of ids below ``alphabet``."""
     n = len(ids)
     lanes = lanes_for(n)
-    placed = ids[_by_step(n, lanes)].astype(np.int64)
+    placed = np.empty(n, np.int32)
+    _moved(ids, placed, lanes)
     model = _Model(alphabet, lanes, decodes=False)
     # a lane's code is one long number; a sum beyond its digit is carried at the end
-    low, size = np.zeros(lanes, np.int64), np.full(lanes, 1 << 2 * WORD_BITS, np.int64)
+    low, size = np.zeros(lanes, np.int64), np.full(lanes, 2.0 ** (2 * WORD_BITS))
     digits, owners = [], []
     for t in range(-(-n // lanes)):
         now = placed[t * lanes : (t + 1) * lanes]
@@ -196,8 +205,8 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
             model.narrow(m)
         model.predict()
         begin, width = model.interval(now)
-        part = size[:m] >> TOTAL_BITS
-        low[:m] += part * begin
+        part = np.floor(size[:m] * (1 / TOTAL))
+        low[:m] += (part * begin).astype(np.int64)
         size[:m] = part * width
         model.learn(now)
         ready = np.flatnonzero(size[:m] < LEAST)
@@ -205,7 +214,7 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
         digits.append((lows >> WORD_BITS).astype(np.uint32))
         owners.append(ready.astype(np.uint16))
         low[ready] = (lows & WORD) << WORD_BITS
-        size[ready] <<= WORD_BITS
+        size[ready] *= WORD + 1
     # one more word lies in the range, whatever comes after it
     digits.append(((low + WORD) >> WORD_BITS).astype(np.uint32))
     owners.append(np.arange(lanes, dtype=np.uint16))
@@ -233,12 +242,12 @@ def decode_block(data: bytes) -> np.ndarray:
     # zeros follow the words of each lane
     ends = np.cumsum(sizes + 2)
     at = ends - sizes - 2
-    words = np.zeros(int(ends[-1]), np.int64)
-    parts = np.frombuffer(data, np.uint8, offset=body).reshape(-1, 3).astype(np.int64)
+    words = np.zeros(int(ends[-1]))
+    parts = np.frombuffer(data, np.uint8, offset=body).reshape(-1, 3).astype(np.int32)
     words[np.arange(len(parts)) + np.repeat(2 * np.arange(lanes), sizes)] = parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16
-    size = np.full(lanes, 1 << 2 * WORD_BITS, np.int64)
+    size = np.full(lanes, 2.0 ** (2 * WORD_BITS))
     # the code's distance from the beginning of the range
-    rest = words.take(at) << WORD_BITS | words.take(at + 1)
+    rest = words.take(at) * (WORD + 1) + words.take(at + 1)
     at += 2
     model = _Model(alphabet, lanes)
     out = np.zeros(n, np.int32)
@@ -247,9 +256,8 @@ def decode_block(data: bytes) -> np.ndarray:
         if m < len(model.last):
             model.narrow(m)
         model.predict()
-        part = size[:m] >> TOTAL_BITS
-        target = np.minimum(rest[:m] / part, TOTAL - 1).astype(np.int64)
-        now = model.id_at(target)
+        part = np.floor(size[:m] * (1 / TOTAL))
+        now = model.id_at(np.minimum(rest[:m] / part, TOTAL - 1))
         out[t * lanes : t * lanes + m] = now
         begin, width = model.interval(now)
         rest[:m] -= part * begin
@@ -257,11 +265,11 @@ def decode_block(data: bytes) -> np.ndarray:
         model.learn(now)
         ready = np.flatnonzero(size[:m] < LEAST)
         where = at.take(ready)
-        rest[ready] = (rest.take(ready) & (LEAST - 1)) << WORD_BITS | _at(words, where)
+        rest[ready] = np.minimum(rest.take(ready), LEAST - 1) * (WORD + 1) + _at(words, where)
         at[ready] = where + 1
-        size[ready] <<= WORD_BITS
+        size[ready] *= WORD + 1
     placed = np.empty_like(out)
-    placed[_by_step(n, lanes)] = out
+    _moved(placed, out, lanes, back=True)
     if zlib.crc32(placed.astype("<u4").tobytes()) != crc:
         raise ValueError("block fails its checksum")
     return placed

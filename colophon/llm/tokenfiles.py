@@ -21,7 +21,7 @@ from colophon.operators.ranking import running_totals
 from colophon.session import partitions_of, reuse
 
 #: a block is closed at the first end of a document beyond so many ids
-BLOCK_IDS = 1 << 21
+BLOCK_IDS = 1 << 22
 
 
 def blocks_of(docs: DataFrame, path: str, alphabet: int, end_id: int = 0) -> DataFrame:
