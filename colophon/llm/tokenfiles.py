@@ -53,7 +53,7 @@ def blocks_of(docs: DataFrame, path: str, alphabet: int, end_id: int = 0) -> Dat
             n, block = 0, block + 1
             return out
 
-        for batch, ids in encoded(batches, path, end_id):
+        for batch, ids in encoded(batches, path, end_id, most=2 << 20, together=8):
             column = batch.column("doc_id")
             for k, x in enumerate(ids):
                 names.append(column.slice(k, 1))

@@ -2,7 +2,7 @@
 
 The split of a byte-level pre-tokenizer depends on classes of characters and on nothing that lies
 before white space, so the bytes of a whole batch are cut into its words by array operations, the
-distinct words are encoded once a batch, and their ids are gathered.  If the file numbers its merges
+distinct words of a few batches are encoded once, and their ids are gathered.  If the file numbers its merges
 in order, as byte-level files do, their ids are ranks, and tiktoken merges the words of a batch in
 one call; else the tokenizers library encodes them.
 
@@ -54,8 +54,9 @@ def byte_letters() -> dict[int, str]:
 
 def kinds(raw: np.ndarray) -> np.ndarray:
     """The class of each byte of a text."""
-    out = CLASSES.take(raw)
-    lead = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC5))
+    out = np.frombuffer(bytearray(raw).translate(CLASSES.tobytes()), np.uint8)
+    # 0xC3 to 0xC5
+    lead = np.flatnonzero(raw - np.uint8(0xC3) <= 2)
     if len(lead):
         # Latin letters of two bytes, without the signs of multiplication and division
         after = raw.take(lead + 1)
@@ -79,7 +80,8 @@ def word_starts(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nda
     space, space_before = kind <= BREAK, before <= BREAK
     run = space & ~space_before
     # a run of white space gives its last character to what follows, and a space is part of that
-    start = np.where(space, ~space_before | (after < UNSURE) & (after > BREAK) | (after == UNSURE), np.where(space_before, before == BREAK, kind != before))
+    start = space & (~space_before | (after <= UNSURE) & (after > BREAK))
+    start |= ~space & (space_before & (before == BREAK) | ~space_before & (kind != before))
     start |= first[:n]
     whole = np.zeros(len(begins) - 1, bool)
     unsure = np.flatnonzero(kind == UNSURE)
@@ -184,35 +186,42 @@ class Encoder:
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """The ids of each text, null as empty."""
-        if not isinstance(texts, pa.Array):
-            texts = pa.array(texts, pa.string())
-        texts = texts.fill_null("").cast(pa.large_string())
+        return next(self.encode_all([texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())]))
+
+    def encode_all(self, parts: list[pa.Array]) -> Iterator[list[bytes]]:
+        """The ids of each text, part by part; a word that several parts have is encoded once."""
+        parts = [texts.fill_null("").cast(pa.large_string()) for texts in parts]
         if not self.by_word:
-            return self.whole(texts.to_pylist())
-        begins = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        if not len(texts) or begins[0] == begins[-1]:
-            return [b""] * len(texts)
-        raw = np.frombuffer(texts.buffers()[2], np.uint8)[begins[0] : begins[-1]]
+            yield from (self.whole(texts.to_pylist()) for texts in parts)
+            return
+        cut = [self._cut(texts) for texts in parts]
+        words = pa.chunked_array([c[0] for c in cut]).unify_dictionaries().chunks
+        table, sizes = self._word_ids(words[0].dictionary) if len(words[0].dictionary) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        place = np.cumsum(sizes) - sizes
+        for texts, own, (_, before, whole) in zip(parts, words, cut):
+            picked = own.indices.to_numpy()
+            length = sizes.take(picked)
+            ends = np.r_[0, np.cumsum(length)]
+            flat = table.take(np.repeat(place.take(picked) - ends[:-1], length) + np.arange(ends[-1])).tobytes()
+            # ids before each text: those of the words before it
+            upto = (ends.take(before) * 4).tolist()
+            out = [flat[a:b] for a, b in zip(upto, upto[1:])]
+            at = np.flatnonzero(whole)
+            if len(at):
+                for k, found in zip(at.tolist(), self.whole(texts.take(pa.array(at)).to_pylist())):
+                    out[k] = found
+            yield out
+
+    def _cut(self, texts: pa.LargeStringArray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+        """The words of all texts, how many come before each text, and which texts must be encoded whole."""
+        begins = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[begins[0] : begins[-1]] if begins[0] < begins[-1] else np.zeros(0, np.uint8)
         begins = begins - begins[0]
-        starts, whole = word_starts(raw, begins)
+        starts, whole = word_starts(raw, begins) if len(raw) else (np.zeros(0, np.int64), np.zeros(len(texts), bool))
         for token in self.added:
             whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[starts, len(raw)].astype(np.int64)), pa.py_buffer(raw)])
-        distinct = words.dictionary_encode()
-        table, sizes = self._word_ids(distinct.dictionary)
-        place = np.cumsum(sizes) - sizes
-        picked = distinct.indices.to_numpy()
-        length = sizes.take(picked)
-        ends = np.cumsum(length)
-        flat = table.take(np.repeat(place.take(picked) - ends + length, length) + np.arange(ends[-1])).tobytes()
-        # ids before each text: those of the words before it
-        upto = (np.r_[0, ends].take(np.searchsorted(starts, begins)) * 4).tolist()
-        out = [flat[a:b] for a, b in zip(upto, upto[1:])]
-        at = np.flatnonzero(whole)
-        if len(at):
-            for k, found in zip(at.tolist(), self.whole(texts.take(pa.array(at)).to_pylist())):
-                out[k] = found
-        return out
+        return words.dictionary_encode(), np.searchsorted(starts, begins), whole
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -225,10 +234,15 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded(batches: Iterator, path: str, end_id: int = 0, column: str = "text", most: int = 4 << 20) -> Iterator[tuple]:
-    """Arrow batches of bounded size, each with the ids of its texts as bytes, ``end_id`` appended to each."""
+def encoded(batches: Iterator, path: str, end_id: int = 0, column: str = "text", most: int = 4 << 20, together: int = 1) -> Iterator[tuple]:
+    """Arrow batches of bounded size, each with the ids of its texts as bytes, ``end_id`` appended to each.
+
+    The distinct words of so many batches ``together`` are encoded at once.
+    """
     from colophon.llm.common import slices
 
     end = np.array([end_id], "<u4").tobytes()
-    for batch in slices(batches, column, most):
-        yield batch, [ids + end for ids in encoder(path).encode(batch.column(column))]
+    for several in slices(batches, column, together * most):
+        parts = list(slices([several], column, most))
+        for batch, found in zip(parts, encoder(path).encode_all([part.column(column) for part in parts])):
+            yield batch, [ids + end for ids in found]

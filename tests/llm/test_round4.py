@@ -3,8 +3,11 @@
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
+from tokenizers import Tokenizer
 
-from colophon.llm import idcoder, langid, tokenfiles
+from colophon.llm import idcoder, langid, tokenfiles, tokens
 
 
 # 7 token files
@@ -53,6 +56,20 @@ def test_sums_beyond_a_digit_are_carried():
     assert np.array_equal(idcoder.decode_block(data), ids)
 
 
+def test_words_of_several_batches_are_encoded_once(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["one two  two", "", None, "日本 x <|endoftext|> y", "one two thirteen", "it's one\nélan", "one two"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    met = []
+    word_ids = tokens.Encoder._word_ids
+    monkeypatch.setattr(tokens.Encoder, "_word_ids", lambda self, words: met.extend(words.to_pylist()) or word_ids(self, words))
+    found = [ids for _, some in tokens.encoded([batch], path, 7, most=24, together=4) for ids in some]
+    plain = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [plain.encode(t or "", add_special_tokens=False).ids + [7] for t in texts]
+    # batches of 24 bytes, four at a time
+    assert met.count(b"one") == 1 and met.count(b" two") == 1
+
+
 # pipeline, language_id
 def test_words_take_little_memory_a_character():
     text = "some words of a language " * 40_000
