@@ -32,8 +32,8 @@ FINE_BITS = 4
 STEP = 24
 LEVELS = 8
 HASH_BITS = 18
-#: steps between two refreshes of counts and weights; the first come after 1, 2, 4 and 8 steps
-REFRESH = 16
+#: steps between two refreshes of counts and weights; the first come after 1, 2, 4, 8 and 16 steps
+REFRESH = 32
 #: a guess and its count share a number, the count in its last bits
 LEVEL_BITS = LEVELS.bit_length() - 1
 #: the change of a count after a miss or a hit, at 2 * count + hit
@@ -127,8 +127,10 @@ class _Model:
             place = place - np.minimum(np.maximum(place - self._order0(guess), 0), part)
         value = (((place + 1.0) * (1 << SUM_BITS) - 1) / self.room).astype(np.int32)
         found = _at(self.first, value >> FINE_BITS)
-        # some are not the id at the beginning of their table entry
+        # some are not the id at the beginning of their table entry, most of them the next one
         later = np.flatnonzero(_at(self.upto, found + 1) <= value)
+        found[later] += 1
+        later = later[_at(self.upto, found.take(later) + 1) <= value.take(later)]
         found[later] = np.searchsorted(self.upto, value.take(later), "right") - 1
         return found
 
@@ -143,7 +145,7 @@ class _Model:
         self.before, self.last = self.last, ids
         self.pending.append(ids)
         self.steps += 1
-        if self.steps % REFRESH == 0 or self.steps in (1, 2, 4, 8):
+        if self.steps % REFRESH == 0 or self.steps in (1, 2, 4, 8, 16):
             self.counts += STEP * np.bincount(np.concatenate(self.pending), minlength=self.alphabet)
             for k, states in enumerate(self.states):
                 seen = np.bincount(np.concatenate(states), minlength=2 * LEVELS).reshape(LEVELS, 2)
@@ -190,6 +192,7 @@ def _carried(digits: np.ndarray) -> np.ndarray:
 
 def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     """The coded block of ids below ``alphabet``."""
+    ids = np.ascontiguousarray(ids, "<u4")
     n = len(ids)
     lanes = lanes_for(n)
     placed = np.empty(n, np.int32)
@@ -222,7 +225,7 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     words = _carried(np.concatenate(digits)[np.argsort(owner, kind="stable")])
     sizes = np.bincount(owner, minlength=lanes).astype("<u4")
     body = words.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-    return HEAD.pack(MAGIC, VERSION, 0, n, lanes, zlib.crc32(ids.astype("<u4").tobytes())) + struct.pack("<I", alphabet) + sizes.tobytes() + body
+    return HEAD.pack(MAGIC, VERSION, 0, n, lanes, zlib.crc32(ids)) + struct.pack("<I", alphabet) + sizes.tobytes() + body
 
 
 def decode_block(data: bytes) -> np.ndarray:
@@ -242,12 +245,13 @@ def decode_block(data: bytes) -> np.ndarray:
     # zeros follow the words of each lane
     ends = np.cumsum(sizes + 2)
     at = ends - sizes - 2
-    words = np.zeros(int(ends[-1]))
-    parts = np.frombuffer(data, np.uint8, offset=body).reshape(-1, 3).astype(np.int32)
-    words[np.arange(len(parts)) + np.repeat(2 * np.arange(lanes), sizes)] = parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16
+    words = np.zeros(int(ends[-1]), "<u4")
+    padded = np.zeros((int(sizes.sum()), 4), np.uint8)
+    padded[:, :3] = np.frombuffer(data, np.uint8, offset=body).reshape(-1, 3)
+    words[np.arange(len(padded)) + np.repeat(2 * np.arange(lanes), sizes)] = padded.view("<u4").ravel()
     size = np.full(lanes, 2.0 ** (2 * WORD_BITS))
     # the code's distance from the beginning of the range
-    rest = words.take(at) * (WORD + 1) + words.take(at + 1)
+    rest = words.take(at) * float(WORD + 1) + words.take(at + 1)
     at += 2
     model = _Model(alphabet, lanes)
     out = np.zeros(n, np.int32)
@@ -265,11 +269,11 @@ def decode_block(data: bytes) -> np.ndarray:
         model.learn(now)
         ready = np.flatnonzero(size[:m] < LEAST)
         where = at.take(ready)
-        rest[ready] = np.minimum(rest.take(ready), LEAST - 1) * (WORD + 1) + _at(words, where)
+        rest[ready] = np.minimum(rest.take(ready), LEAST - 1) * float(WORD + 1) + _at(words, where)
         at[ready] = where + 1
         size[ready] *= WORD + 1
-    placed = np.empty_like(out)
+    placed = np.empty(n, "<u4")
     _moved(placed, out, lanes, back=True)
-    if zlib.crc32(placed.astype("<u4").tobytes()) != crc:
+    if zlib.crc32(placed) != crc:
         raise ValueError("block fails its checksum")
     return placed

@@ -74,13 +74,13 @@ def documents_in(blocks: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "payload", 1):
             part, block, names, lengths, payload = (batch.column(c) for c in ("part", "block", "doc_ids", "lengths", "payload"))
-            ids = decode_block(payload[0].as_py()).astype("<u4").tobytes()
+            ids = decode_block(payload[0].as_py())
             sizes = lengths.values.slice(lengths.offsets[0].as_py(), lengths.offsets[1].as_py() - lengths.offsets[0].as_py()).to_numpy()
             ends = np.cumsum(sizes)
             own = names.values.slice(names.offsets[0].as_py(), len(sizes))
-            texts = [ids[4 * (e - s) : 4 * e] for s, e in zip(sizes.tolist(), ends.tolist())]
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(4 * np.r_[0, ends]), pa.py_buffer(ids)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part[0].as_py()] * len(sizes), pa.int64()), pa.array([block[0].as_py()] * len(sizes), pa.int64()), own, pa.array(ends - sizes), pa.array(sizes), pa.array(texts, pa.binary())],
+                [pa.array([part[0].as_py()] * len(sizes), pa.int64()), pa.array([block[0].as_py()] * len(sizes), pa.int64()), own, pa.array(ends - sizes), pa.array(sizes), texts],
                 ["part", "block", "doc_id", "begin", "n_tokens", "ids"],
             )
 
